@@ -35,7 +35,7 @@ noisy AS (SELECT seq, doc_id, lang, context, question, answer, answer_start + do
 PREDICTIONS = QA + """,
 predictions AS (
   SELECT seq, doc_id, lang, golds,
-    CASE doc_id % 5 WHEN 0 THEN answer WHEN 1 THEN upper(answer) || '!'
+    CASE doc_id % 5 WHEN 0 THEN answer WHEN 1 THEN translate(answer, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!'
       WHEN 2 THEN 'the ' || answer || ' ' || answer || ' extra'
       WHEN 3 THEN substring(context, answer_start + 1, 40) ELSE '' END AS pred
   FROM qa)"""

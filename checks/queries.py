@@ -60,10 +60,12 @@ def materialize_features(spark, d):
     path = store.feature_path(
         f"{shared_folder(spark)}/spanloom-checks", "words", 512, "qa", store.fingerprint(docs)
     )
-    made = store.materialize_features(
-        spark, path, lambda: qa_features.prepare_features(t.qa_examples(spark, d), max_length=512)
-    )
-    return tidy(made)
+
+    def make():
+        return qa_features.prepare_features(t.qa_examples(spark, d), max_length=512)
+
+    store.materialize_features(spark, path, make, overwrite=True)
+    return tidy(store.materialize_features(spark, path, make))
 
 
 def metrics_report(spark, d):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str, source: str, name: str) -> str:
-    """Folder for data written by a check, one per content of ``source``."""
-    key = fingerprint(table(spark, sf_dir, source))
+    """Folder for data written by a check, one per content of ``source`` and of this file."""
+    version = hashlib.md5(Path(__file__).read_bytes()).hexdigest()[:8]
+    key = f"{fingerprint(table(spark, sf_dir, source))}-{version}"
     return f"{shared_folder(spark)}/spanloom-checks/{name}-{key}"
 
 
@@ -83,12 +88,15 @@ def qa_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right, dressed up, padded, wrong and empty answers in turn."""
+    """Right, dressed up, padded, wrong and empty answers in turn.
+
+    Upper case is limited to ASCII, as engines differ on the sharp s.
+    """
     kind = F.col("doc_id") % 5
     a = F.col("answer")
     pred = (
         F.when(kind == 0, a)
-        .when(kind == 1, F.concat(F.upper(a), F.lit("!")))
+        .when(kind == 1, F.concat(F.translate(a, ascii_lowercase, ascii_uppercase), F.lit("!")))
         .when(kind == 2, F.concat(F.lit("the "), a, F.lit(" "), a, F.lit(" extra")))
         .when(kind == 3, F.substring(F.col("context"), F.col("answer_start") + 1, F.lit(40)))
         .otherwise("")

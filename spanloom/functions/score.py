@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.functions.binding import let
 from spanloom.functions.text import _col, normalize_answer, split_normalized
 
 
 def _numbered(tokens: Column) -> Column:
     """Each token with the number of its repeat, so that bags become sets."""
-    ordered = F.array_sort(tokens)
-    return F.transform(
-        ordered,
-        lambda t, i: F.concat_ws(
-            " ", t, (i - F.array_position(ordered, t)).cast("string")
+    return let(
+        F.array_sort(tokens),
+        lambda ordered: F.transform(
+            ordered,
+            lambda t, i: F.concat_ws(" ", t, (i - F.array_position(ordered, t)).cast("string")),
         ),
     )
 
@@ -24,6 +25,10 @@ def shared_tokens(left: Column, right: Column) -> Column:
     return F.size(F.array_intersect(_numbered(left), _numbered(right)))
 
 
+def _f1(shared: Column, n_pred: Column, n_gold: Column) -> Column:
+    return let(shared, lambda s: f1_from_counts(s, n_pred, n_gold))
+
+
 def f1_from_counts(shared: Column, n_pred: Column, n_gold: Column) -> Column:
     """Harmonic mean of precision and recall; 0 when nothing is shared."""
     precision = shared / n_pred
@@ -33,17 +38,15 @@ def f1_from_counts(shared: Column, n_pred: Column, n_gold: Column) -> Column:
     )
 
 
-def token_f1_arrays(pred_tokens: Column, gold_tokens: Column) -> Column:
-    return f1_from_counts(
-        shared_tokens(pred_tokens, gold_tokens), F.size(pred_tokens), F.size(gold_tokens)
-    )
-
-
 def token_f1(pred: str | Column, gold: str | Column) -> Column:
     """Token F1 of two answers. Meant for short texts; for documents use
     ``operators.evaluate.token_f1_long``."""
-    return token_f1_arrays(
-        split_normalized(normalize_answer(pred)), split_normalized(normalize_answer(gold))
+    return let(
+        split_normalized(normalize_answer(pred)),
+        lambda p: let(
+            split_normalized(normalize_answer(gold)),
+            lambda g: _f1(shared_tokens(p, g), F.size(p), F.size(g)),
+        ),
     )
 
 
@@ -59,10 +62,19 @@ def best_exact_match(pred_norm: Column, golds_norm: Column) -> Column:
 
 def best_f1(pred_norm: Column, golds_norm: Column) -> Column:
     """Best token F1 over the golds; NULL without golds. Inputs normalised."""
-    words = split_normalized(pred_norm)
-    return F.array_max(
-        F.transform(golds_norm, lambda g: token_f1_arrays(words, split_normalized(g)))
-    )
+
+    def per_gold(pred_bag: Column) -> Column:
+        return F.transform(
+            golds_norm,
+            lambda gold: let(
+                split_normalized(gold),
+                lambda g: _f1(
+                    F.size(F.array_intersect(pred_bag, _numbered(g))), F.size(pred_bag), F.size(g)
+                ),
+            ),
+        )
+
+    return F.array_max(let(_numbered(split_normalized(pred_norm)), per_gold))
 
 
 def clean_output(text: str | Column) -> Column:

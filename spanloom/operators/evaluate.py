@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.binding import once
 from spanloom.functions.score import (
     best_exact_match,
     best_f1,
@@ -41,8 +42,8 @@ def score_answers(
     square of the longest text; give ``key`` and ``long_over`` to send rows with
     more tokens than that through ``token_f1_long`` instead.
     """
-    norm = df.withColumn("_p", normalize_answer(pred)).withColumn(
-        "_g", F.transform(golds, lambda g: normalize_answer(g))
+    norm = once(
+        df, _p=normalize_answer(pred), _g=F.transform(golds, lambda g: normalize_answer(g))
     )
     em = best_exact_match(F.col("_p"), F.col("_g"))
     if long_over is None:
@@ -53,7 +54,7 @@ def score_answers(
         F.size(split_normalized("_p")),
         F.coalesce(F.array_max(F.transform("_g", lambda g: F.size(split_normalized(g)))), F.lit(0)),
     )
-    sized = norm.withColumn("_w", widest)
+    sized = once(norm, _w=widest)
     short = sized.where(F.col("_w") <= long_over).select(
         *df.columns, em.alias("em"), best_f1(F.col("_p"), F.col("_g")).alias("f1")
     )

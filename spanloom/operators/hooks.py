@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions.binding import once
 from spanloom.functions.score import alias_match, clean_output
 from spanloom.functions.spans import extract_span
 from spanloom.functions.text import split_normalized, normalize_answer, word_tokens
@@ -68,13 +69,10 @@ def overlap_scores(df: DataFrame, question: str = "question", tokens: str = "tok
     Words are compared after normalisation; both ends get the same score.
     """
     asked = F.array_distinct(split_normalized(normalize_answer(question)))
-    scored = df.withColumn("_asked", asked).withColumn(
-        "start_scores",
-        F.transform(
-            tokens,
-            lambda t: F.array_contains(F.col("_asked"), normalize_answer(t)).cast("float"),
-        ),
+    hits = F.transform(
+        tokens, lambda t: F.array_contains(F.col("_asked"), normalize_answer(t)).cast("float")
     )
+    scored = once(once(df, _asked=asked), start_scores=hits)
     return scored.withColumn("end_scores", F.col("start_scores")).drop("_asked")
 
 
@@ -88,8 +86,8 @@ def evaluate_rows(
     Like a sub-word decoder the extracted text starts with a space, which the
     clean-up removes.
     """
-    scored = score(df.withColumn("tokens", word_tokens(context)))
+    scored = score(once(df, tokens=word_tokens(context)))
     decoded = F.concat(F.lit(" "), extract_span("tokens", "start_scores", "end_scores"))
-    return scored.withColumn("output", clean_output(decoded)).withColumn(
+    return once(scored, output=clean_output(decoded)).withColumn(
         "match", alias_match("output", "targets", "norm_target")
     )

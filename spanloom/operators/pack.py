@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.binding import once
 from spanloom.operators.order import (
     BUCKET,
     HOME,
@@ -80,7 +81,7 @@ def place_texts(
     """
     if size <= 0:
         raise ValueError("block size must be positive")
-    counted = df.withColumn("_n", n_tokens.cast("long")).where(F.col("_n") > 0)
+    counted = once(df, _n=n_tokens.cast("long")).where(F.col("_n") > 0)
     texts = with_bucket(counted, key, bucket_bounds(df, key, rows_per_bucket))
     starts = cut_lineage(_block_starts(texts, key, size))
     joined = join_summary(texts, starts, [BUCKET])
@@ -151,7 +152,10 @@ def pack_blocks(
             HOME, (F.col("_base") + F.col("_k")).alias("block_id"), "_pos", piece.alias("_piece")
         )
         .groupBy(HOME, "block_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_piece"))).alias("_pieces"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("_pos", "_piece"))).alias("_pieces"),
+            F.sum(F.size("_piece")).alias("_filled"),
+        )
+        .where(F.col("_filled") == size)
         .select("block_id", F.flatten(F.transform("_pieces", lambda p: p["_piece"])).alias("tokens"))
-        .where(F.size("tokens") == size)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.binding import once
 from spanloom.functions.spans import (
     align_answer,
     encode_pair,
@@ -28,15 +29,19 @@ def label_spans(
     """
     gold = F.get("answers.text", 0)
     start = F.get("answers.answer_start", 0)
-    return (
-        df.withColumn("span", align_answer(F.col("context"), gold, start))
-        .withColumn(
-            "encoded", encode_pair(word_tokens("question"), word_tokens("context"), max_length)
-        )
-        .withColumn("_at", span_to_tokens(F.col("context"), F.col("span"), F.col("encoded.input")))
-        .withColumn("_p", span_policy(F.col("_at.start"), F.col("_at.end"), policy, limit))
-        .select(*df.columns, "span", "encoded", "_p.*")
+    split = once(
+        df,
+        span=align_answer(F.col("context"), gold, start),
+        _q=word_tokens("question"),
+        _c=word_tokens("context"),
+    )
+    encoded = once(split, encoded=encode_pair(F.col("_q"), F.col("_c"), max_length))
+    placed = once(
+        encoded, _at=span_to_tokens(F.col("context"), F.col("span"), F.col("encoded.input"))
     )
+    return placed.withColumn(
+        "_p", span_policy(F.col("_at.start"), F.col("_at.end"), policy, limit)
+    ).select(*df.columns, "span", "encoded", "_p.*")
 
 
 def rejection_reason(max_length: int):
