@@ -11,7 +11,7 @@ from spanloom.functions import score, spans, text
 from spanloom.functions.masking import IGNORED
 from spanloom.operators import batches, concat, evaluate, hooks, order, pack, profile, rows, vocab
 from spanloom.plans import corpus_blocks, long_documents, qa_features
-from spanloom.session import shared_folder
+from spanloom.session import cut_lineage, shared_folder
 from spanloom.sources import qa, registry, store
 from spanloom.sources import text as text_source
 
@@ -56,9 +56,8 @@ def split_percent(spark, d):
 
 
 def materialize_features(spark, d):
-    docs = t.documents(spark, d)
     path = store.feature_path(
-        f"{shared_folder(spark)}/spanloom-checks", "words", 512, "qa", store.fingerprint(docs)
+        f"{shared_folder(spark)}/spanloom-checks", "words", 512, "qa", store.fingerprint(t.table(spark, d, "documents"))
     )
 
     def make():
@@ -117,7 +116,8 @@ def _evaluated(spark, d):
 
 def wrong_answers(spark, d):
     wrong = evaluate.wrong_answers(_evaluated(spark, d)).select("doc_id", "output", "norm_target")
-    return tidy(order.row_index(wrong, "doc_id"))
+    # Indexing reads its input several times; scoring should run once.
+    return tidy(order.row_index(cut_lineage(wrong), "doc_id"))
 
 
 def head_rows(spark, d):

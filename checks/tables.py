@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import shared_folder
 from spanloom.sources.store import fingerprint, materialize_features
+from spanloom.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def stored(spark: SparkSession, sf_dir: str, source: str, name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def normalize_answer(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, ARTICLES, " "), WHITESPACE, " "))
 
 
+def bare_word(word: str | Column) -> Column:
+    """Normal form of one word: lower case, no punctuation. Articles stay."""
+    return F.translate(F.lower(_col(word)), string.punctuation, "")
+
+
 def split_normalized(text: str | Column) -> Column:
     """Words of an already normalised text; none for the empty text."""
     return F.filter(F.split(_col(text), " "), lambda t: t != "")

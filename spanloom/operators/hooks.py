@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from spanloom.functions.binding import once
 from spanloom.functions.score import alias_match, clean_output
 from spanloom.functions.spans import extract_span
-from spanloom.functions.text import split_normalized, normalize_answer, word_tokens
+from spanloom.functions.text import bare_word, normalize_answer, split_normalized, word_tokens
 
 
 def map_rows(
@@ -66,11 +66,12 @@ def score_spans(
 def overlap_scores(df: DataFrame, question: str = "question", tokens: str = "tokens") -> DataFrame:
     """Scores without a model: 1 for a context word that the question has too.
 
-    Words are compared after normalisation; both ends get the same score.
+    Words are compared in lower case without punctuation; articles never count.
+    Both ends get the same score.
     """
     asked = F.array_distinct(split_normalized(normalize_answer(question)))
     hits = F.transform(
-        tokens, lambda t: F.array_contains(F.col("_asked"), normalize_answer(t)).cast("float")
+        tokens, lambda t: F.array_contains(F.col("_asked"), bare_word(t)).cast("float")
     )
     scored = once(once(df, _asked=asked), start_scores=hits)
     return scored.withColumn("end_scores", F.col("start_scores")).drop("_asked")

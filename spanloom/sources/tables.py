@@ -1,0 +1,28 @@
+"""Reading stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Below this size a table may sit in one row group, which one task reads.
+SMALL_TABLE_BYTES = 512 * 1024 * 1024
+
+
+def read_table(spark: SparkSession, path: str, small_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
+    """A Parquet table; a small one is spread over the cores.
+
+    Only the file sizes are looked at. A table of ``small_bytes`` or more has
+    enough row groups to be read in parallel and is left as it is stored.
+    """
+    size = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .agg(F.sum("length"))
+        .first()[0]
+    )
+    rows = spark.read.parquet(path)
+    if (size or 0) < small_bytes:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
