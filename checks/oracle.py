@@ -148,6 +148,15 @@ res AS (SELECT *, coalesce(list_contains(targets, output), false) OR coalesce(ou
 )
 
 
+def mixed(source: str, name: str, keep: str = "") -> str:
+    """Two rounds of 32-bit mixing of the column x."""
+    turn = "xor(x, x >> 16) * 73244475 % 4294967296 AS x"
+    cols = f"block_id, id, i, {keep}"
+    return f"""{name}1 AS (SELECT {cols} {turn} FROM {source}),
+{name}2 AS (SELECT {cols} {turn} FROM {name}1),
+{name} AS (SELECT {cols} xor(x, x >> 16) AS x FROM {name}2),"""
+
+
 def percent(sums: str) -> str:
     return f"round(100.0 * sum(em) / count(*), 6) AS exact_match, round(100.0 * sum(f1) / count(*), 6) AS f1 {sums}"
 
@@ -244,11 +253,18 @@ SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(CASE
     "vocab_lookup": f"WITH {IDS} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (id = 3) AS n_unknown, sum(id * (pos + 1))::BIGINT AS checksum FROM ids GROUP BY doc_id",
     "wrap_special": f"WITH {BLOCKS} SELECT block_id, array_to_string(ids, ' ') AS ids FROM blocks",
     "mlm_mask": f"""WITH {BLOCKS},
-cells AS (SELECT block_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS i FROM blocks),
-dice AS (SELECT *, md5('42:' || block_id || ':' || i) AS d FROM cells),
-picked AS (SELECT *, substring(d, 1, 8) < '26666666' AND id NOT IN (0, 2) AS c, substring(d, 9, 8) AS x FROM dice),
+cells AS (SELECT block_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS i,
+  (block_id + 42 * 1000003) % 4294967296 AS x FROM blocks),
+{mixed('cells', 'a')}
+starts AS (SELECT block_id, id, i, xor(x, i * 2654435761 % 4294967296) AS x FROM a),
+{mixed('starts', 'b')}
+firsts AS (SELECT block_id, id, i, x AS d1, (x + 2654435761) % 4294967296 AS x FROM b),
+{mixed('firsts', 'c', 'd1,')}
+seconds AS (SELECT block_id, id, i, d1, x AS d2, x FROM c),
+{mixed('seconds', 'd', 'd1, d2,')}
+picked AS (SELECT *, d1 < 644245094 AND id NOT IN (0, 2) AS c FROM d),
 done AS (SELECT block_id, i, CASE WHEN c THEN id ELSE -100 END AS label,
-  CASE WHEN NOT c THEN id WHEN x < 'cccccccc' THEN 4 WHEN x < 'e6666666' THEN ('0x' || substring(d, 17, 8))::BIGINT % 5005 ELSE id END AS input FROM picked)
+  CASE WHEN NOT c THEN id WHEN d2 < 3435973836 THEN 4 WHEN d2 < 3865470566 THEN x % 5005 ELSE id END AS input FROM picked)
 SELECT block_id, string_agg(input::VARCHAR, ' ' ORDER BY i) AS input_ids, string_agg(label::VARCHAR, ' ' ORDER BY i) AS labels,
   count(*) FILTER (label <> -100) AS n_chosen FROM done GROUP BY block_id""",
     "extract_span": """

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from checks import tables as t
 from spanloom.functions import score, spans, text
+from spanloom.functions.binding import once
 from spanloom.functions.masking import IGNORED
 from spanloom.operators import batches, concat, evaluate, hooks, order, pack, profile, rows, vocab
 from spanloom.plans import corpus_blocks, long_documents, qa_features
@@ -220,9 +221,9 @@ def align_answer_ci(spark, d):
 
 
 def tokenize_offsets(spark, d):
-    found = text.tokenize_offsets(t.documents(spark, d), "doc_id", "text")
+    found = once(t.documents(spark, d).select("doc_id", "text"), tokens=text.tokenize_offsets("text"))
     return tidy(
-        found.select(
+        found.where(F.size("tokens") > 0).select(
             "doc_id",
             F.size("tokens").alias("n_tokens"),
             F.col("tokens.tok").alias("tok"),
@@ -285,9 +286,8 @@ def _vocab(spark, d):
 def ids_tokens(spark, d):
     v = _vocab(spark, d)
     docs = t.documents(spark, d).select("doc_id", text.word_tokens("text").alias("words"))
-    ids = vocab.tokens_to_ids(docs, "doc_id", "words", v)
-    back = vocab.ids_to_tokens(ids, "doc_id", "ids", v)
-    return tidy(ids.join(back, "doc_id"))
+    ids = vocab.tokens_to_ids(docs, "words", v)
+    return tidy(vocab.ids_to_tokens(ids, "ids", v).select("doc_id", "ids", "tokens"))
 
 
 def vocab_lookup(spark, d):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import running_ends
+from spanloom.functions.binding import once
+
 # ASCII punctuation, English articles as whole Unicode words, and
 # the characters that separate words. `\b` and `\s` of Java differ on non-ASCII
 # text, so they are spelled out.
@@ -62,40 +65,26 @@ def char_to_token(text: str | Column, at: str | Column, token: str = TOKEN) -> C
     return F.when(inside, F.regexp_count(until, F.lit(token)).cast("long") - 1)
 
 
-def token_rows(
-    df: DataFrame, id_col: str, text: str, token: str = TOKEN, gap: str = GAP
-) -> DataFrame:
-    """One row per token: ``id, pos, tok, start, end`` (character offsets, end exclusive).
+def tokenize_offsets(text: str | Column, token: str = TOKEN, gap: str = GAP) -> Column:
+    """Tokens as ``array<struct<tok,start,end>>``: character offsets, end exclusive.
 
-    The texts are shuffled once by id; splitting and the running offset follow
-    in the same stage. The largest unit in one task is one text.
+    The text is cut into tokens, gaps and single other characters, so that the
+    lengths of the pieces add up to the offsets.
     """
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{token}|{gap}|(?s:.)"), F.lit(0))
-    w = Window.partitionBy(id_col).orderBy("_piece")
-    cut = (
-        df.select(id_col, text)
-        .repartition(id_col)
-        .select(id_col, F.posexplode(pieces).alias("_piece", "tok"))
-        .withColumn("end", F.sum(F.length("tok").cast("long")).over(w))
-        .withColumn("start", F.col("end") - F.length("tok"))
-        .where(F.col("tok").rlike(f"^(?:{token})$"))
-    )
-    return cut.withColumn("pos", F.row_number().over(w).cast("long") - 1).select(
-        id_col, "pos", "tok", "start", "end"
+    pieces = F.regexp_extract_all(_col(text), F.lit(f"{token}|{gap}|(?s:.)"), F.lit(0))
+    placed = F.zip_with(
+        pieces,
+        running_ends(pieces),
+        lambda p, end: F.struct(
+            p.alias("tok"), (end - F.length(p)).alias("start"), end.alias("end")
+        ),
     )
+    return F.filter(placed, lambda x: x["tok"].rlike(f"^(?:{token})$"))
 
 
-def tokenize_offsets(
-    df: DataFrame, id_col: str, text: str, token: str = TOKEN, gap: str = GAP
+def token_rows(
+    df: DataFrame, text: str, *keep: str, token: str = TOKEN, gap: str = GAP
 ) -> DataFrame:
-    """Tokens of each text as ``array<struct<tok,start,end>>``; no row for a text without tokens."""
-    rows = token_rows(df, id_col, text, token, gap)
-    packed = rows.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "tok"))).alias("_t")
-    )
-    return packed.select(
-        id_col,
-        F.transform(
-            "_t", lambda t: F.struct(t["tok"].alias("tok"), t["start"].alias("start"), t["end"].alias("end"))
-        ).alias("tokens"),
-    )
+    """One row per token: the ``keep`` columns, ``pos``, ``tok``, ``start``, ``end``."""
+    found = once(df.select(*keep, text), _t=tokenize_offsets(text, token, gap))
+    return found.select(*keep, F.posexplode("_t").alias("pos", "_x")).select(*keep, "pos", "_x.*")

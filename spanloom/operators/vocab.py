@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanloom.functions.batches import lookup
 from spanloom.functions.spans import SPECIAL_TOKENS, UNK
 from spanloom.session import broadcast_if_small, cut_lineage
 
@@ -76,51 +78,64 @@ def vocab_lookup(
     ).drop("_v")
 
 
+def _exchange(
+    df: DataFrame, column: str, out: str, table: DataFrame, missing, key: str | None
+) -> DataFrame:
+    """``df`` with ``out``: the elements of ``column`` replaced through a two-column table."""
+    source, target = table.columns
+    result = table.schema[target].dataType
+    _, small = broadcast_if_small(table)
+    if small:
+        pairs = table.toArrow().combine_chunks()
+        shared = df.sparkSession.sparkContext.broadcast(
+            tuple(pairs[c].combine_chunks() for c in table.columns)
+        )
+        return df.withColumn(out, lookup(F.col(column), shared, missing, result))
+    if key is None:
+        raise ValueError("a vocabulary too large to broadcast needs a unique key")
+    copies = table.select(
+        F.col(source).alias("_from"),
+        F.col(target).alias("_to"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+    )
+    rows = df.select(key, F.posexplode(column).alias("_pos", "_x")).withColumn(
+        "_r", F.pmod(F.xxhash64(key, "_pos"), F.lit(SALTS)).cast("int")
+    )
+    found = rows.join(
+        copies, (F.col("_x") == F.col("_from")) & (F.col("_r") == F.col("_salt")), "left"
+    )
+    gathered = found.groupBy(F.col(key).alias("_key")).agg(
+        F.sort_array(
+            F.collect_list(F.struct("_pos", F.coalesce("_to", F.lit(missing)).alias("_to")))
+        ).alias("_found")
+    )
+    kept = df.select(*[c for c in df.columns if c != out], *([F.size(column).alias("_n")]))
+    return (
+        kept.join(gathered, F.col(key) == F.col("_key"), "left")
+        .withColumn(
+            out,
+            F.when(F.col("_found").isNotNull(), F.col("_found._to"))
+            .when(F.col("_n") == 0, F.array().cast(T.ArrayType(result))),
+        )
+        .drop("_key", "_found", "_n")
+    )
+
+
 def tokens_to_ids(
-    df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str = "ids"
+    df: DataFrame, tokens: str, vocab: DataFrame, out: str = "ids", key: str | None = None
 ) -> DataFrame:
-    """Replaces a token array by the array of ids, keyed by the unique ``key``.
+    """Adds (or replaces) ``out``: the ids of a token array, ``<unk>``'s for unknown ones.
 
-    The rows are shuffled once, by ``key``; with a broadcast vocabulary the
-    tokens are looked up and gathered within that partitioning.
+    A vocabulary measured small is sent to the executors and looked up in Arrow
+    batches, without a shuffle. A larger one is joined token by token, salted,
+    and the ids are gathered again by the unique ``key``.
     """
-    spread = df.select(key, tokens).repartition(key)
-    rows = spread.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    found = vocab_lookup(rows, vocab)
-    return found.groupBy(key).agg(
-        F.transform(
-            F.sort_array(
-                F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))
-            ),
-            lambda x: x["token_id"],
-        ).alias(out)
-    )
+    unknown = vocab.where(F.col("token") == UNK).agg(F.max("token_id")).first()[0]
+    return _exchange(df, tokens, out, vocab.select("token", "token_id"), unknown, key)
 
 
 def ids_to_tokens(
-    df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "tokens"
+    df: DataFrame, ids: str, vocab: DataFrame, out: str = "tokens", key: str | None = None
 ) -> DataFrame:
-    """Replaces an id array by the array of tokens; ids not in the vocabulary give ``<unk>``."""
-    spread = df.select(key, ids).repartition(key)
-    rows = spread.select(key, F.posexplode_outer(ids).alias("pos", "token_id"))
-    names, small = broadcast_if_small(vocab.select("token", "token_id"))
-    if small:
-        joined = rows.join(names, "token_id", "left")
-    else:
-        copies = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn(
-            "_salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int")
-        ).join(copies, ["token_id", "_salt"], "left")
-    return joined.groupBy(key).agg(
-        F.transform(
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        F.col("pos").isNotNull(),
-                        F.struct("pos", F.coalesce("token", F.lit(UNK)).alias("token")),
-                    )
-                )
-            ),
-            lambda x: x["token"],
-        ).alias(out)
-    )
+    """The way back; ids not in the vocabulary give ``<unk>``."""
+    return _exchange(df, ids, out, vocab.select("token_id", "token"), UNK, key)

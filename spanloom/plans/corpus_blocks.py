@@ -19,7 +19,7 @@ def corpus_blocks(
     """``block_id, ids``: packed, wrapped in markers, as vocabulary ids."""
     blocks = pack_blocks(corpus.select(key, text), word_tokens(text), key, block_size)
     wrapped = blocks.select("block_id", wrap_special(F.col("tokens")).alias("tokens"))
-    return tokens_to_ids(wrapped, "block_id", "tokens", vocab)
+    return tokens_to_ids(wrapped, "tokens", vocab, key="block_id").select("block_id", "ids")
 
 
 def masked_blocks(blocks: DataFrame, seed: int, vocab_size: int) -> DataFrame:
@@ -33,11 +33,7 @@ def masked_blocks(blocks: DataFrame, seed: int, vocab_size: int) -> DataFrame:
         specials[MASK],
         [specials[BOS], specials[SEP]],
     )
-    return blocks.withColumn("_m", mask).select(
-        "block_id",
-        F.col("_m.input_id").alias("input_ids"),
-        F.col("_m.label").alias("labels"),
-    )
+    return blocks.select("block_id", mask.alias("_m")).select("block_id", "_m.*")
 
 
 def corpus_vocab(corpus: DataFrame, size: int, text: str = "text") -> DataFrame:

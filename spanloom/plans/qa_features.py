@@ -79,8 +79,7 @@ def prepare_features(
     )
     if vocab is None:
         return rows
-    ids = tokens_to_ids(rows, "seq", "input_ids", vocab, out="input_ids")
-    return rows.drop("input_ids").join(ids, "seq")
+    return tokens_to_ids(rows, "input_ids", vocab, out="input_ids", key="seq")
 
 
 def evaluate_predictions(
