@@ -57,9 +57,7 @@ def bucket_bounds(
 
 def with_bucket(df: DataFrame, key: str, bounds: Sequence[float]) -> DataFrame:
     """Adds the bucket number of ``key``; monotone in the key."""
-    if not bounds:
-        return df.withColumn(BUCKET, F.lit(0))
-    splits = [-math.inf, *bounds, math.inf]
+    splits = [-math.inf, *(bounds or [0.0]), math.inf]
     cut = Bucketizer(splits=splits, inputCol=key, outputCol=BUCKET).transform(df)
     return cut.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
