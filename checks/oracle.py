@@ -324,6 +324,11 @@ SELECT vec_id, array_to_string(range(st, en + 1), ' ') AS answer FROM m""",
     "distributed_eval": EVALUATED + " SELECT doc_id, output, match FROM res",
 }
 
+_AUDIT_LONG = """
+SELECT lang, CASE WHEN s IS NULL THEN 'unaligned' WHEN st IS NULL OR en IS NULL THEN 'unmapped' WHEN en >= 512 THEN 'over_long' ELSE 'kept' END AS reason, count(*) AS n_rows
+FROM placed GROUP BY ALL
+UNION ALL SELECT lang, 'repeated', count(*) - (SELECT count(*) FROM kept k WHERE k.lang = qa.lang) FROM qa GROUP BY lang"""
+
 _LONG = (
     "WITH " + KEPT + """,
 g AS (SELECT lang, idx // 3 AS gi, string_agg(context, '' ORDER BY idx) AS joined FROM kept GROUP BY ALL),
@@ -332,6 +337,7 @@ long AS (
     (coalesce(sum(len(k.context)) OVER (PARTITION BY k.lang, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + answer_start)::BIGINT AS answer_start
   FROM kept k JOIN g ON k.lang = g.lang AND k.idx // 3 = g.gi),""" + aligned("long") + "," + encoded("al", 2044) + "," + placed(2044)
 )
+ORACLE["audit_preparation"] = _LONG.replace("2044", "508") + _AUDIT_LONG
 ORACLE["prepare_long_features"] = _LONG + """
 SELECT seq, lang, st::BIGINT AS start_positions, en::BIGINT AS end_positions, (ka + kb + 4)::BIGINT AS n_used FROM placed
 WHERE st IS NOT NULL AND en IS NOT NULL"""

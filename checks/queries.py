@@ -352,13 +352,7 @@ def alias_match(spark, d):
 def align_predictions(spark, d):
     refs = t.qa_rows(spark, d).select("seq", "answer")
     preds = t.qa_predictions(spark, d).select((F.col("seq") + 1).alias("seq"), "pred")
-    pairs, no_pred, no_ref = evaluate.align_predictions(refs, preds, "seq")
-    side = [
-        pairs.withColumn("state", F.lit("paired")),
-        no_pred.select("seq", "answer", F.lit(None).cast("string").alias("pred"), F.lit("no prediction").alias("state")),
-        no_ref.select("seq", F.lit(None).cast("string").alias("answer"), "pred", F.lit("no reference").alias("state")),
-    ]
-    return tidy(side[0].unionByName(side[1]).unionByName(side[2]))
+    return tidy(evaluate.align_predictions(refs, preds, "seq"))
 
 
 def label_languages(spark, d):
@@ -426,6 +420,11 @@ def row_audit(spark, d):
     )
 
 
+def audit_preparation(spark, d):
+    """Rows before and after the preparation of long inputs, by reason."""
+    return tidy(qa_features.audit_preparation(t.qa_examples(spark, d), 3, max_length=512))
+
+
 def union_languages(spark, d):
     docs = t.documents(spark, d).select("doc_id", "lang", "text")
     parts = {lang: docs.where(F.col("lang") == lang).drop("lang") for lang in LANGS}
@@ -499,7 +498,7 @@ QUERIES = {
         span_policy, ids_tokens, wrap_special, extract_span, clean_output, alias_match, mlm_mask,
         align_predictions, label_languages, vocab_lookup,
         squad_eval, squad_eval_by_lang, alias_accuracy, binary_metrics, bits_per_token, span_stats,
-        length_profile, row_lengths, concat_fit, row_audit, build_vocab,
+        length_profile, row_lengths, concat_fit, row_audit, audit_preparation, build_vocab,
         union_languages,
         map_rows, filter_rows, score_spans, score_spans_model, distributed_eval,
         prepare_long_features,

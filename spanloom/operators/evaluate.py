@@ -18,14 +18,23 @@ from spanloom.functions.spans import argmax
 from spanloom.functions.text import answer_tokens, normalize_answer, split_normalized
 
 
-def align_predictions(
-    references: DataFrame, predictions: DataFrame, key: str = "id"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs by key: (pairs, references without prediction, predictions without reference)."""
+def align_predictions(references: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """Pairs by key, with ``state``: ``paired``, ``no prediction`` or ``no reference``.
+
+    One full join, so both kinds of leftovers come out of the same shuffle. Only
+    paired rows are to be scored.
+    """
+    left = references.withColumn("_r", F.lit(True))
+    right = predictions.withColumn("_p", F.lit(True))
     return (
-        references.join(predictions, key),
-        references.join(predictions, key, "left_anti"),
-        predictions.join(references, key, "left_anti"),
+        left.join(right, key, "full")
+        .withColumn(
+            "state",
+            F.when(F.col("_p").isNull(), "no prediction")
+            .when(F.col("_r").isNull(), "no reference")
+            .otherwise("paired"),
+        )
+        .drop("_r", "_p")
     )
 
 

@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from spanloom.session import broadcast_if_small, cut_lineage
 
+# A bucket is the unit of work: small enough to sort in memory, and there are
+# several per shuffle partition so that partitions come out even.
 ROWS_PER_BUCKET = 8_192
-MAX_BUCKETS = 131_072
+MIN_ROWS_PER_BUCKET = 128
+BUCKETS_PER_PARTITION = 4
+MAX_BUCKETS = 262_144
 SAMPLES_PER_BUCKET = 16
 
 BUCKET = "_bucket"
@@ -32,7 +36,7 @@ HOME = "_home"
 def bucket_bounds(
     df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int = MAX_BUCKETS
 ) -> list[float]:
-    """Inner bounds of key buckets with about ``rows_per_bucket`` rows each.
+    """Inner bounds of key buckets with at most about ``rows_per_bucket`` rows each.
 
     Reads the key column only. At most ``SAMPLES_PER_BUCKET * max_buckets``
     keys reach the driver, whatever the table's size. The sample decides how
@@ -42,7 +46,9 @@ def bucket_bounds(
         raise ValueError("rows_per_bucket must be positive")
     keys = df.select(F.col(key).cast("double").alias("k"))
     rows = keys.count()
-    buckets = min(max_buckets, math.ceil(rows / rows_per_bucket))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = min(BUCKETS_PER_PARTITION * partitions, rows // MIN_ROWS_PER_BUCKET)
+    buckets = min(max_buckets, max(spread, math.ceil(rows / rows_per_bucket)))
     if buckets <= 1:
         return []
     wanted = buckets * SAMPLES_PER_BUCKET
@@ -133,7 +139,9 @@ def ordered_groups(
 
 
 def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
-    """Per bucket: where its first own group starts, at which index, and where earlier rows belong."""
+    """Per bucket: where its first own group starts, at which index, and where
+    earlier rows belong. Buckets that lie within one run have no row to keep and
+    are left out, so that a run holding much of the table is not shuffled."""
     keys = [*by, BUCKET]
     key = order_key(order)
     if runs_of is None and span == 1:
@@ -143,7 +151,7 @@ def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
         heads = heads.withColumn("_keep_first", F.lit(True))
     else:
         local = Window.partitionBy(*keys).orderBy(*order)
-        mark = F.lit(0) if runs_of is None else F.sha2(F.col(runs_of), 256)
+        mark = F.lit(0) if runs_of is None else F.unhex(F.sha2(F.col(runs_of), 256))
         narrow = rows.select(*keys, *[c for c in order if c not in keys], mark.alias("_mark"))
         if runs_of is None:
             narrow = narrow.withColumn("_new", F.lit(True))
@@ -186,6 +194,7 @@ def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
             F.last(F.when(F.col("_start").isNotNull(), F.col(BUCKET)), True).over(earlier),
         )
         .withColumn("_prev_base", F.last("_base", True).over(earlier))
+        .where(F.col("_n") > 0)
         .select(*keys, "_start", "_base", "_prev_home", "_prev_base")
     )
 

@@ -76,7 +76,7 @@ def place_texts(
 
     Adds ``_home``, the token range ``_from .. _to`` (exclusive) the text gives
     to that home, and ``_base``, the number of the home's first block (set on
-    the row that holds it). Only texts over a home boundary occur twice. The
+    the home's first text). Only texts over a home boundary occur twice. The
     texts are shuffled once; only counts are summed ahead of that.
     """
     if size <= 0:
@@ -127,11 +127,10 @@ def pack_blocks(
     size = block_size - num_special
     placed = place_texts(df, key, F.size(tokens), size, rows_per_bucket)
     local = Window.partitionBy(HOME).orderBy(key)
-    whole = local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     length = F.col("_to") - F.col("_from")
     laid = (
         placed.withColumn("_pos", F.sum(length).over(local) - length)
-        .withColumn("_base", F.max("_base").over(whole))
+        .withColumn("_base", F.first("_base").over(local))
         .withColumn("_t", F.slice(tokens, (F.col("_from") + 1).cast("int"), length.cast("int")))
         .select(HOME, "_base", "_pos", "_t")
     )

@@ -15,8 +15,10 @@ from spanloom.functions.spans import (
 from spanloom.functions.text import word_tokens
 from spanloom.operators.concat import concat_contexts
 from spanloom.operators.evaluate import score_answers, squad_eval_by
+from spanloom.operators.profile import row_audit
 from spanloom.operators.rows import filter_valid_spans
 from spanloom.operators.vocab import tokens_to_ids
+from spanloom.session import cut_lineage
 
 
 def label_spans(
@@ -53,6 +55,37 @@ def rejection_reason(max_length: int):
     )
 
 
+def audit_preparation(
+    qa: DataFrame,
+    nr_concats: int | None = None,
+    max_length: int = 512,
+    policy: str = "null",
+    limit: int = 512,
+    by: tuple[str, ...] = ("lang",),
+) -> DataFrame:
+    """``reason, n_rows`` per ``by``: rows that stay, and rows lost at each step.
+
+    ``repeated`` counts rows dropped as repeats of their neighbour's context.
+    """
+    rows = concat_contexts(qa, nr_concats, by=by) if nr_concats is not None else qa
+    # The counts are a few rows per language and are used twice.
+    after = cut_lineage(
+        row_audit(label_spans(rows, max_length, policy, limit), rejection_reason(max_length), by)
+    )
+    left = after.groupBy(*by).agg(F.sum("n_rows").alias("_left"))
+    repeated = (
+        qa.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_all"))
+        .join(left, list(by), "left")
+        .select(
+            *by,
+            F.lit("repeated").alias("reason"),
+            (F.col("_all") - F.coalesce("_left", F.lit(0))).alias("n_rows"),
+        )
+    )
+    return after.unionByName(repeated)
+
+
 def prepare_features(
     qa: DataFrame,
     vocab: DataFrame | None = None,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from spanloom.session import broadcast_if_small
 
 # Languages of the public multilingual QA corpora, and names.
 XQUAD_LANGS = ["ar", "de", "el", "en", "es", "hi", "ru", "th", "tr", "vi", "zh"]
@@ -36,6 +37,6 @@ def languages(spark: SparkSession, base: str, langs: list[str] | None = None) ->
 
 
 def label_languages(df: DataFrame, dim: DataFrame) -> DataFrame:
-    """Adds the label by language code; unknown codes get NULL. ``dim`` has one
-    row per language of the registry, which bounds it."""
-    return df.join(F.broadcast(dim), "lang", "left")
+    """Adds the label by language code; unknown codes get NULL."""
+    side, _ = broadcast_if_small(dim)
+    return df.join(side, "lang", "left")

@@ -12,9 +12,13 @@ SMALL_TABLE_BYTES = 512 * 1024 * 1024
 def read_table(spark: SparkSession, path: str, small_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
     """A Parquet table; a small one is spread over the cores.
 
-    Only the file sizes are looked at. A table of ``small_bytes`` or more has
-    enough row groups to be read in parallel and is left as it is stored.
+    Only the files' number and sizes are looked at. A table of many files, or of
+    ``small_bytes`` or more, is read in parallel as it is stored.
     """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
     size = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -22,7 +26,4 @@ def read_table(spark: SparkSession, path: str, small_bytes: int = SMALL_TABLE_BY
         .agg(F.sum("length"))
         .first()[0]
     )
-    rows = spark.read.parquet(path)
-    if (size or 0) < small_bytes:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
+    return rows.repartition(cores) if (size or 0) < small_bytes else rows

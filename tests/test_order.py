@@ -69,6 +69,19 @@ def test_one_dominant_language_and_clustered_keys(spark):
     assert {r.seq: (r.lang, r.idx) for r in got} == expected(rows, True)
 
 
+def test_long_run_does_not_pile_up(spark):
+    rows = [("en", i, "same" if 200 <= i < 900 else str(i // 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = order.ordered_groups(df, "seq", 3, ["lang"], "context", rows_per_bucket=20)
+    assert {r.seq: (r.lang, r.idx) for r in got.collect()} == expected(rows, True)
+    bounds = order.bucket_bounds(df, "seq", 20)
+    starts = order._group_starts(order.with_bucket(df, "seq", bounds), ["seq"], 3, ["lang"], "context")
+    routed = order.with_bucket(df, "seq", bounds).join(starts, ["lang", "_bucket"])
+    home = F.when(F.col("seq") >= F.col("_start"), F.col("_bucket")).otherwise(F.col("_prev_home"))
+    sizes = [r["count"] for r in routed.groupBy(home.alias("h")).count().collect()]
+    assert max(sizes) < 4 * 20
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 17])
 def test_index_does_not_depend_on_partitions(spark, partitions):
     df = spark.range(100).select((F.col("id") * 7 % 101).alias("seq")).repartition(partitions)
