@@ -481,7 +481,7 @@ def prepare_long_features(spark, d):
     """Concatenation, repair, encoding and labels in one plan."""
     made = qa_features.prepare_features(t.qa_examples(spark, d), nr_concats=3, max_length=2048)
     return tidy(made.select("seq", "lang", "start_positions", "end_positions",
-                            F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_used")))
+                            F.size(F.array_remove("attention_mask", 0)).alias("n_used")))
 
 
 QUERIES = {

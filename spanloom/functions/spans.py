@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import _col, char_to_token
+from spanloom.functions.binding import let
+from spanloom.functions.text import _col, span_tokens
 
 # Special tokens of the encoded pair and how far a start may be off.
 BOS, SEP, PAD, MASK, UNK = "<s>", "</s>", "<pad>", "<mask>", "<unk>"
@@ -106,19 +107,21 @@ def span_to_tokens(context: Column, span: Column, input_tokens: Column, sep=SEP)
     """
     separator = F.array_position(input_tokens, sep) - 1
     lead = separator + 2
-    return F.struct(
-        (char_to_token(context, span["start"]) + lead).alias("start"),
-        (char_to_token(context, span["end"] - 1) + lead).alias("end"),
+    return let(
+        span_tokens(context, span["start"], span["end"]),
+        lambda at: F.struct((at["start"] + lead).alias("start"), (at["end"] + lead).alias("end")),
     )
 
 
 def span_to_tokens_first(context: Column, span: Column, kept: Column) -> Column:
     """Token positions when the context is the first side; NULL where it was cut."""
-    def place(at: Column) -> Column:
-        token = char_to_token(context, at)
+    def place(token: Column) -> Column:
         return F.when(token < kept, token + 1)
 
-    return F.struct(place(span["start"]).alias("start"), place(span["end"] - 1).alias("end"))
+    return let(
+        span_tokens(context, span["start"], span["end"]),
+        lambda at: F.struct(place(at["start"]).alias("start"), place(at["end"]).alias("end")),
+    )
 
 
 def span_policy(start: Column, end: Column, policy: str, limit: int = 512) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.batches import running_ends
-from spanloom.functions.binding import once
+from spanloom.functions.binding import let, once
 
 # ASCII punctuation, English articles as whole Unicode words, and
 # the characters that separate words. `\b` and `\s` of Java differ on non-ASCII
@@ -65,6 +65,30 @@ def char_to_token(text: str | Column, at: str | Column, token: str = TOKEN) -> C
     return F.when(inside, F.regexp_count(until, F.lit(token)).cast("long") - 1)
 
 
+def span_tokens(
+    text: str | Column, start: str | Column, end: str | Column, token: str = TOKEN
+) -> Column:
+    """``struct<start,end>``: the tokens of a span's first and last character.
+
+    As ``char_to_token`` for both, but the text before the span is read once.
+    """
+    text, start, end = _col(text), _col(start), _col(end)
+
+    def holds(at: Column) -> Column:
+        return (at >= 0) & F.substring(text, at + 1, F.lit(1)).rlike(token)
+
+    def both(begun: Column) -> Column:
+        inside = F.regexp_count(F.substring(text, start + 1, end - start), F.lit(token))
+        first = F.when(holds(start), begun - 1)
+        ahead = begun - holds(start).cast("int")
+        last = F.when(holds(end - 1) & (end > start), ahead + inside - 1)
+        last = last.when(holds(end - 1), char_to_token(text, end - 1, token))
+        return F.struct(first.cast("long").alias("start"), last.cast("long").alias("end"))
+
+    until = F.regexp_count(F.substring(text, F.lit(1), start + 1), F.lit(token))
+    return let(until, both)
+
+
 def tokenize_offsets(text: str | Column, token: str = TOKEN, gap: str = GAP) -> Column:
     """Tokens as ``array<struct<tok,start,end>>``: character offsets, end exclusive.
 

@@ -90,21 +90,26 @@ def rebase_answer_start(
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Adds ``new_start``, the first answer start within the joined context,
-    without building that context. Only lengths meet in a window."""
+    """The rows without their context but with ``new_start``, the first answer
+    start within the joined context. Only a digest and the length of a context
+    are shuffled."""
     by = list(by)
     nested = _starts_are_nested(df, answers)
-    rows = _indexed(df, span, order, context, by, rows_per_bucket)
+    narrow = df.select(
+        *[c for c in df.columns if c != context],
+        F.unhex(F.sha2(context, 256)).alias("_digest"),
+        F.length(context).cast("long").alias("_length"),
+    )
+    rows = ordered_groups(
+        narrow, order, span, by, runs_of="_digest", rows_per_bucket=rows_per_bucket
+    ).withColumn("group_id", span_group("idx", span))
     in_group = Window.partitionBy(*by, HOME, "group_id").orderBy("idx")
     before = F.coalesce(
-        F.sum(F.length(context).cast("long")).over(
-            in_group.rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
+        F.sum("_length").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     return rows.withColumn(
         "new_start", before + first_start(F.col(answers)["answer_start"], nested)
-    ).drop(HOME, "_chars")
+    ).drop(HOME, "_digest", "_length")
 
 
 def join_group_context(

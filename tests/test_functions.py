@@ -115,6 +115,10 @@ def test_positions(spark):
     for at, token in got.items():
         inside = 0 <= at < len(context) and not context[at].isspace()
         assert token == (len(context[: at + 1].split()) - 1 if inside else None)
+    spans_of = [(s, e) for s in range(0, len(context) + 1) for e in range(s, len(context) + 1)]
+    pairs = spark.createDataFrame(spans_of, "s int, e int").withColumn("c", F.lit(context))
+    for r in pairs.select("s", "e", text.span_tokens("c", "s", "e").alias("x")).collect():
+        assert (r.x.start, r.x.end) == (got[r.s], got[r.e - 1]), (r.s, r.e)
     toks = df.limit(1).select(text.tokenize_offsets("c").alias("t")).first().t
     assert [x.tok for x in toks] == context.split()
     assert all(context[x.start : x.end] == x.tok for x in toks)
