@@ -27,18 +27,33 @@ def _positions(lists: pa.ListArray) -> np.ndarray:
     return np.arange(len(lists.values)) - np.repeat(offsets[:-1], np.diff(offsets))
 
 
-def running_ends(pieces: Column) -> Column:
-    """For an array of strings the running total of their lengths (code points)."""
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def ends(lists: pa.Array) -> pa.Array:
-        sizes = pc.utf8_length(lists.values).to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        offsets = lists.offsets.to_numpy()
-        before = np.repeat(total[offsets[:-1]], np.diff(offsets))
-        return _like(lists, pa.array(total[1:] - before))
-
-    return ends(pieces)
+def with_offsets(tokens: Column, gaps: Column) -> Column:
+    """``array<struct<tok,start,end>>`` from tokens and the gaps around them (one
+    more gap than tokens); offsets count code points."""
+    part = T.StructType(
+        [
+            T.StructField("tok", T.StringType()),
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+        ]
+    )
+
+    @F.arrow_udf(T.ArrayType(part))
+    def place(words: pa.Array, between: pa.Array) -> pa.Array:
+        def sizes(lists: pa.Array) -> np.ndarray:
+            return pc.utf8_length(lists.values).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        size = sizes(words)
+        offsets = words.offsets.to_numpy()
+        row = np.repeat(np.arange(len(words)), np.diff(offsets))
+        # Of a row's gaps the last one has no token behind it.
+        gap = sizes(between)[np.arange(len(size)) + row]
+        total = np.concatenate([[0], np.cumsum(size + gap)])
+        end = total[1:] - total[offsets[:-1]][row]
+        parts = [words.values, pa.array(end - size), pa.array(end)]
+        return _like(words, pa.StructArray.from_arrays(parts, ["tok", "start", "end"]))
+
+    return place(tokens, gaps)
 
 
 def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Column:

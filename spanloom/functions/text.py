@@ -7,8 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.batches import running_ends
-from spanloom.functions.binding import let, once
+from spanloom.functions.batches import with_offsets
+from spanloom.functions.binding import let
 
 # ASCII punctuation, English articles as whole Unicode words, and
 # the characters that separate words. `\b` and `\s` of Java differ on non-ASCII
@@ -17,9 +17,8 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
 
-# Default word tokeniser: runs of non-space, separated by runs of space.
+# Default word tokeniser: runs of non-space.
 TOKEN = r"\S+"
-GAP = r"\s+"
 
 
 def _col(c: str | Column) -> Column:
@@ -89,26 +88,12 @@ def span_tokens(
     return let(until, both)
 
 
-def tokenize_offsets(text: str | Column, token: str = TOKEN, gap: str = GAP) -> Column:
-    """Tokens as ``array<struct<tok,start,end>>``: character offsets, end exclusive.
+def tokenize_offsets(text: str | Column, token: str = TOKEN) -> Column:
+    """Tokens as ``array<struct<tok,start,end>>``: character offsets, end exclusive."""
+    return with_offsets(word_tokens(text, token), F.split(_col(text), token, -1))
 
-    The text is cut into tokens, gaps and single other characters, so that the
-    lengths of the pieces add up to the offsets.
-    """
-    pieces = F.regexp_extract_all(_col(text), F.lit(f"{token}|{gap}|(?s:.)"), F.lit(0))
-    placed = F.zip_with(
-        pieces,
-        running_ends(pieces),
-        lambda p, end: F.struct(
-            p.alias("tok"), (end - F.length(p)).alias("start"), end.alias("end")
-        ),
-    )
-    return F.filter(placed, lambda x: x["tok"].rlike(f"^(?:{token})$"))
-
-
-def token_rows(
-    df: DataFrame, text: str, *keep: str, token: str = TOKEN, gap: str = GAP
-) -> DataFrame:
+
+def token_rows(df: DataFrame, text: str, *keep: str, token: str = TOKEN) -> DataFrame:
     """One row per token: the ``keep`` columns, ``pos``, ``tok``, ``start``, ``end``."""
-    found = once(df.select(*keep, text), _t=tokenize_offsets(text, token, gap))
+    found = df.select(*keep, tokenize_offsets(text, token).alias("_t"))
     return found.select(*keep, F.posexplode("_t").alias("pos", "_x")).select(*keep, "pos", "_x.*")

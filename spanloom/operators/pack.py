@@ -74,27 +74,27 @@ def place_texts(
 ) -> DataFrame:
     """Puts each text where the blocks it takes part in are built.
 
-    Adds ``_home``, the token range ``_from .. _to`` (exclusive) the text gives
-    to that home, and ``_base``, the number of the home's first block (set on
+    Adds ``_home``, the token range ``_from .. _to`` (exclusive; NULL for the
+    text's end) the text gives to that home, and ``_base``, the number of the home's first block (set on
     the home's first text). Only texts over a home boundary occur twice. The
     texts are shuffled once; only counts are summed ahead of that.
     """
     if size <= 0:
         raise ValueError("block size must be positive")
-    counted = once(df, _n=n_tokens.cast("long")).where(F.col("_n") > 0)
-    texts = with_bucket(counted, key, bucket_bounds(df, key, rows_per_bucket))
-    starts = cut_lineage(_block_starts(texts, key, size))
+    texts = with_bucket(df, key, bucket_bounds(df, key, rows_per_bucket))
+    counted = once(texts, _n=n_tokens.cast("long")).where(F.col("_n") > 0)
+    starts = cut_lineage(_block_starts(counted, key, size))
     joined = join_summary(texts, starts, [BUCKET])
     own = F.struct(
         F.col(BUCKET).alias("home"),
         F.when(F.col(key) == F.col("_start"), F.col("_cut")).otherwise(F.lit(0)).alias("from"),
-        F.col("_n").alias("to"),
+        F.lit(None).cast("long").alias("to"),
         F.when(F.col(key) == F.col("_start"), F.col("_base")).alias("base"),
     )
     back = F.struct(
         F.col("_prev_home").alias("home"),
         F.lit(0).cast("long").alias("from"),
-        F.when(F.col(key) == F.col("_start"), F.col("_cut")).otherwise(F.col("_n")).alias("to"),
+        F.when(F.col(key) == F.col("_start"), F.col("_cut")).alias("to"),
         F.lit(None).cast("long").alias("base"),
     )
     parts = (
@@ -121,17 +121,28 @@ def pack_blocks(
 ) -> DataFrame:
     """``block_id, tokens`` with ``block_size - num_special`` tokens each.
 
-    ``tokens`` is an expression over the columns of ``df``; it is evaluated on
-    both sides of the shuffle so that the texts travel as they are stored.
+    ``tokens`` is an expression over the columns of ``df``; it is evaluated to
+    count and again behind the shuffle, so that the texts travel as they are
+    stored.
     """
     size = block_size - num_special
     placed = place_texts(df, key, F.size(tokens), size, rows_per_bucket)
     local = Window.partitionBy(HOME).orderBy(key)
-    length = F.col("_to") - F.col("_from")
+    until = F.coalesce("_to", F.size(tokens).cast("long"))
+    # Sorted as the window wants it while the rows still hold the texts.
+    cut = (
+        placed.repartition(HOME)
+        .sortWithinPartitions(HOME, key)
+        .withColumn("_len", until - F.col("_from"))
+        .withColumn(
+            "_t", F.slice(tokens, (F.col("_from") + 1).cast("int"), F.col("_len").cast("int"))
+        )
+        .select(HOME, key, "_base", "_len", "_t")
+    )
     laid = (
-        placed.withColumn("_pos", F.sum(length).over(local) - length)
+        cut.withColumn("_pos", F.sum("_len").over(local) - F.col("_len"))
         .withColumn("_base", F.first("_base").over(local))
-        .withColumn("_t", F.slice(tokens, (F.col("_from") + 1).cast("int"), length.cast("int")))
+        .where(F.col("_len") > 0)
         .select(HOME, "_base", "_pos", "_t")
     )
     pieces = laid.select(
