@@ -127,15 +127,16 @@ def pack_blocks(
     """
     size = block_size - num_special
     placed = place_texts(df, key, F.size(tokens), size, rows_per_bucket)
-    local = Window.partitionBy(HOME).orderBy(key)
-    until = F.coalesce("_to", F.size(tokens).cast("long"))
+    local = Window.partitionBy(HOME).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    until = F.coalesce("_to", F.size("_all").cast("long"))
     # Sorted as the window wants it while the rows still hold the texts.
     cut = (
         placed.repartition(HOME)
         .sortWithinPartitions(HOME, key)
+        .withColumn("_all", tokens)
         .withColumn("_len", until - F.col("_from"))
         .withColumn(
-            "_t", F.slice(tokens, (F.col("_from") + 1).cast("int"), F.col("_len").cast("int"))
+            "_t", F.slice("_all", (F.col("_from") + 1).cast("int"), F.col("_len").cast("int"))
         )
         .select(HOME, key, "_base", "_len", "_t")
     )
