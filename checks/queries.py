@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from checks import tables as t
 from spanloom.functions import score, spans, text
+from spanloom.functions.binding import once
 from spanloom.functions.masking import IGNORED
 from spanloom.operators import batches, concat, evaluate, hooks, order, pack, profile, rows, vocab
 from spanloom.plans import corpus_blocks, long_documents, qa_features
@@ -220,7 +221,8 @@ def align_answer_ci(spark, d):
 
 
 def tokenize_offsets(spark, d):
-    found = t.documents(spark, d).select("doc_id", text.tokenize_offsets("text").alias("tokens"))
+    # Bound, as the filter would otherwise have the tokens made twice.
+    found = once(t.documents(spark, d).select("doc_id", "text"), tokens=text.tokenize_offsets("text"))
     return tidy(
         found.where(F.size("tokens") > 0).select(
             "doc_id",
