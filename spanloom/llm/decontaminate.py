@@ -56,6 +56,13 @@ class Benchmark:
         self.widths = sorted(set(np.minimum(self.size, SHINGLE).tolist()))
         self.shingles = {w: np.unique(self._shingles(w)[0]) for w in self.widths}
 
+    @classmethod
+    def load(cls, state: dict) -> "Benchmark":
+        """From the plain values that a broadcast carries."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
     def key(self, ids: np.ndarray) -> np.ndarray:
         """One number per row of word numbers; -1 where a word is unknown."""
         key = np.zeros(len(ids), np.int64)
@@ -158,18 +165,18 @@ def _slices(benchmark: DataFrame, item_id: str, text: str, limit: int) -> tuple[
 
 def _count_pass(docs: DataFrame, text: str, shared) -> dict[int, np.ndarray]:
     def run(batches):
-        totals_ = None
+        index, total = Benchmark.load(shared.value), None
         for _, texts in text_chunks(batches):
-            now = shared.value.count(texts)
-            totals_ = now if totals_ is None else {w: totals_[w] + now[w] for w in now}
-        for width, n in (totals_ or {}).items():
+            now = index.count(texts)
+            total = now if total is None else {w: total[w] + now[w] for w in now}
+        for width, n in (total or {}).items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(at), width)), pa.array(at), pa.array(n[at])], ["width", "at", "n"]
             )
 
     rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "width long, at long, n long")
-    counts = {w: np.zeros(len(k), np.int64) for w, k in shared.value.shingles.items()}
+    counts = {w: np.zeros(len(k), np.int64) for w, k in shared.value["shingles"].items()}
     # as many rows as the slice has shingles, at most
     for r in rows.groupBy("width", "at").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.width][r.at] = r.n
@@ -196,11 +203,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
 def _one_slice(spark, all_docs, docs, items, keep, text, window, fields) -> DataFrame:
     rows = items.select("item_id", "text").collect()  # at most one slice
     index = Benchmark([r.item_id for r in rows], [r.text for r in rows], window)
-    index.choose(_count_pass(all_docs, text, spark.sparkContext.broadcast(index)))
-    shared = spark.sparkContext.broadcast(index)
+    index.choose(_count_pass(all_docs, text, spark.sparkContext.broadcast(index.__dict__)))
+    shared = spark.sparkContext.broadcast(index.__dict__)
 
     def run(texts: pa.Array) -> list:
-        index = shared.value
+        index = Benchmark.load(shared.value)
         words, hit, pairs = index.match(texts)
         owner = words.owner
         before = np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])]) if len(hit) else hit

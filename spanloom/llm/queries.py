@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, simhash, quality_rules
+from spanloom.llm import bpe, pii, decontaminate, simhash, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,19 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.token_digests(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op2_pii_spans": op2_pii_spans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
