@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, pii, decontaminate, simhash, quality_rules
+from spanloom.llm import repeats, bpe, pii, decontaminate, simhash, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,15 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op2_pii_spans": op2_pii_spans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
