@@ -60,7 +60,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis=axis)
 
 
-def forward_backward(emission: np.ndarray, there: np.ndarray, transition: np.ndarray, start: np.ndarray):
+def forward_backward(emission: np.ndarray, there: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = True):
     """Label marginals (step, sequence, label), expected transitions, and log normalisers."""
     steps, n, k = emission.shape
     ahead = np.zeros_like(emission)
@@ -70,15 +70,16 @@ def forward_backward(emission: np.ndarray, there: np.ndarray, transition: np.nda
         ahead[t] = np.where(there[t][:, None], new, ahead[t - 1])
     norm = _log_sum(ahead[-1], 1)
     behind = np.zeros_like(emission)
-    pairs = np.zeros((k, k))
+    expected = np.zeros((k, k))
     for t in range(steps - 2, -1, -1):
         follow = (behind[t + 1] + emission[t + 1])[:, None, :] + transition[None]
         on = there[t + 1]
         behind[t] = np.where(on[:, None], _log_sum(follow, 2), 0.0)
-        joint = np.exp(ahead[t][:, :, None] + follow - norm[:, None, None])
-        pairs += joint[on].sum(axis=0)
+        if pairs:
+            joint = np.exp(ahead[t][:, :, None] + follow - norm[:, None, None])
+            expected += joint[on].sum(axis=0)
     marginals = np.exp(ahead + behind - norm[None, :, None]) * there[:, :, None]
-    return marginals, pairs, norm
+    return marginals, expected, norm
 
 
 class Model:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import repeats, bpe, pii, decontaminate, simhash, quality_rules
+from spanloom.llm import toxicity, repeats, bpe, pii, decontaminate, simhash, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, model, ["doc_id"]).select("row.doc_id", "score", "spans")
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op2_pii_spans": op2_pii_spans,
