@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import toxicity, repeats, bpe, pii, decontaminate, simhash, quality_rules
+from spanloom.llm import html_text, language, toxicity, repeats, bpe, pii, decontaminate, simhash, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +83,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    found = language.predict(docs, language.fit(docs, ~held_out), ["doc_id"])
+    return found.select("row.doc_id", "lang_pred", "score", "n_spans").withColumn("held_out", held_out)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_html_extraction": op10_html_extraction,
+    "op3_language_id": op3_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
