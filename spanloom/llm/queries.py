@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import html_text, language, toxicity, repeats, bpe, pii, decontaminate, simhash, quality_rules
+from spanloom.llm import ids_file, html_text, language, toxicity, repeats, bpe, pii, decontaminate, simhash, quality_rules
+from spanloom.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +96,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op1_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    ids_file.write_ids(_table(spark, sf_dir, "documents"), path)
+    return ids_file.read_checksums(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_id_files": op1_token_id_files,
     "op10_html_extraction": op10_html_extraction,
     "op3_language_id": op3_language_id,
     "op8_toxicity": op8_toxicity,
