@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,21 +310,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Of rows that share this id, the one with the smallest hash of its text stays.
     """
     found = near_duplicates(docs, doc_id, text=text)
-    kept = cut_lineage(
-        found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-        .groupBy(doc_id)
-        .agg(F.count(F.lit(1)).alias("rows"))
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(doc_id).alias("key")
     )
-    key = F.col("kept.id")
-    once = kept.where("rows = 1").select(F.col(doc_id).alias("id")).alias("kept")
-    stay = docs.join(once, docs[doc_id].eqNullSafe(key), "left_semi")
-    more = kept.where("rows > 1").select(F.col(doc_id).alias("id")).alias("kept")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = (
-        docs.join(more, docs[doc_id].eqNullSafe(key), "left_semi")
-        .select(F.struct(*names).alias("row"))
-        .groupBy(F.col(f"row.{doc_id}").alias("id"))
-        .agg(F.min_by("row", F.xxhash64(f"row.{text}")).alias("row"))
+    # The kept ids grow with the documents, so the join is never planned as a broadcast.
+    ids = kept.select(_key(doc_id).alias("key")).distinct().hint("merge")
+    place = Window.partitionBy("key").orderBy(F.xxhash64(F.col(f"row.`{text}`")))
+    return (
+        rows.join(ids, "key", "left_semi")
+        .withColumn("place", F.row_number().over(place))
+        .where("place = 1")
         .select("row.*")
     )
-    return stay.unionByName(repeated)
+
+
+def _key(doc_id: str) -> Column:
+    """The id as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{doc_id}`").cast("string")), F.lit(""))
