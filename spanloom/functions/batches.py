@@ -46,8 +46,8 @@ def with_offsets(tokens: Column, gaps: Column) -> Column:
         size = sizes(words)
         offsets = words.offsets.to_numpy()
         row = np.repeat(np.arange(len(words)), np.diff(offsets))
-        # Of a row's gaps the last one has no token behind it.
-        gap = sizes(between)[np.arange(len(size)) + row]
+        # The gap ahead of a token stands at the same place among its row's gaps.
+        gap = sizes(between)[between.offsets.to_numpy()[:-1][row] + _positions(words)]
         total = np.concatenate([[0], np.cumsum(size + gap)])
         end = total[1:] - total[offsets[:-1]][row]
         parts = [words.values, pa.array(end - size), pa.array(end)]

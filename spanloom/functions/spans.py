@@ -124,12 +124,13 @@ def span_to_tokens_first(context: Column, span: Column, kept: Column) -> Column:
     )
 
 
-def span_policy(start: Column, end: Column, policy: str, limit: int = 512) -> Column:
+def span_policy(start: Column, end: Column, policy: str, limit: int) -> Column:
     """What becomes of a span that cannot be labelled.
 
     ``null``: both NULL unless both ends are mapped. ``null_zero``: the same, and
     an end beyond ``limit`` gives (0, 0). ``zero``: only the latter.
-    ``fill_max``: each unmapped end by itself becomes ``limit``.
+    ``fill_max``: each unmapped end by itself becomes ``limit``, which should be
+    the length that inputs are cut to.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")

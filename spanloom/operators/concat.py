@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions.spans import first_start
-from spanloom.operators.order import HOME, ROWS_PER_BUCKET, ordered_groups, span_group
+from spanloom.operators.order import HOME, MAX_BUCKETS, ROWS_PER_BUCKET, ordered_groups, span_group
 
 
 def _starts_are_nested(df: DataFrame, answers: str) -> bool:
@@ -17,10 +17,10 @@ def _starts_are_nested(df: DataFrame, answers: str) -> bool:
     return isinstance(starts.elementType, T.ArrayType)
 
 
-def _indexed(df, span, order, context, by, rows_per_bucket) -> DataFrame:
+def _indexed(df, span, order, context, by, rows_per_bucket, max_buckets) -> DataFrame:
     """Survivors of the run deduplication with group number and characters so far."""
     rows = ordered_groups(
-        df, order, span, by, runs_of=context, rows_per_bucket=rows_per_bucket
+        df, order, span, by, runs_of=context, rows_per_bucket=rows_per_bucket, max_buckets=max_buckets
     )
     so_far = Window.partitionBy(*by, HOME).orderBy(order)
     return rows.withColumn("group_id", span_group("idx", span)).withColumn(
@@ -36,6 +36,7 @@ def concat_groups(
     answers: str = "answers",
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """One row per group: the joined context once, and its examples as ``members``.
 
@@ -44,7 +45,7 @@ def concat_groups(
     and ``answers`` with the one re-based start.
     """
     by = list(by)
-    rows = _indexed(df, span, order, context, by, rows_per_bucket)
+    rows = _indexed(df, span, order, context, by, rows_per_bucket, max_buckets)
     carried = [c for c in df.columns if c not in (*by, context)]
     grouped = rows.groupBy(*by, HOME, "group_id").agg(
         F.sort_array(
@@ -89,6 +90,7 @@ def rebase_answer_start(
     answers: str = "answers",
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """The rows without their context but with ``new_start``, the first answer
     start within the joined context. Only a digest and the length of a context
@@ -101,7 +103,7 @@ def rebase_answer_start(
         F.length(context).cast("long").alias("_length"),
     )
     rows = ordered_groups(
-        narrow, order, span, by, runs_of="_digest", rows_per_bucket=rows_per_bucket
+        narrow, order, span, by, runs_of="_digest", rows_per_bucket=rows_per_bucket, max_buckets=max_buckets
     ).withColumn("group_id", span_group("idx", span))
     in_group = Window.partitionBy(*by, HOME, "group_id").orderBy("idx")
     before = F.coalesce(
@@ -119,13 +121,14 @@ def join_group_context(
     context: str = "context",
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """One row per group: its number of rows and the joined context. A short last
     group is kept."""
     by = list(by)
     rows = ordered_groups(
         df.select(*by, order, context),
-        order, span, by, runs_of=context, rows_per_bucket=rows_per_bucket,
+        order, span, by, runs_of=context, rows_per_bucket=rows_per_bucket, max_buckets=max_buckets,
     )
     return (
         rows.withColumn("group_id", span_group("idx", span))

@@ -1,7 +1,8 @@
 """Row order on a distributed table.
 
 A DataFrame has no order, so every operator here takes an explicit, unique,
-non-null order key. Rows are cut into buckets of neighbouring keys; only a
+non-null order key, numeric or text; repeated and missing keys are an error. The
+input is read several times, so a derived one should be stored. Rows are cut into buckets of neighbouring keys; only a
 summary with one row per bucket is ever ordered as a whole. No window runs over
 the table without a partition key.
 
@@ -15,9 +16,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.session import broadcast_if_small, cut_lineage
 
@@ -26,6 +29,8 @@ from spanloom.session import broadcast_if_small, cut_lineage
 ROWS_PER_BUCKET = 8_192
 MIN_ROWS_PER_BUCKET = 128
 BUCKETS_PER_PARTITION = 4
+# The bucket summary and the sample of keys must fit in one task and on the
+# driver; beyond this many buckets a bucket takes more rows instead.
 MAX_BUCKETS = 262_144
 SAMPLES_PER_BUCKET = 16
 
@@ -35,7 +40,7 @@ HOME = "_home"
 
 def bucket_bounds(
     df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int = MAX_BUCKETS
-) -> list[float]:
+) -> list:
     """Inner bounds of key buckets with at most about ``rows_per_bucket`` rows each.
 
     Reads the key column only. At most ``SAMPLES_PER_BUCKET * max_buckets``
@@ -44,7 +49,7 @@ def bucket_bounds(
     """
     if rows_per_bucket <= 0:
         raise ValueError("rows_per_bucket must be positive")
-    keys = df.select(F.col(key).cast("double").alias("k"))
+    keys = df.select((F.col(key) if _is_text(df, key) else F.col(key).cast("double")).alias("k"))
     rows = keys.count()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = min(BUCKETS_PER_PARTITION * partitions, rows // MIN_ROWS_PER_BUCKET)
@@ -54,15 +59,31 @@ def bucket_bounds(
     wanted = buckets * SAMPLES_PER_BUCKET
     if wanted < rows:
         keys = keys.sample(fraction=wanted / rows, seed=11)
-    sample = np.sort(keys.toArrow().column("k").to_numpy())
-    if len(sample) == 0:
+    found = keys.where("k is not null").toArrow().column("k")
+    if len(found) == 0:
         return []
+    # text is ordered by its bytes, as Spark does
+    sample = np.sort(np.array(found.cast(pa.binary()).to_pylist(), dtype=object)) if _is_text(df, key) else np.sort(found.to_numpy())
     at = (np.arange(1, buckets) * len(sample)) // buckets
-    return np.unique(sample[at]).tolist()
+    return sorted(set(sample[at].tolist()))
 
 
-def with_bucket(df: DataFrame, key: str, bounds: Sequence[float]) -> DataFrame:
+def _is_text(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, T.StringType)
+
+
+def with_bucket(df: DataFrame, key: str, bounds: Sequence) -> DataFrame:
     """Adds the bucket number of ``key``; monotone in the key."""
+    if _is_text(df, key):
+        cuts = df.sparkSession.sparkContext.broadcast(list(bounds))
+
+        @F.arrow_udf(T.IntegerType())
+        def place(values: pa.Array) -> pa.Array:
+            edges = np.array(cuts.value, dtype=object)
+            texts = np.array(values.cast(pa.binary()).fill_null(b"").to_pylist(), dtype=object)
+            return pa.array(np.searchsorted(edges, texts, side="right"), pa.int32())
+
+        return df.withColumn(BUCKET, place(key))
     splits = [-math.inf, *(bounds or [0.0]), math.inf]
     cut = Bucketizer(splits=splits, inputCol=key, outputCol=BUCKET).transform(df)
     return cut.withColumn(BUCKET, F.col(BUCKET).cast("int"))
@@ -102,6 +123,7 @@ def ordered_groups(
     runs_of: str | None = None,
     idx: str = "idx",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Index the rows and put each group of ``span`` neighbours in one place.
 
@@ -120,9 +142,9 @@ def ordered_groups(
     order = [order] if isinstance(order, str) else list(order)
     by = list(by)
     keys = [*by, BUCKET]
-    rows = with_bucket(df, order[0], bucket_bounds(df, order[0], rows_per_bucket))
+    rows = with_bucket(df, order[0], bucket_bounds(df, order[0], rows_per_bucket, max_buckets))
 
-    summary = cut_lineage(_group_starts(rows, order, span, by, runs_of))
+    summary = _group_starts(rows, order, span, by, runs_of)
     routed = (
         join_summary(rows, summary, keys)
         .withColumn("_own", order_key(order) >= F.col("_start"))
@@ -138,56 +160,77 @@ def ordered_groups(
     ).select(*df.columns, idx, HOME)
 
 
+def _refuse_repeats(heads: DataFrame, order: Sequence[str]) -> None:
+    bad = heads.where((F.col("_repeats") > 0) | (F.col("_missing") > 0)).first()
+    if bad is not None:
+        raise ValueError(f"the order key {list(order)} has repeated or missing values")
+
+
 def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
     """Per bucket: where its first own group starts, at which index, and where
     earlier rows belong. Buckets that lie within one run have no row to keep and
-    are left out, so that a run holding much of the table is not shuffled."""
+    are left out, so that a run holding much of the table is not shuffled.
+
+    What is ordered as a whole has a few numbers per bucket, whatever ``span`` is.
+    """
     keys = [*by, BUCKET]
     key = order_key(order)
-    if runs_of is None and span == 1:
-        heads = rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.array(F.min(key)).alias("_heads")
-        )
+    local = Window.partitionBy(*keys).orderBy(*order)
+    mark = F.lit(None).cast("binary") if runs_of is None else F.unhex(F.sha2(F.col(runs_of), 256))
+    narrow = rows.select(*keys, *[c for c in order if c not in keys], mark.alias("_mark"))
+    new = F.lit(True) if runs_of is None else _differs_from_previous("_mark", local)
+    missing = F.lit(False)
+    for c in order:
+        missing = missing | F.col(c).isNull()
+    ranked = (
+        narrow.withColumn("_new", new)
+        .withColumn("_key", key)
+        .withColumn("_same", F.coalesce(F.col("_key") == F.lag("_key").over(local), F.lit(False)))
+        .withColumn("_null", missing)
+        .withColumn("_rank", F.sum(F.col("_new").cast("long")).over(local))
+        .select(*keys, "_key", "_mark", "_new", "_same", "_null", "_rank")
+    )
+    ranked = cut_lineage(ranked)
+    heads = ranked.groupBy(*keys).agg(
+        F.sum(F.col("_new").cast("long")).alias("_n"),
+        F.count_if("_same").alias("_repeats"),
+        F.count_if("_null").alias("_missing"),
+        F.min_by("_mark", "_key").alias("_first"),
+        F.max_by("_mark", "_key").alias("_last"),
+    )
+    w = over_buckets(by)
+    if runs_of is None:
         heads = heads.withColumn("_keep_first", F.lit(True))
     else:
-        local = Window.partitionBy(*keys).orderBy(*order)
-        mark = F.lit(0) if runs_of is None else F.unhex(F.sha2(F.col(runs_of), 256))
-        narrow = rows.select(*keys, *[c for c in order if c not in keys], mark.alias("_mark"))
-        if runs_of is None:
-            narrow = narrow.withColumn("_new", F.lit(True))
-        else:
-            narrow = narrow.withColumn("_new", _differs_from_previous("_mark", local))
-        narrow = narrow.withColumn("_rank", F.sum(F.col("_new").cast("long")).over(local))
-        heads = narrow.groupBy(*keys).agg(
-            F.sum(F.col("_new").cast("long")).alias("_n"),
-            F.sort_array(
-                F.collect_list(F.when(F.col("_new") & (F.col("_rank") <= span + 1), key))
-            ).alias("_heads"),
-            F.min_by("_mark", key).alias("_first"),
-            F.max_by("_mark", key).alias("_last"),
-        )
-        if runs_of is None:
-            heads = heads.withColumn("_keep_first", F.lit(True))
-        else:
-            w = over_buckets(by)
-            before = F.when(
-                F.row_number().over(w) == 1,
-                F.last("_last").over(
-                    w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                ),
-            ).otherwise(F.lag("_last").over(w))
-            heads = heads.withColumn("_keep_first", ~F.col("_first").eqNullSafe(before))
-
-    w = over_buckets(by)
+        before = F.when(
+            F.row_number().over(w) == 1,
+            F.last("_last").over(
+                w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
+        ).otherwise(F.lag("_last").over(w))
+        heads = heads.withColumn("_keep_first", ~F.col("_first").eqNullSafe(before))
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.when(F.col("_keep_first"), F.col("_heads")).otherwise(
-        F.slice("_heads", 2, span)
-    )
-    return (
+    heads = (
         heads.withColumn("_n", F.col("_n") - (~F.col("_keep_first")).cast("int"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("_skip", F.pmod(-F.col("_offset"), F.lit(span)).cast("int"))
-        .withColumn("_start", F.get(kept, F.col("_skip")))
+        .withColumn("_skip", F.pmod(-F.col("_offset"), F.lit(span)))
+        # the rank of the first row of the bucket's first own group
+        .withColumn("_want", F.col("_skip") + 1 + (~F.col("_keep_first")).cast("int"))
+    )
+    heads = cut_lineage(
+        heads.select(*keys, "_n", "_offset", "_skip", "_want", "_repeats", "_missing")
+    )
+    _refuse_repeats(heads, order)
+    found = (
+        join_summary(ranked.where("_new"), heads.select(*keys, "_want"), keys)
+        .where("_rank = _want")
+        .select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col("_key").alias("_start"))
+    )
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+    summary = (
+        heads.join(found, on, "left")
         .withColumn("_base", F.when(F.col("_start").isNotNull(), F.col("_offset") + F.col("_skip")))
         .withColumn(
             "_prev_home",
@@ -197,6 +240,7 @@ def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
         .where(F.col("_n") > 0)
         .select(*keys, "_start", "_base", "_prev_home", "_prev_base")
     )
+    return cut_lineage(summary)
 
 
 def row_index(
@@ -205,9 +249,10 @@ def row_index(
     by: Sequence[str] = (),
     idx: str = "idx",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """0-based position of every row in the given order, per ``by``."""
-    return ordered_groups(df, order, 1, by, None, idx, rows_per_bucket).drop(HOME)
+    return ordered_groups(df, order, 1, by, None, idx, rows_per_bucket, max_buckets).drop(HOME)
 
 
 def dedup_runs(
@@ -217,13 +262,14 @@ def dedup_runs(
     by: Sequence[str] = (),
     idx: str = "idx",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Keeps a row if ``value`` differs from the previous row's.
 
     The first row is compared with the last, so a table holding one repeated
     value yields no rows. Survivors are indexed anew.
     """
-    return ordered_groups(df, order, 1, by, value, idx, rows_per_bucket).drop(HOME)
+    return ordered_groups(df, order, 1, by, value, idx, rows_per_bucket, max_buckets).drop(HOME)
 
 
 def span_group(idx: str, span: int) -> Column:
@@ -265,6 +311,8 @@ def split_percent(
         "_rn", F.row_number().over(Window.partitionBy(BUCKET).orderBy(key))
     )
     last = in_bucket.where(F.col("_rn") == hit["_rank"]).first()[key]
+    if keys.where((F.col(BUCKET) == hit[BUCKET]) & (F.col(key) == F.lit(last))).count() > 1:
+        raise ValueError(f"the order key {key} has repeated values")
     return df.where(F.col(key) <= F.lit(last))
 
 

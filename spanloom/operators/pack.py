@@ -13,6 +13,7 @@ from spanloom.functions.binding import once
 from spanloom.operators.order import (
     BUCKET,
     HOME,
+    MAX_BUCKETS,
     ROWS_PER_BUCKET,
     bucket_bounds,
     join_summary,
@@ -22,55 +23,47 @@ from spanloom.operators.order import (
 from spanloom.session import cut_lineage
 
 
-def _block_starts(texts: DataFrame, key: str, size: int) -> DataFrame:
+def _block_starts(counted: DataFrame, key: str, size: int) -> DataFrame:
     """Per bucket: the text holding its first block start, how many of that
     text's tokens lie before it, the block's number, and the bucket where
-    earlier texts belong."""
-    local = Window.partitionBy(BUCKET).orderBy(key)
-    narrow = (
-        texts.select(BUCKET, key, "_n")
-        .withColumn("_end", F.sum("_n").over(local))
-        .withColumn("_begin", F.col("_end") - F.col("_n"))
-    )
-    # The first block start lies within the first `size` tokens of the bucket.
-    heads = narrow.groupBy(BUCKET).agg(
-        F.sum("_n").alias("_sum"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("_begin") < size, F.struct("_begin", "_end", key)))
-        ).alias("_heads"),
-    )
+    earlier texts belong.
+
+    Only sums per bucket are ordered as a whole; ``counted`` has one narrow row per
+    text and is stored, as it is read twice.
+    """
+    counted = cut_lineage(counted)
     w = over_buckets([])
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        heads.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    sums = cut_lineage(
+        counted.groupBy(BUCKET)
+        .agg(F.sum("_n").alias("_sum"))
+        .withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .withColumn("_skip", F.pmod(-F.col("_offset"), F.lit(size)))
-        .withColumn(
-            "_at",
-            F.get(
-                F.filter(
-                    "_heads",
-                    lambda h: (h["_begin"] <= F.col("_skip")) & (F.col("_skip") < h["_end"]),
-                ),
-                0,
-            ),
-        )
-        .select(
-            BUCKET,
-            F.col("_at")[key].alias("_start"),
-            (F.col("_skip") - F.col("_at")["_begin"]).alias("_cut"),
-            F.when(
-                F.col("_at").isNotNull(),
-                F.expr(f"(_offset + _skip) div {size}"),
-            ).alias("_base"),
-            F.last(F.when(F.col("_at").isNotNull(), F.col(BUCKET)), True)
-            .over(earlier)
-            .alias("_prev_home"),
-        )
+    )
+    until = F.sum("_n").over(Window.partitionBy(BUCKET).orderBy(key))
+    placed = counted.withColumn("_end", until).withColumn("_begin", F.col("_end") - F.col("_n"))
+    found = (
+        join_summary(placed, sums.select(BUCKET, "_skip"), [BUCKET])
+        .where((F.col("_begin") <= F.col("_skip")) & (F.col("_skip") < F.col("_end")))
+        .select(BUCKET, F.col(key).alias("_start"), (F.col("_skip") - F.col("_begin")).alias("_cut"))
+    )
+    here = F.col("_start").isNotNull()
+    return sums.join(found, BUCKET, "left").select(
+        BUCKET,
+        "_start",
+        "_cut",
+        F.when(here, F.expr(f"(_offset + _skip) div {size}")).alias("_base"),
+        F.last(F.when(here, F.col(BUCKET)), True).over(earlier).alias("_prev_home"),
     )
 
 
 def place_texts(
-    df: DataFrame, key: str, n_tokens: Column, size: int, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    key: str,
+    n_tokens: Column,
+    size: int,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Puts each text where the blocks it takes part in are built.
 
@@ -81,8 +74,10 @@ def place_texts(
     """
     if size <= 0:
         raise ValueError("block size must be positive")
-    texts = with_bucket(df, key, bucket_bounds(df, key, rows_per_bucket))
-    counted = once(texts, _n=n_tokens.cast("long")).where(F.col("_n") > 0)
+    texts = with_bucket(df, key, bucket_bounds(df, key, rows_per_bucket, max_buckets))
+    counted = (
+        once(texts, _n=n_tokens.cast("long")).where(F.col("_n") > 0).select(BUCKET, key, "_n")
+    )
     starts = cut_lineage(_block_starts(counted, key, size))
     joined = join_summary(texts, starts, [BUCKET])
     own = F.struct(
@@ -118,6 +113,7 @@ def pack_blocks(
     block_size: int = 512,
     num_special: int = 2,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """``block_id, tokens`` with ``block_size - num_special`` tokens each.
 
@@ -126,7 +122,7 @@ def pack_blocks(
     stored.
     """
     size = block_size - num_special
-    placed = place_texts(df, key, F.size(tokens), size, rows_per_bucket)
+    placed = place_texts(df, key, F.size(tokens), size, rows_per_bucket, max_buckets)
     local = Window.partitionBy(HOME).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     until = F.coalesce("_to", F.size("_all").cast("long"))
     # Sorted as the window wants it while the rows still hold the texts.

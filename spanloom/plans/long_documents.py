@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.operators.evaluate import alias_accuracy
 from spanloom.operators.hooks import evaluate_rows, overlap_scores
@@ -18,15 +19,27 @@ from spanloom.operators.rows import (
 
 
 def select_documents(
-    raw: DataFrame, key: str, percent: float | None = None, budget: int | None = LENGTH_BUDGET
+    raw: DataFrame, key: str, percent: float | None = None, budget: int | None = None
 ) -> DataFrame:
-    """Leading share of the rows, flattened, without empty or (opt.) over-long ones."""
+    """Leading share of the rows, flattened, without empty ones.
+
+    ``budget`` also leaves out rows whose question and context are longer together;
+    ``LENGTH_BUDGET`` is that of 4,096 tokens. ``over_budget`` counts such rows.
+    """
     if percent is not None:
         raw = split_percent(raw, key, percent)
     rows = filter_nonempty(format_trivia(raw))
     return rows if budget is None else filter_length_budget(rows, budget=budget)
 
 
+def over_budget(documents: DataFrame, budget: int = LENGTH_BUDGET) -> DataFrame:
+    """``n_total`` rows, and ``n_over`` of them that the length budget would leave out."""
+    length = F.length("question") + F.length("context")
+    return documents.agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(length >= budget).alias("n_over")
+    )
+
+
 def accuracy(
     documents: DataFrame, score: Callable[[DataFrame], DataFrame] = overlap_scores
 ) -> DataFrame:
