@@ -81,8 +81,9 @@ VOCAB = TOKENS + """,
 voc AS (
   SELECT tok AS token, row_number() OVER (ORDER BY n DESC, tok) + 4 AS token_id, n FROM (
     SELECT tok, count(*) AS n FROM tok GROUP BY tok ORDER BY n DESC, tok LIMIT 5000))"""
+ALL_WORDS = VOCAB.replace(" ORDER BY n DESC, tok LIMIT 5000", "")
 
-IDS = VOCAB + """,
+IDS = ALL_WORDS + """,
 ids AS (SELECT doc_id, pos, tok, coalesce(token_id, 3) AS id FROM tok LEFT JOIN voc ON tok = token)"""
 
 BLOCKS = IDS + """,
@@ -166,7 +167,7 @@ ORACLE: dict[str, str] = {
     "read_squad_json": f"WITH {QA} SELECT context, question, answer AS text, answer_start::BIGINT AS answer_start FROM qa",
     "read_text_corpus": """
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS seq, line FROM lines""",
+SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS seq, line || chr(10) AS line FROM lines""",
     "split_percent": """
 SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents)
 WHERE idx < floor(n * 5 / 100.0 + 0.5)""",
@@ -227,12 +228,15 @@ FROM pairs LEFT JOIN pn USING (conv_id, turn) LEFT JOIN gn USING (conv_id, turn)
     "align_answer_ci": f"""WITH {NOISY}, low AS (SELECT seq, context, lower(answer) AS answer, answer_start FROM noisy), {aligned("low", True)}
 SELECT seq, s::BIGINT AS start, e::BIGINT AS "end" FROM al""",
     "tokenize_offsets": """
-WITH p AS (SELECT doc_id, regexp_extract_all(text, '\\S+|\\s+') AS w FROM documents),
+WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(text, '\\S+|\\s+') AS w FROM s),
 r AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM p),
-o AS (SELECT doc_id, tok, i, sum(len(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM r)
-SELECT doc_id, count(*) AS n_tokens, string_agg(tok, ' ' ORDER BY i) AS tok,
+o AS (SELECT doc_id, tok, i, sum(len(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM r),
+a AS (SELECT doc_id, count(*) AS n_tokens, string_agg(tok, ' ' ORDER BY i) AS tok,
   string_agg((e - len(tok))::BIGINT::VARCHAR, ' ' ORDER BY i) AS starts, string_agg(e::BIGINT::VARCHAR, ' ' ORDER BY i) AS ends
-FROM o WHERE regexp_matches(tok, '\\S') GROUP BY doc_id""",
+FROM o WHERE regexp_matches(tok, '\\S') GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_tokens, 0) END AS n_tokens, CASE WHEN text IS NOT NULL THEN coalesce(tok, '') END AS tok,
+  CASE WHEN text IS NOT NULL THEN coalesce(starts, '') END AS starts, CASE WHEN text IS NOT NULL THEN coalesce(ends, '') END AS ends FROM s LEFT JOIN a USING (doc_id)""",
     "encode_pair": f"WITH {QA}, {encoded('qa', 124)} SELECT seq, {INPUT.format(room=124)} AS input, {MASK.format(room=124)} AS attention_mask, {TYPES.format(room=124)} AS token_type_ids, ka::BIGINT AS kept_first, kb::BIGINT AS kept_second FROM enc",
     "encode_pair_context_first": f"WITH {QA}, {encoded('qa', 124, 'context', 'question')} SELECT seq, {INPUT.format(room=124)} AS input FROM enc",
     "span_to_tokens": f'WITH {QA}, {aligned("qa")}, {encoded("al", 124)}, {placed(124)} SELECT seq, st::BIGINT AS start, en::BIGINT AS "end" FROM placed',
@@ -264,7 +268,7 @@ seconds AS (SELECT block_id, id, i, d1, x AS d2, x FROM c),
 {mixed('seconds', 'd', 'd1, d2,')}
 picked AS (SELECT *, d1 < 644245094 AND id NOT IN (0, 2) AS c FROM d),
 done AS (SELECT block_id, i, CASE WHEN c THEN id ELSE -100 END AS label,
-  CASE WHEN NOT c THEN id WHEN d2 < 3435973836 THEN 4 WHEN d2 < 3865470566 THEN x % 5005 ELSE id END AS input FROM picked)
+  CASE WHEN NOT c THEN id WHEN d2 < 3435973836 THEN 4 WHEN d2 < 3865470566 THEN x % (SELECT count(*) + 5 FROM voc) ELSE id END AS input FROM picked)
 SELECT block_id, string_agg(input::VARCHAR, ' ' ORDER BY i) AS input_ids, string_agg(label::VARCHAR, ' ' ORDER BY i) AS labels,
   count(*) FILTER (label <> -100) AS n_chosen FROM done GROUP BY block_id""",
     "extract_span": """
@@ -281,7 +285,7 @@ FROM qa FULL JOIN p USING (seq)""",
 SELECT lang, count(*) AS n, CASE lang WHEN 'de' THEN 'XQuAD German validation' WHEN 'en' THEN 'XQuAD English validation' WHEN 'es' THEN 'XQuAD Spanish validation' END AS label FROM documents GROUP BY lang""",
     "squad_eval": f"WITH {SCORED} SELECT {percent(', count(*) AS n, 0::BIGINT AS n_unscored')} FROM best",
     "squad_eval_by_lang": f"WITH {SCORED} SELECT lang, {percent(', count(*) AS n, 0::BIGINT AS n_unscored')} FROM best GROUP BY lang UNION ALL SELECT 'all', {percent(', count(*), 0')} FROM best",
-    "alias_accuracy": EVALUATED + " SELECT count(*) FILTER (match) AS n_correct, count(*) AS n_total FROM res WHERE len(context) > 0 AND len(question) + len(context) < 16384",
+    "alias_accuracy": EVALUATED + " SELECT count(*) FILTER (match) AS n_correct, count(*) AS n_total FROM res WHERE len(context) > 0",
     "binary_metrics": """
 WITH c AS (
   SELECT count(*) FILTER (n_chars >= 500 AND quality = 1) AS tp, count(*) FILTER (n_chars >= 500 AND quality <> 1) AS fp,
@@ -310,7 +314,7 @@ FROM g GROUP BY ALL""",
     "row_audit": LABELLED_128 + """
 SELECT lang, CASE WHEN s IS NULL THEN 'unaligned' WHEN ps IS NULL OR pe IS NULL THEN 'unmapped' WHEN pe >= 128 THEN 'over_long' ELSE 'kept' END AS reason, count(*) AS n_rows
 FROM lab GROUP BY ALL""",
-    "union_languages": "SELECT doc_id, lang, text FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')",
+    "union_languages": f"WITH {QA} SELECT seq, doc_id, lang, context AS text FROM qa",
     "map_rows": "SELECT doc_id, len(string_split(text, ' ')) AS n_words FROM documents",
     "filter_rows": "SELECT doc_id, lang FROM documents WHERE contains(text, chr(10))",
     "score_spans": f"""
@@ -341,3 +345,37 @@ ORACLE["audit_preparation"] = _LONG.replace("2044", "508") + _AUDIT_LONG
 ORACLE["prepare_long_features"] = _LONG + """
 SELECT seq, lang, st::BIGINT AS start_positions, en::BIGINT AS end_positions, (ka + kb + 4)::BIGINT AS n_used FROM placed
 WHERE st IS NOT NULL AND en IS NOT NULL"""
+
+ORACLE["label_long_spans"] = _LONG + """
+SELECT seq,
+  CASE WHEN st IS NULL OR en IS NULL THEN NULL WHEN en > 2048 THEN 0 ELSE st END::BIGINT AS null_zero_start,
+  CASE WHEN st IS NULL OR en IS NULL THEN NULL WHEN en > 2048 THEN 0 ELSE en END::BIGINT AS null_zero_end,
+  coalesce(st, 2048)::BIGINT AS fill_max_start, coalesce(en, 2048)::BIGINT AS fill_max_end FROM placed"""
+ORACLE["trivia_training_batches"] = f"""
+WITH {NOISY}, low AS (SELECT seq, question, context, lower(answer) AS answer, answer_start FROM noisy),
+{aligned("low", True)}, {encoded("al", 252, "context", "question")},
+lab AS (SELECT *, {token_at('s')} AS cs, {token_at('e - 1')} AS ce FROM enc),
+pos AS (SELECT seq, CASE WHEN cs < ka THEN cs + 1 ELSE 256 END AS st, CASE WHEN ce < ka THEN ce + 1 ELSE 256 END AS en, {INPUT.format(room=252)} AS input,
+  row_number() OVER (ORDER BY ('0x' || substring(md5('42:' || seq), 1, 15))::BIGINT, seq) - 1 AS i FROM lab)
+SELECT i // 16 AS batch_id, count(*) AS n_rows, string_agg(seq::VARCHAR, ' ' ORDER BY i) AS seq, string_agg(st::BIGINT::VARCHAR, ' ' ORDER BY i) AS start_positions,
+  string_agg(en::BIGINT::VARCHAR, ' ' ORDER BY i) AS end_positions, string_agg(input, ' ' ORDER BY i) AS input_ids FROM pos GROUP BY 1"""
+ORACLE["trivia_training_batches_custom"] = ORACLE["trivia_training_batches"]
+ORACLE["evaluate_model_report"] = (
+    "WITH " + SCORED.replace(PREDICTIONS, QA + f""",
+asked AS (SELECT seq, [x for x in string_split({norm('question')}, ' ') if x <> ''] AS ask, {words('context')} AS w FROM qa),
+ctx AS (SELECT seq, unnest(w) AS tok, generate_subscripts(w, 1) AS p_, ask FROM asked),
+hit AS (SELECT seq, p_, tok, list_contains(ask, {norm('tok')}) AS h FROM ctx),
+pick AS (SELECT seq, coalesce(min(CASE WHEN h THEN p_ END), 1) AS p_ FROM hit GROUP BY seq),
+predictions AS (SELECT seq, lang, golds, coalesce(tok, '') AS pred FROM qa LEFT JOIN pick USING (seq) LEFT JOIN hit USING (seq, p_))""")
+    + """, m AS (SELECT lang, 100.0 * avg(em) AS em, 100.0 * avg(f1) AS f1 FROM best GROUP BY lang UNION ALL SELECT 'all', 100.0 * avg(em), 100.0 * avg(f1) FROM best)
+SELECT lang || '_exact_match' AS metric, round(em, 6) AS value FROM m UNION ALL SELECT lang || '_f1', round(f1, 6) FROM m"""
+)
+ORACLE["count_over_budget"] = f"WITH {TRIVIA} SELECT count(*) AS n_total, count(*) FILTER (len(question) + len(context) >= 16384) AS n_over FROM flat"
+ORACLE["row_index_text"] = f"WITH {QA} SELECT 'q' || seq AS id, lang, row_number() OVER (ORDER BY 'q' || seq) - 1 AS idx FROM qa"
+ORACLE["pack_blocks_long"] = """
+WITH tok AS (SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+num AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS g FROM tok)
+SELECT g // 4094 AS block_id, count(*) AS n_tokens, md5(string_agg(tok, ' ' ORDER BY g)) AS md5 FROM num GROUP BY 1 HAVING count(*) = 4094"""
+ORACLE["make_batches_large"] = ORACLE["make_batches"].replace("// 16", "// 2000")
+ORACLE["ids_tokens_joined"] = ORACLE["ids_tokens"]
+ORACLE["vocab_lookup_salted"] = ORACLE["vocab_lookup"]

@@ -12,12 +12,12 @@ from spanloom.functions.binding import once
 from spanloom.functions.masking import IGNORED
 from spanloom.operators import batches, concat, evaluate, hooks, order, pack, profile, rows, vocab
 from spanloom.plans import corpus_blocks, long_documents, qa_features
-from spanloom.session import cut_lineage, shared_folder
+from spanloom.session import cut_lineage, scratch_path, shared_folder
 from spanloom.sources import qa, registry, store
 from spanloom.sources import text as text_source
 
 VOCAB_SIZE = 5000
-LANGS = ["de", "en", "es", "fr"]
+NULL = "<null>"
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def tidy(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.round(c.cast("double"), 6)
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c.cast("array<string>"), " ")
+            c = F.array_join(c.cast("array<string>"), " ", NULL)
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -39,7 +39,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def read_qa(spark, d):
-    found = qa.read_qa(spark, t.partitioned_qa(spark, d), LANGS, base="xquad")
+    found = qa.read_qa(spark, t.partitioned_qa(spark, d), base="xquad")
     return tidy(found.select("seq", "lang", "context", "question", "answer", "answer_start"))
 
 
@@ -49,7 +49,7 @@ def read_squad_json(spark, d):
 
 def read_text_corpus(spark, d):
     lines = text_source.read_text_corpus(spark, t.text_files(spark, d))
-    return tidy(lines.select("seq", F.regexp_replace("text", "\n$", "").alias("line")))
+    return tidy(lines.select("seq", F.col("text").alias("line")))
 
 
 def split_percent(spark, d):
@@ -58,7 +58,7 @@ def split_percent(spark, d):
 
 def materialize_features(spark, d):
     path = store.feature_path(
-        f"{shared_folder(spark)}/spanloom-checks", "words", 512, "qa", store.fingerprint(t.table(spark, d, "documents"))
+        f"{shared_folder(spark)}/spanloom-checks", "words", 512, "qa", store.fingerprint(spark, f"{d}/documents.parquet"), policy="null"
     )
 
     def make():
@@ -91,13 +91,13 @@ def filter_length_budget(spark, d):
     return tidy(rows.filter_length_budget(flat).select("doc_id", "question"))
 
 
-def _labelled(spark, d, policy="null", max_length=512, limit=512):
+def _labelled(spark, d, policy="null", max_length=512):
     noisy = t.qa_noisy(spark, d).withColumn(
         "answers",
         F.struct(F.array("answer").alias("text"), F.array("answer_start").alias("answer_start")),
     )
     return qa_features.label_spans(
-        noisy.select("seq", "lang", "context", "question", "answers"), max_length, policy, limit
+        noisy.select("seq", "lang", "context", "question", "answers"), max_length, policy
     )
 
 
@@ -221,10 +221,11 @@ def align_answer_ci(spark, d):
 
 
 def tokenize_offsets(spark, d):
-    # Bound, as the filter would otherwise have the tokens made twice.
-    found = once(t.documents(spark, d).select("doc_id", "text"), tokens=text.tokenize_offsets("text"))
+    """Every document; each eleventh one has no text, each thirteenth an empty one."""
+    rows_ = t.documents(spark, d).select("doc_id", t.sparse_text().alias("text"))
+    found = once(rows_, tokens=text.tokenize_offsets("text"))
     return tidy(
-        found.where(F.size("tokens") > 0).select(
+        found.select(
             "doc_id",
             F.size("tokens").alias("n_tokens"),
             F.col("tokens.tok").alias("tok"),
@@ -281,19 +282,38 @@ def build_vocab(spark, d):
 
 
 def _vocab(spark, d):
-    return corpus_blocks.corpus_vocab(t.documents(spark, d), VOCAB_SIZE)
+    """All words, so that ids cover the corpus."""
+    return corpus_blocks.corpus_vocab(t.documents(spark, d))
 
 
-def ids_tokens(spark, d):
+def _ids_tokens(spark, d, **bound):
     v = _vocab(spark, d)
     docs = t.documents(spark, d).select("doc_id", text.word_tokens("text").alias("words"))
-    ids = vocab.tokens_to_ids(docs, "words", v)
-    return tidy(vocab.ids_to_tokens(ids, "ids", v).select("doc_id", "ids", "tokens"))
+    ids = vocab.tokens_to_ids(docs, "words", v, "doc_id", **bound)
+    return tidy(vocab.ids_to_tokens(ids, "ids", v, "doc_id", **bound).select("doc_id", "ids", "tokens"))
+
+
+def ids_tokens(spark, d):
+    return _ids_tokens(spark, d)
+
+
+def ids_tokens_joined(spark, d):
+    """The way of a vocabulary beyond the broadcast bound."""
+    return _ids_tokens(spark, d, max_rows=0)
 
 
 def vocab_lookup(spark, d):
+    return _vocab_lookup(spark, d)
+
+
+def vocab_lookup_salted(spark, d):
+    """The way of a vocabulary beyond the broadcast bound."""
+    return _vocab_lookup(spark, d, max_rows=0)
+
+
+def _vocab_lookup(spark, d, **bound):
     tokens = t.documents(spark, d).select("doc_id", F.posexplode(text.word_tokens("text")).alias("pos", "token"))
-    found = vocab.vocab_lookup(tokens, _vocab(spark, d))
+    found = vocab.vocab_lookup(tokens, _vocab(spark, d), ["doc_id", "pos"], **bound)
     return tidy(
         found.groupBy("doc_id").agg(
             F.count(F.lit(1)).alias("n_tokens"),
@@ -315,7 +335,9 @@ def wrap_special(spark, d):
 
 
 def mlm_mask(spark, d):
-    masked = corpus_blocks.masked_blocks(_blocks(spark, d), 42, VOCAB_SIZE + len(spans.SPECIAL_TOKENS))
+    v = _vocab(spark, d)
+    blocks = corpus_blocks.corpus_blocks(t.documents(spark, d), v, key="doc_id", block_size=512)
+    masked = corpus_blocks.masked_blocks(blocks, 42, v.count())
     chosen = F.size(F.filter("labels", lambda x: x != IGNORED))
     return tidy(masked.withColumn("n_chosen", chosen))
 
@@ -391,9 +413,7 @@ def bits_per_token(spark, d):
         .groupBy("tok")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    losses = counts.withColumn("loss", -F.log(F.col("n") / total))
-    return tidy(evaluate.bits_per_token(losses, "loss", "n"))
+    return tidy(evaluate.unigram_bits(counts))
 
 
 def span_stats(spark, d):
@@ -427,9 +447,9 @@ def audit_preparation(spark, d):
 
 
 def union_languages(spark, d):
-    docs = t.documents(spark, d).select("doc_id", "lang", "text")
-    parts = {lang: docs.where(F.col("lang") == lang).drop("lang") for lang in LANGS}
-    return tidy(qa.union_languages(parts))
+    """All languages of the corpus, whichever there are, in one scan."""
+    rows_ = qa.read_qa(spark, t.partitioned_qa(spark, d), base="xquad")
+    return tidy(rows_.select("seq", "doc_id", "lang", F.col("context").alias("text")))
 
 
 # --- user code -----------------------------------------------------------
@@ -485,6 +505,84 @@ def prepare_long_features(spark, d):
                             F.size(F.array_remove("attention_mask", 0)).alias("n_used")))
 
 
+def _joined(spark, d):
+    return concat.concat_contexts(t.qa_examples(spark, d), 3, by=["lang"])
+
+
+def label_long_spans(spark, d):
+    """Labels of long inputs under two policies; the limit follows the length."""
+    joined = cut_lineage(_joined(spark, d))
+    out = None
+    for policy in ("null_zero", "fill_max"):
+        made = qa_features.label_spans(joined, max_length=2048, policy=policy).select(
+            "seq",
+            F.col("start_positions").alias(f"{policy}_start"),
+            F.col("end_positions").alias(f"{policy}_end"),
+        )
+        out = made if out is None else out.join(made, "seq")
+    return tidy(out)
+
+
+def trivia_training_batches(spark, d, tokenize=None):
+    """Repair against the lower-cased context, context first, shuffled, in batches."""
+    low = t.qa_noisy(spark, d).select(
+        "seq", "context", "question",
+        F.struct(
+            F.array(F.lower("answer")).alias("text"), F.array("answer_start").alias("answer_start")
+        ).alias("answers"),
+    )
+    made = long_documents.training_batches(low, 256, 16, 42, tokenize=tokenize)
+    return tidy(
+        made.select(
+            "batch_id", "n_rows", "seq", "start_positions", "end_positions",
+            F.transform("input_ids", lambda x: F.array_join(x, " ")).alias("input_ids"),
+        )
+    )
+
+
+def trivia_training_batches_custom(spark, d):
+    """The same through a user's batch tokenizer."""
+    def words(texts):
+        import re
+
+        return [None if x is None else [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\t-\r ]+", x)] for x in texts]
+
+    return trivia_training_batches(spark, d, text.batch_tokenizer(words))
+
+
+def evaluate_model_report(spark, d):
+    """From scores to a report file, read back."""
+    results = qa_features.evaluate_model(t.qa_rows(spark, d), "xquad")
+    path = scratch_path(spark, "report")
+    store.write_report(qa_features.report_of(results), path)
+    return tidy(store.read_report(spark, path))
+
+
+def count_over_budget(spark, d):
+    """How many long documents a length budget would leave out."""
+    return tidy(long_documents.over_budget(rows.format_trivia(t.trivia_rows(spark, d))))
+
+
+def row_index_text(spark, d):
+    """Positions by a text key."""
+    named = t.qa_rows(spark, d).select(F.concat(F.lit("q"), F.col("seq").cast("string")).alias("id"), "lang")
+    return tidy(order.row_index(cut_lineage(named), "id"))
+
+
+def pack_blocks_long(spark, d):
+    """Blocks of 4,096 out of texts of one word each."""
+    words = t.documents(spark, d).select(
+        F.posexplode(F.split("text", " ")).alias("pos", "w"), "doc_id"
+    ).select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("key"), "w")
+    blocks = pack.pack_blocks(cut_lineage(words), F.array("w"), "key", 4096, 2)
+    return tidy(blocks.select("block_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("md5")))
+
+
+def make_batches_large(spark, d):
+    stacked = batches.make_batches(t.qa_rows(spark, d).select("seq", "answer_start"), 2000, ["seq", "answer_start"], "seq")
+    return tidy(stacked)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -502,6 +600,8 @@ QUERIES = {
         length_profile, row_lengths, concat_fit, row_audit, audit_preparation, build_vocab,
         union_languages,
         map_rows, filter_rows, score_spans, score_spans_model, distributed_eval,
-        prepare_long_features,
+        prepare_long_features, label_long_spans, trivia_training_batches,
+        trivia_training_batches_custom, evaluate_model_report, count_over_budget, row_index_text,
+        pack_blocks_long, make_batches_large, ids_tokens_joined, vocab_lookup_salted,
     )
 }

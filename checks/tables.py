@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from spanloom.session import shared_folder
 from spanloom.sources.store import fingerprint, materialize_features
-from spanloom.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(spark: SparkSession, sf_dir: str, source: str, name: str) -> str:
     """Folder for data written by a check, one per content of ``source`` and of this file."""
     version = hashlib.md5(Path(__file__).read_bytes()).hexdigest()[:8]
-    key = f"{fingerprint(table(spark, sf_dir, source))}-{version}"
+    key = f"{fingerprint(spark, f'{sf_dir}/{source}.parquet')}-{version}"
     return f"{shared_folder(spark)}/spanloom-checks/{name}-{key}"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def sparse_text():
+    """The text, missing or empty for some documents."""
+    doc = F.col("doc_id")
+    return F.when(doc % 11 == 0, F.lit(None)).when(doc % 13 == 0, F.lit("")).otherwise(F.col("text"))
 
 
 def qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

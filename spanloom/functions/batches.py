@@ -57,13 +57,22 @@ def with_offsets(tokens: Column, gaps: Column) -> Column:
 
 
 def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Column:
-    """Replaces every element by its partner in a broadcast pair of Arrow arrays
-    (keys, values); unknown elements become ``missing``."""
+    """Replaces every element by its partner in two broadcast Arrow arrays (``keys``,
+    ``values``); unknown elements become ``missing``.
+
+    The hash table is built once per Python worker; a batch looks up its distinct
+    elements only.
+    """
 
     @F.arrow_udf(T.ArrayType(result))
     def find(lists: pa.Array) -> pa.Array:
-        keys, values = table.value
-        found = values.take(pc.index_in(lists.values, value_set=keys))
+        shared = table.value
+        if "places" not in shared:
+            shared["places"] = {k: i for i, k in enumerate(shared["keys"].to_pylist())}
+        places = shared["places"]
+        coded = lists.values.dictionary_encode()
+        distinct = pa.array([places.get(k) for k in coded.dictionary.to_pylist()], pa.int64())
+        found = shared["values"].take(distinct).take(coded.indices)
         return _like(lists, pc.fill_null(found, missing))
 
     return find(arrays)

@@ -10,14 +10,29 @@ from spanloom.functions.text import _col, normalize_answer, split_normalized
 
 
 def _numbered(tokens: Column) -> Column:
-    """Each token with the number of its repeat, so that bags become sets."""
-    return let(
-        F.array_sort(tokens),
-        lambda ordered: F.transform(
-            ordered,
-            lambda t, i: F.concat_ws(" ", t, (i - F.array_position(ordered, t)).cast("string")),
-        ),
-    )
+    """Each token with the number of its repeat, so that bags become sets.
+
+    Runs of equal tokens in sorted order are numbered from where they start, so the
+    cost is that of sorting.
+    """
+
+    def number(ordered: Column) -> Column:
+        n = F.size(ordered)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+        begins = F.filter(at, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def run(starts: Column, s: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(starts, k + 1), n) - 1
+            return F.transform(
+                F.sequence(s, until),
+                lambda j: F.concat_ws(" ", F.get(ordered, s), (j - s).cast("string")),
+            )
+
+        return let(
+            begins, lambda starts: F.flatten(F.transform(starts, lambda s, k: run(starts, s, k)))
+        )
+
+    return let(F.array_sort(tokens), number)
 
 
 def shared_tokens(left: Column, right: Column) -> Column:
@@ -39,7 +54,7 @@ def f1_from_counts(shared: Column, n_pred: Column, n_gold: Column) -> Column:
 
 
 def token_f1(pred: str | Column, gold: str | Column) -> Column:
-    """Token F1 of two answers. Meant for short texts; for documents use
+    """Token F1 of two answers. Documents can also be counted token by token, see
     ``operators.evaluate.token_f1_long``."""
     return let(
         split_normalized(normalize_answer(pred)),

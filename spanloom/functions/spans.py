@@ -99,27 +99,33 @@ def encode_pair(first: Column, second: Column, max_length: int) -> Column:
     )
 
 
-def span_to_tokens(context: Column, span: Column, input_tokens: Column, sep=SEP) -> Column:
+def span_to_tokens(
+    context: Column, span: Column, input_tokens: Column, sep=SEP, at: Column | None = None
+) -> Column:
     """Token positions of a character span when the context is the second side.
 
+    ``at`` gives the span's tokens within the context where they are known.
+
     The position is looked up in the whole context and moved behind the first
     separator, so a span beyond the cut still gets a number (see the policies).
     """
     separator = F.array_position(input_tokens, sep) - 1
     lead = separator + 2
     return let(
-        span_tokens(context, span["start"], span["end"]),
+        span_tokens(context, span["start"], span["end"]) if at is None else at,
         lambda at: F.struct((at["start"] + lead).alias("start"), (at["end"] + lead).alias("end")),
     )
 
 
-def span_to_tokens_first(context: Column, span: Column, kept: Column) -> Column:
+def span_to_tokens_first(
+    context: Column, span: Column, kept: Column, at: Column | None = None
+) -> Column:
     """Token positions when the context is the first side; NULL where it was cut."""
     def place(token: Column) -> Column:
         return F.when(token < kept, token + 1)
 
     return let(
-        span_tokens(context, span["start"], span["end"]),
+        span_tokens(context, span["start"], span["end"]) if at is None else at,
         lambda at: F.struct(place(at["start"]).alias("start"), place(at["end"]).alias("end")),
     )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,37 @@ def tokenize_offsets(text: str | Column, token: str = TOKEN) -> Column:
     return with_offsets(word_tokens(text, token), F.split(_col(text), token, -1))
 
 
+def batch_tokenizer(tokenize: Callable[[list], list]) -> Callable[[Column], Column]:
+    """A column function from a user's tokenizer, called with a batch of texts.
+
+    ``tokenize`` takes a list of texts (None for NULL) and returns for each a list of
+    ``(token, start, end)``, character offsets with the end exclusive, or None.
+    """
+    part = "array<struct<tok:string,start:long,end:long>>"
+
+    @F.arrow_udf(part)
+    def run(texts: pa.Array) -> pa.Array:
+        found = tokenize(texts.to_pylist())
+        rows = [None if t is None else [dict(zip(("tok", "start", "end"), x)) for x in t] for t in found]
+        kind = pa.struct([("tok", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+        return pa.array(rows, pa.list_(kind))
+
+    return run
+
+
+def span_offsets(tokens: Column, start: Column, end: Column) -> Column:
+    """``struct<start,end>``: the tokens that hold a span's first and last character,
+    among ``array<struct<tok,start,end>>``; NULL where no token does."""
+
+    def holding(at: Column) -> Column:
+        inside = F.transform(tokens, lambda t: (t["start"] <= at) & (at < t["end"]))
+        return F.nullif(F.array_position(inside, True), F.lit(0)) - 1
+
+    first = F.when(start >= 0, holding(start)).cast("long")
+    last = F.when(end > 0, holding(end - 1)).cast("long")
+    return F.struct(first.alias("start"), last.alias("end"))
+
+
 def token_rows(df: DataFrame, text: str, *keep: str, token: str = TOKEN) -> DataFrame:
     """One row per token: the ``keep`` columns, ``pos``, ``tok``, ``start``, ``end``."""
     found = df.select(*keep, tokenize_offsets(text, token).alias("_t"))

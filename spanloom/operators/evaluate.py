@@ -38,46 +38,18 @@ def align_predictions(references: DataFrame, predictions: DataFrame, key: str =
     )
 
 
-def score_answers(
-    df: DataFrame,
-    pred: str = "pred",
-    golds: str = "golds",
-    key: str | None = None,
-    long_over: int | None = None,
-) -> DataFrame:
+def score_answers(df: DataFrame, pred: str = "pred", golds: str = "golds") -> DataFrame:
     """Adds ``em`` (0/1) and ``f1``, each the best over the row's golds.
 
-    Rows without golds get NULL. Within a row the cost of F1 grows with the
-    square of the longest text; give ``key`` and ``long_over`` to send rows with
-    more tokens than that through ``token_f1_long`` instead.
+    Rows without golds get NULL. The cost grows in proportion to the texts.
     """
     norm = once(
         df, _p=normalize_answer(pred), _g=F.transform(golds, lambda g: normalize_answer(g))
     )
-    em = best_exact_match(F.col("_p"), F.col("_g"))
-    if long_over is None:
-        return norm.select(*df.columns, em.alias("em"), best_f1(F.col("_p"), F.col("_g")).alias("f1"))
-    if key is None:
-        raise ValueError("long_over needs a unique key")
-    widest = F.greatest(
-        F.size(split_normalized("_p")),
-        F.coalesce(F.array_max(F.transform("_g", lambda g: F.size(split_normalized(g)))), F.lit(0)),
-    )
-    sized = once(norm, _w=widest)
-    short = sized.where(F.col("_w") <= long_over).select(
-        *df.columns, em.alias("em"), best_f1(F.col("_p"), F.col("_g")).alias("f1")
-    )
-    long = sized.where(F.col("_w") > long_over)
-    pairs = long.select(
-        F.col(key), F.col("_p"), F.posexplode("_g").alias("_i", "_gold")
-    ).withColumn("_pair", F.struct(key, "_i"))
-    best = (
-        token_f1_long(pairs, "_pair", "_p", "_gold")
-        .groupBy(F.col("_pair")[key].alias(key))
-        .agg(F.max("f1").alias("f1"))
-    )
-    return short.unionByName(
-        long.select(*df.columns, em.alias("em")).join(best, key, "left")
+    return norm.select(
+        *df.columns,
+        best_exact_match(F.col("_p"), F.col("_g")).alias("em"),
+        best_f1(F.col("_p"), F.col("_g")).alias("f1"),
     )
 
 
@@ -136,19 +108,22 @@ def squad_eval(scored: DataFrame) -> DataFrame:
     return _means(_sums([], scored), [])
 
 
-def squad_eval_by(scored: DataFrame, by: str = "lang", total: str = "all") -> DataFrame:
+def squad_eval_by(
+    scored: DataFrame, by: str | Sequence[str] = "lang", total: str = "all"
+) -> DataFrame:
     """The same per ``by`` value in one pass, with an overall line named ``total``.
 
-    The overall line is rolled up from the per-value sums.
+    The overall line is rolled up from the per-value sums. With several columns each
+    but the first has a ``total`` line within the ones before it.
     """
-    parts = _sums([by], scored)
-    rolled = parts.rollup(by).agg(
+    by = [by] if isinstance(by, str) else list(by)
+    parts = _sums(by, scored)
+    rolled = parts.rollup(*by).agg(
         *[F.sum(c).alias(c) for c in ("_em", "_f1", "n", "n_unscored")],
-        F.grouping(by).alias("_all"),
-    )
-    return _means(
-        rolled.withColumn(by, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(by))), [by]
+        *[F.grouping(c).alias(f"_all_{c}") for c in by],
     )
+    named = {c: F.when(F.col(f"_all_{c}") == 1, F.lit(total)).otherwise(F.col(c)) for c in by}
+    return _means(rolled.withColumns(named), by)
 
 
 def alias_accuracy(matched: DataFrame, match: str = "match") -> DataFrame:
@@ -191,6 +166,13 @@ def binary_metrics(df: DataFrame, logits: str = "logits", label: str = "label")
     )
 
 
+def unigram_bits(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Mean loss per token, and in bits, of tokens drawn by their own counts; one pass."""
+    total = F.sum(n)
+    loss = F.log(total) - F.sum(F.col(n) * F.log(F.col(n))) / total
+    return counts.agg(loss.alias("loss")).withColumn("bits", F.col("loss") / math.log(2))
+
+
 def bits_per_token(df: DataFrame, loss: str = "loss", weight: str | None = None) -> DataFrame:
     """Mean loss per token and the same in bits. ``weight`` counts equal losses."""
     if weight is None:

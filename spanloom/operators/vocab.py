@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions.batches import lookup
 from spanloom.functions.spans import SPECIAL_TOKENS, UNK
-from spanloom.session import broadcast_if_small, cut_lineage
+from spanloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 # Copies of a vocabulary row when it is too large to broadcast: a frequent token
 # is then spread over this many keys.
 SALTS = 32
 
 
-def build_vocab(df: DataFrame, tokens: Column, size: int) -> DataFrame:
-    """``token, token_id, n``: the ``size`` most frequent tokens, ties by text.
+def build_vocab(df: DataFrame, tokens: Column, size: int | None = None) -> DataFrame:
+    """``token, token_id, n``: the ``size`` most frequent tokens, ties by text; all without ``size``.
 
     Special tokens come first with ids 0, 1, ...; ``size`` counts without them.
     Counting is combined on the map side. The count that still makes it into
     the list is read from the histogram of counts, so only about ``size``
     tokens are sorted.
     """
-    if size <= 0:
+    if size is not None and size <= 0:
         raise ValueError("size must be positive")
     counts = cut_lineage(
         df.select(F.explode(tokens).alias("token"))
@@ -31,6 +33,11 @@ def build_vocab(df: DataFrame, tokens: Column, size: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .where(~F.col("token").isin(SPECIAL_TOKENS))
     )
+    specials = df.sparkSession.createDataFrame(
+        [(t, i, 0) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id long, n long"
+    )
+    if size is None:
+        return specials.unionByName(_numbered(counts))
     histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("with_n"))
     at_least = F.sum("with_n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")))
     enough = (
@@ -45,30 +52,57 @@ def build_vocab(df: DataFrame, tokens: Column, size: int) -> DataFrame:
     ranked = top.select(
         "token", (rank.cast("long") - 1 + len(SPECIAL_TOKENS)).alias("token_id"), "n"
     )
-    specials = df.sparkSession.createDataFrame(
-        [(t, i, 0) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id long, n long"
-    )
     return specials.unionByName(ranked)
 
 
+def _numbered(counts: DataFrame) -> DataFrame:
+    """Ids of all tokens by falling count, ties by text, without a window over the table.
+
+    The table is sorted over all partitions; only their sizes are ordered as a whole.
+    """
+    ordered = cut_lineage(
+        counts.repartitionByRange(F.desc("n"), "token")
+        .sortWithinPartitions(F.desc("n"), "token")
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    w = Window.orderBy("_p")
+    parts = (
+        ordered.groupBy(F.col("_part").alias("_p"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+        .withColumn("_before", F.sum("_rows").over(w) - F.col("_rows"))
+    )
+    side, _ = broadcast_if_small(cut_lineage(parts))
+    at = F.col("_before") + F.col("_at") - F.col("_first")
+    return ordered.join(side, F.col("_part") == F.col("_p")).select(
+        "token", (at + len(SPECIAL_TOKENS)).alias("token_id"), "n"
+    )
+
+
 def vocab_lookup(
-    tokens: DataFrame, vocab: DataFrame, token: str = "token", salts: int = SALTS
+    tokens: DataFrame,
+    vocab: DataFrame,
+    key: Sequence[str],
+    token: str = "token",
+    salts: int = SALTS,
+    max_rows: int = BROADCAST_ROWS,
+    unknown: int = SPECIAL_TOKENS.index(UNK),
 ) -> DataFrame:
-    """Adds ``token_id`` to one-token-per-row data; unknown tokens get that of ``<unk>``.
+    """Adds ``token_id`` to one-token-per-row data; unknown tokens get ``unknown``.
 
-    A vocabulary measured small is broadcast. A larger one is joined by shuffle
-    with each of its rows copied ``salts`` times, so that a token holding a large
-    share of the corpus does not end in one task.
+    A vocabulary measured to have at most ``max_rows`` rows is broadcast. A larger one
+    is joined by shuffle with each of its rows copied ``salts`` times; the copy is
+    chosen by the unique row ``key``, so that a token holding a large share of the
+    corpus does not end in one task.
     """
     ids = vocab.select(F.col("token").alias("_v"), "token_id")
-    unknown = vocab.where(F.col("token") == UNK).agg(F.max("token_id")).first()[0]
-    side, small = broadcast_if_small(ids)
+    side, small = broadcast_if_small(ids, max_rows)
     if small:
         joined = tokens.join(side, F.col(token) == F.col("_v"), "left")
     else:
         copies = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = tokens.withColumn(
-            "_r", F.pmod(F.xxhash64(*tokens.columns), F.lit(salts)).cast("int")
+            "_r", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
         )
         joined = salted.join(
             copies, (F.col(token) == F.col("_v")) & (F.col("_r") == F.col("_salt")), "left"
@@ -79,20 +113,19 @@ def vocab_lookup(
 
 
 def _exchange(
-    df: DataFrame, column: str, out: str, table: DataFrame, missing, key: str | None
+    df: DataFrame, column: str, out: str, table: DataFrame, missing, key: str, max_rows: int
 ) -> DataFrame:
     """``df`` with ``out``: the elements of ``column`` replaced through a two-column table."""
     source, target = table.columns
     result = table.schema[target].dataType
-    _, small = broadcast_if_small(table)
+    _, small = broadcast_if_small(table, max_rows)
     if small:
         pairs = table.toArrow().combine_chunks()
+        names = zip(("keys", "values"), table.columns)
         shared = df.sparkSession.sparkContext.broadcast(
-            tuple(pairs[c].combine_chunks() for c in table.columns)
+            {name: pairs[c].combine_chunks() for name, c in names}
         )
         return df.withColumn(out, lookup(F.col(column), shared, missing, result))
-    if key is None:
-        raise ValueError("a vocabulary too large to broadcast needs a unique key")
     copies = table.select(
         F.col(source).alias("_from"),
         F.col(target).alias("_to"),
@@ -122,20 +155,30 @@ def _exchange(
 
 
 def tokens_to_ids(
-    df: DataFrame, tokens: str, vocab: DataFrame, out: str = "ids", key: str | None = None
+    df: DataFrame,
+    tokens: str,
+    vocab: DataFrame,
+    key: str,
+    out: str = "ids",
+    max_rows: int = BROADCAST_ROWS,
+    unknown: int = SPECIAL_TOKENS.index(UNK),
 ) -> DataFrame:
-    """Adds (or replaces) ``out``: the ids of a token array, ``<unk>``'s for unknown ones.
+    """Adds (or replaces) ``out``: the ids of a token array, ``unknown`` for unknown ones.
 
     A vocabulary measured small is sent to the executors and looked up in Arrow
     batches, without a shuffle. A larger one is joined token by token, salted,
     and the ids are gathered again by the unique ``key``.
     """
-    unknown = vocab.where(F.col("token") == UNK).agg(F.max("token_id")).first()[0]
-    return _exchange(df, tokens, out, vocab.select("token", "token_id"), unknown, key)
+    return _exchange(df, tokens, out, vocab.select("token", "token_id"), unknown, key, max_rows)
 
 
 def ids_to_tokens(
-    df: DataFrame, ids: str, vocab: DataFrame, out: str = "tokens", key: str | None = None
+    df: DataFrame,
+    ids: str,
+    vocab: DataFrame,
+    key: str,
+    out: str = "tokens",
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The way back; ids not in the vocabulary give ``<unk>``."""
-    return _exchange(df, ids, out, vocab.select("token_id", "token"), UNK, key)
+    return _exchange(df, ids, out, vocab.select("token_id", "token"), UNK, key, max_rows)

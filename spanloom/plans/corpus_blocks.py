@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.masking import mlm_mask
@@ -11,13 +13,24 @@ from spanloom.functions.text import word_tokens
 from spanloom.operators.pack import pack_blocks
 from spanloom.operators.vocab import build_vocab, tokens_to_ids
 from spanloom.session import cut_lineage
+from spanloom.sources.store import feature_path, fingerprint, materialize_features
+from spanloom.sources.text import read_text_corpus
 
 
 def corpus_blocks(
-    corpus: DataFrame, vocab: DataFrame, key: str = "seq", text: str = "text", block_size: int = 512
+    corpus: DataFrame,
+    vocab: DataFrame,
+    key: str = "seq",
+    text: str = "text",
+    block_size: int = 512,
+    tokenize: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """``block_id, ids``: packed, wrapped in markers, as vocabulary ids."""
-    blocks = pack_blocks(corpus.select(key, text), word_tokens(text), key, block_size)
+    """``block_id, ids``: packed, wrapped in markers, as vocabulary ids.
+
+    ``tokenize`` is a column function to ``array<struct<tok,start,end>>``.
+    """
+    tokens = word_tokens(text) if tokenize is None else tokenize(F.col(text))["tok"]
+    blocks = pack_blocks(corpus.select(key, text), tokens, key, block_size)
     wrapped = blocks.select("block_id", wrap_special(F.col("tokens")).alias("tokens"))
     return tokens_to_ids(wrapped, "tokens", vocab, key="block_id").select("block_id", "ids")
 
@@ -36,6 +49,26 @@ def masked_blocks(blocks: DataFrame, seed: int, vocab_size: int) -> DataFrame:
     return blocks.select("block_id", mask.alias("_m")).select("block_id", "_m.*")
 
 
-def corpus_vocab(corpus: DataFrame, size: int, text: str = "text") -> DataFrame:
+def corpus_vocab(corpus: DataFrame, size: int | None = None, text: str = "text") -> DataFrame:
     """The corpus' vocabulary, stored so that later jobs only read it."""
     return cut_lineage(build_vocab(corpus, word_tokens(text), size))
+
+
+def blocks_from_files(
+    spark: SparkSession,
+    path: str | list[str],
+    folder: str,
+    vocab_size: int | None = None,
+    block_size: int = 512,
+    overwrite: bool = False,
+) -> DataFrame:
+    """``block_id, ids`` of text files, kept in ``folder`` and reused while files and settings last."""
+    target = feature_path(
+        folder, "words", block_size, "blocks", fingerprint(spark, path), vocab_size=vocab_size
+    )
+
+    def make() -> DataFrame:
+        corpus = cut_lineage(read_text_corpus(spark, path))
+        return corpus_blocks(corpus, corpus_vocab(corpus, vocab_size), block_size=block_size)
+
+    return materialize_features(spark, target, make, overwrite)

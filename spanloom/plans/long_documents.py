@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.batches import make_batches, shuffle_seeded
 from spanloom.operators.evaluate import alias_accuracy
 from spanloom.operators.hooks import evaluate_rows, overlap_scores
 from spanloom.operators.order import split_percent
@@ -16,6 +17,8 @@ from spanloom.operators.rows import (
     filter_nonempty,
     format_trivia,
 )
+from spanloom.plans.qa_features import label_spans
+from spanloom.session import cut_lineage
 
 
 def select_documents(
@@ -32,6 +35,37 @@ def select_documents(
     return rows if budget is None else filter_length_budget(rows, budget=budget)
 
 
+def training_batches(
+    qa: DataFrame,
+    max_length: int,
+    batch_size: int,
+    seed: int,
+    key: str = "seq",
+    policy: str = "fill_max",
+    tokenize: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Batches for training on long documents, in a reproducible shuffled order.
+
+    Answers are repaired against the lower-cased context, the context comes first,
+    and an answer that was cut away gets the policy's position. Each batch has the
+    rows' keys, ``input_ids``, ``attention_mask`` and positions as arrays.
+    """
+    labelled = label_spans(
+        qa, max_length, policy, tokenize=tokenize, context_first=True, fold_case=True
+    )
+    rows = labelled.select(
+        key,
+        F.col("encoded.input").alias("input_ids"),
+        F.col("encoded.attention_mask").alias("attention_mask"),
+        "start_positions",
+        "end_positions",
+    )
+    # Ordering reads its input several times; the rows should be made once.
+    placed = shuffle_seeded(cut_lineage(rows), key, seed)
+    columns = [key, "input_ids", "attention_mask", "start_positions", "end_positions"]
+    return make_batches(cut_lineage(placed), batch_size, columns, "pos")
+
+
 def over_budget(documents: DataFrame, budget: int = LENGTH_BUDGET) -> DataFrame:
     """``n_total`` rows, and ``n_over`` of them that the length budget would leave out."""
     length = F.length("question") + F.length("context")

@@ -2,47 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.binding import once
 from spanloom.functions.spans import (
     align_answer,
+    align_answer_ci,
     encode_pair,
+    extract_span,
     span_policy,
     span_to_tokens,
+    span_to_tokens_first,
 )
-from spanloom.functions.text import word_tokens
-from spanloom.operators.concat import concat_contexts
+from spanloom.functions.text import span_offsets, word_tokens
+from spanloom.operators.concat import concat_contexts, concat_groups
 from spanloom.operators.evaluate import score_answers, squad_eval_by
+from spanloom.operators.hooks import overlap_scores
 from spanloom.operators.profile import row_audit
 from spanloom.operators.rows import filter_valid_spans
 from spanloom.operators.vocab import tokens_to_ids
 from spanloom.session import cut_lineage
+from spanloom.sources import registry
+from spanloom.sources.registry import label_languages
 
 
 def label_spans(
-    df: DataFrame, max_length: int = 512, policy: str = "null", limit: int = 512
+    df: DataFrame,
+    max_length: int = 512,
+    policy: str = "null",
+    limit: int | None = None,
+    tokenize: Callable[[Column], Column] | None = None,
+    context_first: bool = False,
+    fold_case: bool = False,
+    context_tokens: str | None = None,
 ) -> DataFrame:
     """Adds ``span`` (repaired offsets), ``encoded`` and the token positions.
 
     Expects ``question, context, answers<text[], answer_start[]>``. Every row
-    stays; rejected ones have NULL positions.
+    stays; rejected ones have NULL positions. ``limit`` is that of ``span_policy`` and
+    follows ``max_length``. ``tokenize`` is a column function to
+    ``array<struct<tok,start,end>>``, see ``batch_tokenizer``; words by default.
+    ``fold_case`` compares answers with the lower-cased context. ``context_tokens``
+    names a column with the words of the context where they have been made before.
+
+    Under the policy ``null`` a position may lie behind the encoded input; such rows
+    are counted as ``over_long`` by ``rejection_reason``, and ``prepare_features`` leaves
+    them out where asked.
     """
     gold = F.get("answers.text", 0)
     start = F.get("answers.answer_start", 0)
-    split = once(
-        df,
-        span=align_answer(F.col("context"), gold, start),
-        _q=word_tokens("question"),
-        _c=word_tokens("context"),
-    )
-    encoded = once(split, encoded=encode_pair(F.col("_q"), F.col("_c"), max_length))
-    placed = once(
-        encoded, _at=span_to_tokens(F.col("context"), F.col("span"), F.col("encoded.input"))
-    )
+    align = align_answer_ci if fold_case else align_answer
+    made = {"span": align(F.col("context"), gold, start)}
+    if tokenize is None:
+        made["_q"] = word_tokens("question")
+        made["_c"] = word_tokens("context") if context_tokens is None else F.col(context_tokens)
+    else:
+        made["_qt"], made["_ct"] = tokenize(F.col("question")), tokenize(F.col("context"))
+    split = once(df, **made)
+    at = None
+    if tokenize is not None:
+        split = split.withColumns({"_q": F.col("_qt.tok"), "_c": F.col("_ct.tok")})
+        at = span_offsets(F.col("_ct"), F.col("span.start"), F.col("span.end"))
+    sides = (F.col("_c"), F.col("_q")) if context_first else (F.col("_q"), F.col("_c"))
+    encoded = once(split, encoded=encode_pair(*sides, max_length))
+    if context_first:
+        place = span_to_tokens_first(
+            F.col("context"), F.col("span"), F.col("encoded.kept_first"), at
+        )
+    else:
+        place = span_to_tokens(F.col("context"), F.col("span"), F.col("encoded.input"), at=at)
+    placed = once(encoded, _at=place)
+    top = max_length if limit is None else limit
     return placed.withColumn(
-        "_p", span_policy(F.col("_at.start"), F.col("_at.end"), policy, limit)
+        "_p", span_policy(F.col("_at.start"), F.col("_at.end"), policy, top)
     ).select(*df.columns, "span", "encoded", "_p.*")
 
 
@@ -60,7 +95,7 @@ def audit_preparation(
     nr_concats: int | None = None,
     max_length: int = 512,
     policy: str = "null",
-    limit: int = 512,
+    limit: int | None = None,
     by: tuple[str, ...] = ("lang",),
 ) -> DataFrame:
     """``reason, n_rows`` per ``by``: rows that stay, and rows lost at each step.
@@ -92,16 +127,28 @@ def prepare_features(
     nr_concats: int | None = None,
     max_length: int = 512,
     policy: str = "null",
-    limit: int = 512,
+    limit: int | None = None,
     by: tuple[str, ...] = ("lang",),
+    over_long: bool = True,
+    **options,
 ) -> DataFrame:
     """Training rows: concatenation (opt-in), offset repair, encoding, labels.
 
-    Without a vocabulary ``input_ids`` holds the tokens themselves.
+    Without a vocabulary ``input_ids`` holds the tokens themselves. A joined context
+    is tokenised once per group. ``over_long`` keeps rows whose answer lies behind the
+    encoded input (only the policy ``null`` has them), as labels that no input holds.
+    Takes the further options of ``label_spans``.
     """
     if nr_concats is not None:
-        qa = concat_contexts(qa, nr_concats, by=by)
-    labelled = filter_valid_spans(label_spans(qa, max_length, policy, limit))
+        groups = concat_groups(qa, nr_concats, by=by)
+        if options.get("tokenize") is None:
+            groups = once(groups, _words=word_tokens("context"))
+            options["context_tokens"] = "_words"
+        rest = [c for c in groups.columns if c != "members"]
+        qa = groups.select(*rest, F.explode("members").alias("_m")).select(*rest, "_m.*")
+    labelled = filter_valid_spans(label_spans(qa, max_length, policy, limit, **options))
+    if not over_long:
+        labelled = labelled.where(F.col("end_positions") <= max_length)
     rows = labelled.select(
         "seq",
         *by,
@@ -116,8 +163,42 @@ def prepare_features(
 
 
 def evaluate_predictions(
-    references: DataFrame, predictions: DataFrame, key: str = "seq", by: str = "lang"
+    references: DataFrame,
+    predictions: DataFrame,
+    key: str = "seq",
+    by: str | Sequence[str] = "lang",
 ) -> DataFrame:
     """Exact match and F1 per ``by`` and overall, over the paired rows."""
-    pairs = references.select(key, by, "golds").join(predictions.select(key, "pred"), key)
+    names = [by] if isinstance(by, str) else list(by)
+    pairs = references.select(key, *names, "golds").join(predictions.select(key, "pred"), key)
     return squad_eval_by(score_answers(pairs), by)
+
+
+def evaluate_model(
+    rows: DataFrame,
+    base: str,
+    score: Callable[[DataFrame], DataFrame] = overlap_scores,
+    key: str = "seq",
+    languages: DataFrame | None = None,
+) -> DataFrame:
+    """``label, lang, exact_match, f1, n``: from a model's scores to labelled results.
+
+    ``rows`` have ``question, context, golds, lang``. ``score`` adds start and end scores
+    over ``tokens``; the answer is extracted, paired by key and scored per language.
+    """
+    scored = score(once(rows, tokens=word_tokens("context")))
+    predictions = scored.select(
+        key, extract_span("tokens", "start_scores", "end_scores").alias("pred")
+    )
+    results = evaluate_predictions(rows, predictions, key, "lang")
+    dim = registry.languages(rows.sparkSession, base) if languages is None else languages
+    return label_languages(results, dim)
+
+
+def report_of(results: DataFrame) -> DataFrame:
+    """``metric, value`` lines named ``<language>_<measure>``, for ``store.write_report``."""
+    pairs = [
+        F.struct(F.concat_ws("_", "lang", F.lit(m)).alias("metric"), F.col(m).alias("value"))
+        for m in ("exact_match", "f1")
+    ]
+    return results.select(F.inline(F.array(*pairs)))

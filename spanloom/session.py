@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,17 +49,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _row_bytes(df: DataFrame):
-    """Size of a row: text by its octets, arrays by their elements, the rest by 8 bytes."""
-    sizes = [F.lit(16)]
-    for field in df.schema:
-        if isinstance(field.dataType, T.StringType):
-            sizes.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
-        elif isinstance(field.dataType, T.ArrayType):
-            sizes.append(32 * F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0)))
-        else:
-            sizes.append(F.lit(8))
-    return sum(sizes[1:], sizes[0]).cast("long")
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """Size of a value: text by its octets, structs and arrays by their parts, the rest by 8 bytes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        part = F.transform(value, lambda x: _bytes_of(x, kind.elementType))
+        return F.coalesce(F.aggregate(part, F.lit(16).cast("long"), lambda a, x: a + x), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    return sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16).cast("long"))
 
 
 def broadcast_if_small(

@@ -20,7 +20,7 @@ NESTED_SCHEMA = (
 def read_qa(
     spark: SparkSession,
     path: str,
-    langs: Sequence[str],
+    langs: Sequence[str] | None = None,
     base: str | None = None,
     split: str = "validation",
     fmt: str = "parquet",
@@ -28,9 +28,12 @@ def read_qa(
     """Rows of the wanted languages and split from a table partitioned by
     ``dataset, lang, split``; other partitions are not read.
 
-    Without ``base`` the entries of ``langs`` are whole datasets.
+    Without ``langs`` all languages are read, in one scan. Without ``base`` the
+    entries of ``langs`` are whole datasets.
     """
     table = spark.read.format(fmt).load(path).where(F.col("split") == split)
+    if langs is None:
+        return table if base is None else table.where(F.col("dataset") == base)
     if base is None:
         return table.where(F.col("dataset").isin(list(langs)))
     return table.where((F.col("dataset") == base) & F.col("lang").isin(list(langs)))
@@ -65,12 +68,12 @@ def union_languages(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_squad_json(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
 ) -> DataFrame:
     """``context, question, text, answer_start``, one row per answer.
 
-    Questions without answers vanish. A multi-line file is parsed by one task,
-    so large corpora should come as many files or as one object per line.
+    Questions without answers vanish. Files have one object per line; a file that is
+    one object over several lines needs ``multi_line`` and is parsed by one task.
     """
     nested = spark.read.schema(NESTED_SCHEMA).json(path, multiLine=multi_line)
     return (

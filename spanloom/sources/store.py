@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,23 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fingerprint(table: DataFrame) -> str:
-    """Identifies the files behind a table by path, size and modification time.
+def fingerprint(spark: SparkSession, path: str | list[str]) -> str:
+    """Identifies the files of a table by path, size and modification time.
 
-    Reads no data columns; files are combined on the map side.
+    One row per file comes from the listing; no file is opened.
     """
-    files = table.select(
-        F.col("_metadata.file_path").alias("p"),
-        F.col("_metadata.file_size").alias("s"),
-        F.col("_metadata.file_modification_time").alias("m"),
-    ).distinct()
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select(F.col("path").alias("p"), F.col("length").alias("s"), F.col("modificationTime").alias("m"))
+    )
     n, bits = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("p", "s", "m"))).first()
     return f"{n}-{(bits or 0) & (2**64 - 1):016x}"
 
 
-def feature_path(folder: str, tokenizer: str, block_size: int, name: str, inputs: str) -> str:
-    """Where features of these settings and inputs are kept."""
-    return f"{folder.rstrip('/')}/cached_{tokenizer}_{block_size}_{name}_{inputs}"
+def feature_path(
+    folder: str, tokenizer: str, block_size: int, name: str, inputs: str, **settings
+) -> str:
+    """Where features of these inputs and settings are kept.
+
+    ``settings`` are all further arguments that the features depend on (policy,
+    number of joined contexts, fingerprint of a vocabulary, ...).
+    """
+    path = f"{folder.rstrip('/')}/cached_{tokenizer}_{block_size}_{name}_{inputs}"
+    if not settings:
+        return path
+    said = json.dumps(settings, sort_keys=True, default=str)
+    return f"{path}_{hashlib.sha256(said.encode()).hexdigest()[:16]}"
 
 
 def materialize_features(
@@ -61,6 +74,14 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.explode(F.array(*pairs)).alias("m")).select("m.*").orderBy("metric")
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """``metric, value`` from a written report."""
+    parts = F.split("value", " = ", 2)
+    return spark.read.text(path).select(
+        F.get(parts, 0).alias("metric"), F.get(parts, 1).cast("double").alias("value")
+    )
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Writes ``metric = value`` lines; a report is a handful of rows."""
     lines = report.orderBy("metric").select(

@@ -15,11 +15,16 @@ from spanloom.session import scratch_path
 
 
 def stream_features(
-    spark: SparkSession, path: str, schema: T.StructType, max_length: int = 512, policy: str = "null"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    max_length: int = 512,
+    policy: str = "null",
+    limit: int | None = None,
 ) -> DataFrame:
     """Labelled rows of the Parquet files that appear under ``path``."""
     arriving = spark.readStream.schema(schema).parquet(path)
-    return filter_valid_spans(label_spans(arriving, max_length, policy))
+    return filter_valid_spans(label_spans(arriving, max_length, policy, limit))
 
 
 def write_available(rows: DataFrame, out: str, checkpoint: str | None = None) -> StreamingQuery:

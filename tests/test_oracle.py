@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.oracle import ORACLE
 from checks.compare import difference, duck
 
 
@@ -11,9 +12,9 @@ def con(sf):
     return duck(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, sf, con, name):
-    assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], sf) is None
+    assert difference(spark, con, entry.queries()[name], ORACLE[name], sf) is None
 
 
 def test_entry(spark):

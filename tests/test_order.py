@@ -135,3 +135,31 @@ def test_shuffle_is_a_reproducible_permutation(spark):
     other = {r.seq: r.pos for r in batches.shuffle_seeded(df, "seq", 2).collect()}
     assert one == two != other
     assert sorted(one.values()) == list(range(200))
+
+
+def test_repeated_and_missing_keys_are_refused(spark):
+    for keys in ([5, 5, 6, 6], [1, None, 2]):
+        df = spark.createDataFrame([("en", k, "x") for k in keys], SCHEMA)
+        with pytest.raises(ValueError):
+            order.row_index(df, "seq").collect()
+    df = spark.createDataFrame([(k,) for k in (5, 5, 6, 6)], "seq long")
+    with pytest.raises(ValueError):
+        order.split_percent(df, "seq", 25)
+
+
+def test_text_keys(spark):
+    r = random.Random(4)
+    ids = list({"".join(r.choices("aZé0𝄞", k=r.randint(0, 6))) for _ in range(120)})
+    df = spark.createDataFrame([(x,) for x in ids], "id string").repartition(3)
+    got = {x.id: x.idx for x in order.row_index(df, "id", rows_per_bucket=7).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(ids, key=str.encode))}
+
+
+def test_summaries_have_no_arrays(spark):
+    """What is ordered as a whole stays a few numbers per bucket, whatever the batch size."""
+    df = spark.range(500).withColumnRenamed("id", "seq")
+    rows = order.with_bucket(df, "seq", order.bucket_bounds(df, "seq", 10))
+    summary = order._group_starts(rows, ["seq"], 300, [], None)
+    assert not any("array" in kind for _, kind in summary.dtypes)
+    got = batches.make_batches(df, 300, ["seq"], rows_per_bucket=10).collect()
+    assert sorted((x.batch_id, x.n_rows) for x in got) == [(0, 300), (1, 200)]

@@ -10,7 +10,6 @@ from checks.queries import QUERIES
 from spanloom.functions.text import word_tokens
 from spanloom.operators import concat, hooks, order, pack, rows
 from spanloom.plans import corpus_blocks, long_documents, qa_features
-from spanloom.sources.tables import read_table
 from spanloom.streaming import rowwise
 
 
@@ -44,7 +43,7 @@ def stored_docs(spark, sf, tmp_path_factory):
     """Documents as they come from a large table: not spread by a shuffle."""
     path = str(tmp_path_factory.mktemp("docs"))
     t.table(spark, sf, "documents").repartition(4).write.mode("overwrite").parquet(path)
-    return read_table(spark, path, small_bytes=1)
+    return spark.read.parquet(path)
 
 
 def test_concat_shuffles_whole_rows_once(spark, stored_docs):

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spanloom import session
-from spanloom.sources import qa, registry, store, tables
+from spanloom.sources import qa, registry, store
 from spanloom.sources import text as text_source
 
 
@@ -60,9 +60,9 @@ def test_config_folders_and_labels(spark, tmp_path):
 def test_text_corpus(spark, tmp_path):
     texts = {f"f{i}.txt": "\n".join(f"{i} line {j} é" for j in range(n)) for i, n in enumerate([500, 1, 300])}
     texts["f1.txt"] = "only"
-    texts["f3.txt"] = "\n\nx"
+    texts |= {"f3.txt": "\n\nx", "f4.txt": "a\n", "f5.txt": "b\n\n", "f6.txt": "c\r\nd\r\n", "f7.txt": "", "f8.txt": "e\rf"}
     for name, body in texts.items():
-        (tmp_path / name).write_text(body, encoding="utf-8")
+        (tmp_path / name).write_bytes(body.encode())
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", 1500)
     try:
@@ -71,7 +71,8 @@ def test_text_corpus(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     got.sort()
     assert [r.seq for r in got] == list(range(len(got)))
-    assert "".join(r.text for r in got) == "".join(texts[n] for n in sorted(texts))
+    whole = "".join(texts[n] for n in sorted(texts))
+    assert "".join(r.text for r in got) == whole.replace("\r\n", "\n").replace("\r", "\n")
     with pytest.raises(AnalysisException):
         text_source.read_text_corpus(spark, str(tmp_path / "missing"))
 
@@ -88,6 +89,7 @@ def test_features_are_made_once(spark, tmp_path):
 
     path = store.feature_path(str(tmp_path), "words", 510, "wiki", "1-ab")
     assert path.endswith("/cached_words_510_wiki_1-ab")
+    assert path != store.feature_path(str(tmp_path), "words", 510, "wiki", "1-ab", policy="zero")
     assert store.materialize_features(spark, path, make(3)).count() == 3
     assert store.materialize_features(spark, path, make(4)).count() == 3
     assert store.materialize_features(spark, path, make(5), overwrite=True).count() == 5
@@ -100,10 +102,10 @@ def test_features_are_made_once(spark, tmp_path):
 
 def test_fingerprint_follows_the_files(spark, tmp_path):
     spark.range(10).write.parquet(f"{tmp_path}/t")
-    one = store.fingerprint(spark.read.parquet(f"{tmp_path}/t"))
-    assert one == store.fingerprint(spark.read.parquet(f"{tmp_path}/t"))
+    one = store.fingerprint(spark, f"{tmp_path}/t")
+    assert one == store.fingerprint(spark, f"{tmp_path}/t")
     spark.range(1).write.mode("append").parquet(f"{tmp_path}/t")
-    assert one != store.fingerprint(spark.read.parquet(f"{tmp_path}/t"))
+    assert one != store.fingerprint(spark, f"{tmp_path}/t")
 
 
 def test_report(spark, tmp_path):
@@ -114,16 +116,13 @@ def test_report(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/r").collect()] == ["em = 1.0", "f1 = 2.0"]
 
 
-def test_small_tables_are_spread(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
-    spread = tables.read_table(spark, f"{tmp_path}/t")
-    as_stored = tables.read_table(spark, f"{tmp_path}/t", small_bytes=1)
-    assert "RoundRobin" in spread._jdf.queryExecution().toString()
-    assert "RoundRobin" not in as_stored._jdf.queryExecution().toString()
-
-
 def test_broadcast_needs_a_measured_side(spark):
     df = spark.range(10).withColumn("t", F.repeat(F.lit("x"), 100))
     assert session.broadcast_if_small(df)[1]
     assert not session.broadcast_if_small(df, max_rows=9)[1]
     assert not session.broadcast_if_small(df, max_bytes=900)[1]
+
+
+def test_nested_values_are_measured(spark):
+    df = spark.range(10).select(F.struct(F.array(F.repeat(F.lit("x"), 100)).alias("a")).alias("s"))
+    assert not session.broadcast_if_small(df, max_bytes=900)[1]
