@@ -103,7 +103,8 @@ def with_fingerprints(docs: DataFrame, keep: list[str], width: int = SHINGLE, te
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Differing bits; unsigned, as bits of a negative number are those of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
 class Forest:
