@@ -90,7 +90,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                around = [e for e in stack if e.tag in BLOCK]
+                around = [e for e in stack if not e.tag or e.tag in BLOCK]
                 out.append(Block(text, linked, around, stack[-1].outside))
             parts, linked = [], 0
 
