@@ -19,7 +19,9 @@ def test_nested_json(spark, tmp_path):
     doc = {"data": [{"paragraphs": [para("c1", ("q1", [x, y]), ("q2", []))]}, {"paragraphs": []},
                     {"paragraphs": [para("c2"), para("c3", ("q3", [y]))]}]}
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=2))
-    got = qa.read_squad_json(spark, str(tmp_path / "a.json"))
+    (tmp_path / "b.json").write_text(json.dumps(doc))
+    got = qa.read_squad_json(spark, str(tmp_path / "a.json"), multi_line=True)
+    assert got.exceptAll(qa.read_squad_json(spark, str(tmp_path / "b.json"))).isEmpty()
     assert sorted(map(tuple, got.collect())) == [
         ("c1", "q1", "x", 1), ("c1", "q1", "y", 2), ("c3", "q3", "y", 2)
     ]
