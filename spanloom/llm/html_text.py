@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.words import chunks
+from spanloom.session import cut_lineage
+
+#: Tasks that the pages of one host are read by, at most.
+SALTS = 32
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -256,8 +260,14 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", m
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         host(F.col(f"`{url}`")).alias("host"),
         F.col(f"`{markup}`").alias("html"),
-    ).join(host_paths(pages, url, markup), "host", "left")
-    rows = rows.select("row", "html", "path")
+        F.pmod(F.xxhash64(F.col(f"`{url}`"), F.length(F.col(f"`{markup}`"))), F.lit(SALTS)).alias("salt"),
+    )
+    # Every host's path is copied for each salt, so that a host with much of the pages is
+    # read by many tasks. Hosts grow with the pages: never planned as a broadcast.
+    paths = cut_lineage(host_paths(pages, url, markup)).select(
+        "host", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    )
+    rows = rows.join(paths.hint("merge"), ["host", "salt"], "left").select("row", "html", "path")
 
     def run(batches):
         for batch, texts in _pages(batches):
