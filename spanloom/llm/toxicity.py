@@ -135,7 +135,7 @@ def _segments(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _training_rows(batches, lexicon: frozenset):
-    """Sequences with a word of the lexicon, and the first one of every document."""
+    """Features and tags of sequences with a word of the lexicon, and of each document's first one."""
     for batch, texts in text_chunks(batches):
         words = Words(texts, PLAIN, lower=True)
         distinct, codes = words.codes()
@@ -146,14 +146,15 @@ def _training_rows(batches, lexicon: frozenset):
         first, length = _segments(words)
         hit = np.add.reduceat(known, first) > 0
         keep = np.flatnonzero(hit | np.isin(first, words.first[:-1]))
-        text = distinct.take(pa.array(codes)).to_pylist()
-        owner = words.owner
-        rows = []
-        for a, n in zip(first[keep].tolist(), length[keep].tolist()):
-            rows.append((text[a : a + n], (known[a : a + n] & (toxic[owner[a]] > 0)).astype(int).tolist()))
+        table = features(distinct).astype(np.int32)[codes]
+        tags = (known & (toxic[words.owner] > 0)).astype(np.int8)
+        parts = list(zip(first[keep].tolist(), (first + length)[keep].tolist()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
-            ["words", "tags"],
+            [
+                pa.array([table[a:b].tobytes() for a, b in parts], pa.binary()),
+                pa.array([tags[a:b].tobytes() for a, b in parts], pa.binary()),
+            ],
+            ["features", "tags"],
         )
 
 
@@ -198,17 +199,18 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **names) -> dict:
 
     sample = cut_lineage(labelled_sample(docs, labels, allowed, **names))
     lexicon = frozenset(toxic_words(sample))
+    # sequences of a bounded sample, as numbers
     rows = (
         sample.select("text", "toxic")
-        .mapInArrow(lambda it: _training_rows(it, lexicon), "words array<string>, tags array<int>")
-        .collect()  # sequences of a bounded sample
+        .mapInArrow(lambda it: _training_rows(it, lexicon), "features binary, tags binary")
+        .toArrow()
     )
-    tokens = pa.array([w for r in rows for w in r["words"]], pa.string()).dictionary_encode()
     field = crf.Model(N_FEATURES, 2)
-    if rows:
-        codes = tokens.indices.to_numpy().astype(np.int64)
-        tags = np.array([t for r in rows for t in r["tags"]], np.int64)
-        field.fit(features(tokens.dictionary)[codes], tags, np.array([len(r["words"]) for r in rows]), rounds=40)
+    if rows.num_rows:
+        table = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("features")])
+        tags = np.concatenate([np.frombuffer(x.as_buffer(), np.int8) for x in rows.column("tags")])
+        sizes = np.array([len(x.as_buffer()) for x in rows.column("tags")])
+        field.fit(table.reshape(-1, 5), tags.astype(np.int64), sizes, rounds=40)
     model = field.__dict__
 
     def gather(batches):
