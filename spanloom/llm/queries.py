@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import ids_file, html_text, language, toxicity, repeats, bpe, pii, decontaminate, simhash, quality_rules
+from spanloom.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    ids_file,
+    language,
+    pii,
+    quality_rules,
+    repeats,
+    simhash,
+    toxicity,
+)
 from spanloom.session import scratch_path
 
 
@@ -104,15 +115,16 @@ def op1_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_files": op1_token_id_files,
-    "op10_html_extraction": op10_html_extraction,
+    "op2_pii_spans": op2_pii_spans,
     "op3_language_id": op3_language_id,
-    "op8_toxicity": op8_toxicity,
-    "op9_substring_dedup": op9_substring_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
-    "op2_pii_spans": op2_pii_spans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
-    "op5_simhash_near_dedup": op5_simhash_near_dedup,
-    "op4_quality_rules": op4_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
+#: None of them can be said in SQL: they hash, segment, tokenise or learn.
 ORACLE: dict[str, str] = {}
