@@ -190,6 +190,9 @@ def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
         .withColumn("_rank", F.sum(F.col("_new").cast("long")).over(local))
         .select(*keys, "_key", "_mark", "_new", "_same", "_null", "_rank")
     )
+    if runs_of is None and span == 1:
+        # every row is a group of its own, so the first one of a bucket starts it
+        return _single_starts(ranked, keys, order, by)
     ranked = cut_lineage(ranked)
     heads = ranked.groupBy(*keys).agg(
         F.sum(F.col("_new").cast("long")).alias("_n"),
@@ -243,6 +246,26 @@ def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
     return cut_lineage(summary)
 
 
+def _single_starts(ranked: DataFrame, keys, order, by) -> DataFrame:
+    heads = cut_lineage(
+        ranked.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.count_if("_same").alias("_repeats"),
+            F.count_if("_null").alias("_missing"),
+            F.min("_key").alias("_start"),
+        )
+    )
+    _refuse_repeats(heads, order)
+    earlier = over_buckets(by).rowsBetween(Window.unboundedPreceding, -1)
+    return heads.select(
+        *keys,
+        "_start",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+        F.lit(None).cast("int").alias("_prev_home"),
+        F.lit(None).cast("long").alias("_prev_base"),
+    )
+
+
 def row_index(
     df: DataFrame,
     order: str | Sequence[str],
