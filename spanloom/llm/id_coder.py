@@ -33,6 +33,9 @@ _CERTAIN = np.array([[_HALF * (j >= k) for j in range(4)] for k in range(4)], np
 _EVEN = np.array([_HALF * (j + 1) // 4 for j in range(4)], np.int16).view(np.int64)[0]
 #: Keeps every class possible.
 _FLOOR = np.array([1, 2, 3, 0], np.int16)
+#: Steps between two changes of the models' weights.
+_PACE = 4
+_HASH, _HASH2 = np.int32(40503), np.int32(30011)
 
 
 class _Lanes:
@@ -57,8 +60,10 @@ class _Lanes:
     def predict(self, m: int) -> None:
         """Predictions, and the edges of the class frequencies, of the first ``m`` lanes."""
         a, b = self.last1[:m], self.last2[:m]
-        self.at2 = self.base2[:m] + (((b << 3) + b + a * 30011 + (b >> 6)) & (SLOTS2 - 1))
-        self.at1 = self.base1[:m] + ((a + (a >> 9) * 37) & (SLOTS1 - 1))
+        mixed = a * _HASH
+        self.at1 = self.base1[:m] + ((mixed >> 9) & (SLOTS1 - 1))
+        mixed += b * _HASH2
+        self.at2 = self.base2[:m] + ((mixed >> 9) & (SLOTS2 - 1))
         self.entry2, self.entry1 = self.by2[self.at2], self.by1[self.at1]
         self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
         self.sure_at = self.base_model[:m] + ((self.entry2 & 3) << 2) + (self.entry1 & 3)
@@ -82,32 +87,30 @@ class _Lanes:
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
         self.at0 = self.base0[: len(ids)] + slot0(ids)
-        kind = 3 - (self.by0[self.at0] == ids).astype(np.int32)
-        kind[self.guess1 == ids] = 1
-        kind[self.guess2 == ids] = 0
-        return kind
+        zero = (self.by0[self.at0] == ids).astype(np.int32)
+        return np.where(self.guess2 == ids, 0, np.where(self.guess1 == ids, 1, 3 - zero))
 
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, kind: np.ndarray, step: int) -> None:
         m = len(ids)
         goal = _CERTAIN[kind].view(np.int16).reshape(m, 4)
-        # the model whose edges lie nearer to the class that came gains weight
-        off_sure, off_past = np.abs(goal - self.sure), np.abs(goal - self.past)
-        off_sure -= off_past
-        gain = off_sure[:, 0] + off_sure[:, 1] + off_sure[:, 2]
-        weight = self.weight[:m, 0]
-        weight += gain > 0
-        weight -= gain < 0
-        np.clip(weight, 1, 15, out=weight)
+        if step % _PACE == 0:
+            # the model whose edges lie nearer to the class that came gains weight
+            off_sure, off_past = np.abs(goal - self.sure), np.abs(goal - self.past)
+            off_sure -= off_past
+            gain = off_sure[:, 0] + off_sure[:, 1] + off_sure[:, 2]
+            weight = self.weight[:m, 0]
+            weight += np.sign(gain)
+            np.clip(weight, 1, 15, out=weight)
         for model, at, edges in ((self.by_sure, self.sure_at, self.sure), (self.by_past, self.past_at, self.past)):
             step = goal - edges
             step >>= _RATE
             step += edges
             model[at] = step.view(np.int64).ravel()
-        for table, at, entry, guess in ((self.by2, self.at2, self.entry2, self.guess2), (self.by1, self.at1, self.entry1, self.guess1)):
-            sure = entry & 3
-            right = guess == ids
-            moved = entry + np.where(right, (sure < 3).astype(np.int32), -1)
-            table[at] = np.where(right | (sure > 0), moved, ids << 2)
+        # a prediction is always the last id; its confidence is how often it has been right
+        fresh = ids << 2
+        for table, at, entry in ((self.by2, self.at2, self.entry2), (self.by1, self.at1, self.entry1)):
+            grown = np.minimum(entry + 1, entry | 3)
+            table[at] = np.where(grown >> 2 == ids, grown, fresh)
         self.by0[self.at0] = ids
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = ids
@@ -155,10 +158,9 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.nda
         lo += r * edge
         r *= width
         np.right_shift(r, widths[kind], out=sp)
-        detail = np.where(kind == 3, now, slot0(now))
-        detail[kind < 2] = 0
+        detail = np.where(kind == 3, now, np.where(kind == 2, slot0(now), 0))
         lo += sp * detail.astype(np.uint64)
-        state.learn(now, kind)
+        state.learn(now, kind, t)
         need = sp < _LOW
         while need.any():
             _tighten(lo, sp, need)
@@ -192,6 +194,7 @@ def decode_lanes(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np.
         at += 1
     columns = np.zeros((steps, n), np.int32)
     widths = np.array([0, 0, SLOT_BITS, bits], np.uint64)
+    most = (np.uint64(1) << widths) - np.uint64(1)
     last = np.uint64((1 << SCALE) - 1)
     for t in range(steps):
         m = _running(lengths, t)
@@ -207,17 +210,16 @@ def decode_lanes(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np.
         lo += r * edge
         r *= width
         np.right_shift(r, widths[kind], out=sp)
-        now = np.where(kind == 0, state.guess2, state.guess1)
-        more = np.flatnonzero(kind > 1)
-        found = (co[more] - lo[more]) // np.maximum(sp[more], np.uint64(1))
-        found = np.minimum(found, (np.uint64(1) << widths[kind[more]]) - np.uint64(1))
-        lo[more] += sp[more] * found
+        found = (co - lo) // np.maximum(sp, np.uint64(1))
+        np.minimum(found, most[kind], out=found)  # nothing for the classes 0 and 1
+        lo += sp * found
         found = found.astype(np.int32)
-        slot = state.base0[more] + (found & (SLOTS0 - 1))
-        now[more] = np.where(kind[more] == 2, state.by0[slot], found)
+        slot = state.by0[state.base0[:m] + (found & (SLOTS0 - 1))]
+        guessed = np.where(kind == 0, state.guess2, state.guess1)
+        now = np.where(kind < 2, guessed, np.where(kind == 2, slot, found))
         columns[t, :m] = now
         state.at0 = state.base0[:m] + slot0(now)
-        state.learn(now, kind)
+        state.learn(now, kind, t)
         need = sp < _LOW
         while need.any():
             _tighten(lo, sp, need)

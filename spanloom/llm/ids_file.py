@@ -14,9 +14,11 @@ writes files without rows; other columns are never looked at.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from spanloom.llm.words import text_chunks
 
 #: Ids aimed at in one container.
 SEGMENT = 1 << 22
+#: Distinct pieces that a Python worker remembers, at most.
+KNOWN = 2_000_000
 END = 0
 
 
@@ -40,15 +44,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    @classmethod
+    def of(cls, shared: dict) -> "Encoder":
+        """The encoder of this Python worker; later tasks go on with the pieces it knows."""
+        if "encoder" not in shared:
+            shared["encoder"] = cls(shared["spec"])
+        return shared["encoder"]
+
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one behind the other, and how many each has."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        at = pc.index_in(pieces, self.known)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        new = pieces.filter(pa.array(fresh))
+        found = self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)
+        lists = [e.ids for e in found]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[fresh] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        many = self.lengths[at]
+        begin = (np.cumsum(self.lengths) - self.lengths)[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        return self.ids[np.repeat(begin - ends[:-1], many) + np.arange(ends[-1])], many
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text begins."""
         pieces = Pieces(texts)
-        found = self.tokenizer.encode_batch_fast(pieces.distinct.to_pylist(), add_special_tokens=False)
-        lists = [e.ids for e in found]
-        lengths = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum()))
-        ids, at = pieces.gather(flat, lengths)
+        ids, at = pieces.gather(*self.distinct(pieces.distinct))
         return np.insert(ids, at[1:], end), at + np.arange(len(at))
 
 
@@ -58,7 +90,7 @@ _SCHEMA = "part int, seq long, n_ids long, docs array<struct<doc_id:{kind},n:lon
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = END, segment: int = SEGMENT) -> None:
     """Write the containers of all documents below ``path``, in ascending order of the id."""
     with open(tokenizer or default_path(), encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast({"spec": f.read()})
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -67,7 +99,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, doc_id:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = Encoder(spec.value)
+        encoder = Encoder.of(spec.value)
         bits = max(1, int(encoder.tokenizer.get_vocab_size() - 1).bit_length())
         held, names, counts, size = [], [], [], 0
 
