@@ -28,6 +28,8 @@ from spanloom.session import cut_lineage
 
 SHINGLE = 3
 RADIUS = 2
+#: Bytes of text whose shingles a worker holds at once.
+HASHED_BYTES = 4 << 20
 #: Bound of the sample that places the vantage points (8 bytes each on the driver).
 SAMPLE = 1 << 16
 #: Fingerprints aimed at in a shard, and the fewest sampled ones that a cut needs.
@@ -97,9 +99,9 @@ def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
 def with_fingerprints(docs: DataFrame, keep: list[str], width: int = SHINGLE, text: str = "text") -> DataFrame:
     """The kept columns and ``fp``."""
     field = T.StructField("fp", T.LongType())
-    return measure(docs, lambda t: [fingerprints(t, width)], [field], keep, text).select(
-        "row.*", "fp"
-    )
+    return measure(
+        docs, lambda t: [fingerprints(t, width)], [field], keep, text, HASHED_BYTES
+    ).select("row.*", "fp")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
