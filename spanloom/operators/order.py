@@ -247,20 +247,21 @@ def _group_starts(rows, order, span, by, runs_of) -> DataFrame:
 
 
 def _single_starts(ranked: DataFrame, keys, order, by) -> DataFrame:
-    heads = cut_lineage(
-        ranked.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if("_same").alias("_repeats"),
-            F.count_if("_null").alias("_missing"),
-            F.min("_key").alias("_start"),
-        )
+    heads = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if("_same").alias("_repeats"),
+        F.count_if("_null").alias("_missing"),
+        F.min("_key").alias("_start"),
     )
-    _refuse_repeats(heads, order)
     earlier = over_buckets(by).rowsBetween(Window.unboundedPreceding, -1)
-    return heads.select(
+    summary = cut_lineage(
+        heads.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    )
+    _refuse_repeats(summary, order)
+    return summary.select(
         *keys,
         "_start",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+        "_base",
         F.lit(None).cast("int").alias("_prev_home"),
         F.lit(None).cast("long").alias("_prev_base"),
     )
