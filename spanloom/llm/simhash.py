@@ -312,7 +312,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that share this id, the one with the smallest hash of its text stays.
     """
-    found = near_duplicates(docs, doc_id, text=text)
+    return keep_least(docs, near_duplicates(docs, doc_id, text=text), doc_id, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows whose id is the ``component_id`` that ``found`` gives it, one of each id."""
     kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(doc_id).alias("key")
