@@ -140,6 +140,8 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 close()
             continue
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in RAW:
             # its content is no markup and no text of the article
             shut = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
