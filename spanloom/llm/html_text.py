@@ -37,12 +37,20 @@ BLOCK = frozenset(
     "thead tr ul".split()
 )
 ASIDE = frozenset("nav header footer aside form menu head dialog".split())
-#: Words in a class, id or role that mark what is not the article.
-MARKED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-\w*|consent|cookies?|disclaimer|footer|"
-    r"menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|"
-    r"share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[^a-z])"
+#: Names (a class, id or role as a whole) that mark what is not the article: such a word,
+#: alone or among words that only say where or in what it stands.
+_MARK = (
+    r"(?:ads?|advert[a-z]*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|menu|modal|nav[a-z]*|newsletter|"
+    r"notices?|pager|pagination|popup|promo[a-z]*|recommend[a-z]*|related|replies|respond|share|sharing|sidebar|social|"
+    r"sponsor[a-z]*|subscribe|toolbar|widget)"
 )
+_BESIDE = (
+    r"(?:site|page|main|post|posts|entry|article|articles|global|primary|secondary|top|bottom|left|right|box|bar|list|area|"
+    r"section|block|wrapper|container|inner|links?|items?|form|buttons?|unit|slot|text|title|[0-9]+)"
+)
+MARKED = re.compile(rf"(?:{_BESIDE}[-_]+)*{_MARK}[0-9]*(?:[-_]+(?:{_MARK}|{_BESIDE}))*")
+#: Elements that no name marks.
+NEVER_MARKED = frozenset("html body main article".split())
 # an open element of the key ends where one of these begins
 _P_ENDS = BLOCK - {"html", "body"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -57,34 +65,65 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    """An open element: its tag, generalised path, whether it is outside the article, and its number."""
+    """An open element: its tag, generalised path, the marked elements it is or is in, and its number."""
 
-    __slots__ = ("tag", "path", "outside", "number")
+    __slots__ = ("tag", "path", "marks", "number")
 
-    def __init__(self, tag: str, path: str, outside: bool, number: int):
-        self.tag, self.path, self.outside, self.number = tag, path, outside, number
+    def __init__(self, tag: str, path: str, marks: tuple[Element, ...], number: int):
+        self.tag, self.path, self.marks, self.number = tag, path, marks, number
 
 
 class Block:
-    """A run of text between block boundaries, with the elements around it."""
+    """A run of text between block boundaries, with the elements around it and the marked ones among them."""
+
+    __slots__ = ("text", "linked", "around", "marks", "outside")
+
+    def __init__(self, text: str, linked: int, around: list[Element], marks: tuple[Element, ...]):
+        self.text, self.linked, self.around, self.marks, self.outside = text, linked, around, marks, bool(marks)
+
+    @property
+    def prose(self) -> int:
+        """Characters of unlinked prose."""
+        return max(0, len(self.text) - 2 * self.linked)
+
+
+def _unmark(found: list[Block]) -> None:
+    """Take back the marks of elements that hold most of the page's prose: wrappers of the page.
 
-    __slots__ = ("text", "linked", "around", "outside")
+    That is nine tenths of it, or half if a first heading or ``main`` is inside. An
+    element marked by its tag keeps its mark, but for a form around the page.
+    """
+    def by_name(e: Element) -> bool:
+        return e.tag not in ASIDE or e.tag == "form"
 
-    def __init__(self, text: str, linked: int, around: list[Element], outside: bool):
-        self.text, self.linked, self.around, self.outside = text, linked, around, outside
+    counted = [b for b in found if all(by_name(e) for e in b.marks)]
+    total = sum(b.prose for b in counted)
+    holds: dict[Element, int] = {}
+    heads: set[Element] = set()
+    for b in counted:
+        for e in b.marks:
+            holds[e] = holds.get(e, 0) + b.prose
+        if b.marks and any(e.tag in ("h1", "main") for e in b.around):
+            heads.update(b.marks)
+    wraps = {e for e, prose in holds.items() if 10 * prose >= 9 * total or (2 * prose > total and e in heads)}
+    if wraps:
+        for b in counted:
+            b.outside = any(e not in wraps for e in b.marks)
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """Tag with generalised classes, and whether its names mark it as no part of the article."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     classes = sorted({_DIGITS.sub("", c).strip("-_") for c in found.get("class", "").lower().split()} - {""})
-    names = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()
-    return ".".join([tag, *classes]), bool(names.strip()) and bool(MARKED.search(names))
+    if tag in NEVER_MARKED:
+        return ".".join([tag, *classes]), False
+    names = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower().split()
+    return ".".join([tag, *classes]), any(MARKED.fullmatch(n) for n in names)
 
 
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page in page order."""
-    stack = [Element("", "", False, 0)]
+    stack = [Element("", "", (), 0)]
     out: list[Block] = []
     parts: list[str] = []
     linked = links = number = at = 0
@@ -95,7 +134,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 around = [e for e in stack if not e.tag or e.tag in BLOCK]
-                out.append(Block(text, linked, around, stack[-1].outside))
+                out.append(Block(text, linked, around, stack[-1].marks))
             parts, linked = [], 0
 
     def end(index: int) -> None:
@@ -170,8 +209,12 @@ def blocks(page: str) -> list[Block]:
         name, marked = _named(tag, m[3])
         path = f"{above.path}>{name}" if tag in BLOCK else above.path
         links += tag == "a"
-        stack.append(Element(tag, path, above.outside or marked or tag in ASIDE, number))
+        e = Element(tag, path, above.marks, number)
+        if marked or tag in ASIDE:
+            e.marks = (*above.marks, e)
+        stack.append(e)
     close()
+    _unmark(out)
     return out
 
 
@@ -193,8 +236,7 @@ def page_votes(found: list[Block]) -> dict[str, float]:
         home = container(b)
         if home is None or b.outside:
             continue
-        prose = max(0, len(b.text) - 2 * b.linked)
-        score[home.path] = score.get(home.path, 0.0) + prose
+        score[home.path] = score.get(home.path, 0.0) + b.prose
     total = sum(score.values())
     return {path: s / total for path, s in score.items()} if total else {}
 

@@ -11,3 +11,17 @@ def test_self_closed_icons_hide_nothing():
     page = '<article><p>First <svg class="icon" href="#a"/> part.</p><math/><p>Second part.</p>{}</article>'
     assert text_of(page.format("")) == "First part.\n\nSecond part."
     assert text_of(page.format("<svg><path d=m /><text>no</text></svg><p>Third.</p>")) == "First part.\n\nSecond part.\n\nThird."
+
+
+def test_names_of_wrappers_do_not_hide_the_page():
+    prose = "<h1>Head</h1><p>" + "some words of the article " * 9 + "</p>"
+    want = text_of(f"<body><div>{prose}</div></body>")
+    assert want.startswith("Head\n\nsome words")
+    for tag, names in (
+        ("body", "single has-sidebar"), ("body", "menu"), ("div", "content with-sidebar"), ("main", "main nav-open"),
+        ("div", "elementor-widget-container"), ("div", "sidebar"), ("article", "related"), ("form", ""),
+    ):
+        page = f"<{tag} class='{names}'><div>{prose}</div><div class='ad'><p>buy</p></div></{tag}>"
+        assert text_of(page) == want, (tag, names)
+    for names in ("sidebar", "cookie-notice", "site-footer", "comments-area", "ad-slot-3"):
+        assert text_of(f"<body><div>{prose}</div><div class='{names}'><p>other text here</p></div></body>") == want, names
