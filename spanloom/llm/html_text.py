@@ -1,10 +1,13 @@
 """Main text of web pages (method: consensus host paths).
 
-Each page's containers are scored by the prose they hold themselves. A container is
-named by its path of tags and classes without digits; the pages of a host vote for
-these paths in Spark, pre-aggregated per partition, so a host with a third of all
-pages is no larger group than others. Every page is then read again with the winning
-path of its host, or with its own best container where it has none of that path.
+Each page's containers are scored by the prose in them and in what they contain. A
+container is named by its path of tags and classes without digits. A page votes for the
+deepest path that holds nearly all of its prose, raised to an element that has text of
+its own beside it; the votes of a host are summed in Spark, pre-aggregated per
+partition, so a host with a third of all pages is no larger group than others. A host
+has a winning path for each of its templates. Every page is then read again with the
+winning path that holds most of its prose, or with its own best container where that
+is little of it, unless the host's pages show that container to stand beside the text.
 
 Defined cases: null or empty html gives the empty text; a page without url votes for
 the host ``""``; markup that is never closed ends with the page; repeated pages vote
@@ -27,6 +30,10 @@ from spanloom.session import cut_lineage
 
 #: Tasks that the pages of one host are read by, at most.
 SALTS = 32
+#: Share of a page's prose that its container holds at least, and below which a winning path is not the page's.
+NEARLY, LITTLE = 0.9, 0.5
+#: Share of a host's pages that vote for a path of a template, or that have a path known to stand beside the text.
+TEMPLATE, COMMON = 0.05, 0.1
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -115,10 +122,11 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """Tag with generalised classes, and whether its names mark it as no part of the article."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     classes = sorted({_DIGITS.sub("", c).strip("-_") for c in found.get("class", "").lower().split()} - {""})
+    name = ".".join([tag, *classes]).replace(">", "")
     if tag in NEVER_MARKED:
-        return ".".join([tag, *classes]), False
+        return name, False
     names = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower().split()
-    return ".".join([tag, *classes]), any(MARKED.fullmatch(n) for n in names)
+    return name, any(MARKED.fullmatch(n) for n in names)
 
 
 def blocks(page: str) -> list[Block]:
@@ -230,27 +238,55 @@ def container(block: Block) -> Element | None:
 
 
 def page_votes(found: list[Block]) -> dict[str, float]:
-    """Score of each container path of a page: unlinked prose, counted for the nearest container."""
+    """Share of the page's unlinked prose below each container path."""
     score: dict[str, float] = {}
+    total = 0
     for b in found:
-        home = container(b)
-        if home is None or b.outside:
+        if b.outside or not b.prose:
             continue
-        score[home.path] = score.get(home.path, 0.0) + b.prose
-    total = sum(score.values())
+        total += b.prose
+        for path in {e.path for e in b.around if e.tag not in _PROSE}:
+            score[path] = score.get(path, 0.0) + b.prose
     return {path: s / total for path, s in score.items()} if total else {}
 
 
-def page_text(found: list[Block], winner: str | None) -> str:
-    """The blocks below the winning path, or below the page's own best container."""
+def _tag(path: str) -> str:
+    return path.rpartition(">")[2].split(".")[0]
+
+
+def best(found: list[Block], votes: dict[str, float]) -> str | None:
+    """The deepest path with nearly all prose, raised to an article or an element with text of its own around it."""
+    near = [p for p, share in votes.items() if share >= NEARLY]
+    if not near:
+        return None
+    path = min(near, key=lambda p: (-p.count(">"), -votes[p], p))
+    own = {home.path for b in found if not b.outside and b.prose and (home := container(b)) is not None}
+    up = path
+    while up := up.rpartition(">")[0]:
+        if _tag(up) in ("body", "html"):
+            break
+        if up in own or _tag(up) == "article":
+            path = up
+    return path
+
+
+def page_text(found: list[Block], winners: list[str] | str | None, beside: list[str] | None = None) -> str:
+    """The blocks below the winning path with most of the page's prose, or below the page's own best container.
+
+    A winning path with little of it still counts where the own best container is a path of ``beside``.
+    """
     def below(path: str) -> list[str]:
         return [b.text for b in found if not b.outside and any(e.path == path for e in b.around)]
 
-    if winner is not None and (kept := below(winner)):
-        return "\n\n".join(kept)
     votes = page_votes(found)
-    if votes:
-        return "\n\n".join(below(min(votes, key=lambda p: (-votes[p], p))))
+    own = best(found, votes)
+    known = [p for p in ([winners] if isinstance(winners, str) else winners or []) if p in votes]
+    if known:
+        first = min(known, key=lambda p: (-votes[p], -p.count(">"), p))
+        if own is None or votes[first] >= LITTLE or own in (beside or ()):
+            return "\n\n".join(below(first))
+    if own is not None:
+        return "\n\n".join(below(own))
     return "\n\n".join(b.text for b in found if not b.outside)
 
 
@@ -268,33 +304,53 @@ def _pages(batches, limit: int = 4 << 20):
 
 
 def host_paths(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
-    """``host`` and ``path``, the container path with the most votes of its pages."""
+    """``host``, ``path`` with the most votes of its pages, ``paths`` of all templates, and ``beside``.
+
+    ``beside`` are paths on many of the host's pages that hold less than half of the prose there.
+    """
     rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{markup}`").alias("html"))
 
     def run(batches):
         for batch, texts in _pages(batches):
-            votes: dict[tuple[str, str], float] = {}
+            seen: dict[tuple[str, str], list] = {}
             for name, page in zip(batch.column("host").to_pylist(), texts):
-                for path, share in page_votes(blocks(page)).items():
-                    votes[name, path] = votes.get((name, path), 0.0) + share
+                found = blocks(page)
+                votes = page_votes(found)
+                own = best(found, votes)
+                for path, share in votes.items():
+                    row = seen.setdefault((name, path), [0, 0, 0])
+                    row[0] += path == own
+                    row[1] += 1
+                    # integers, so that the sum does not depend on its order
+                    row[2] += round(share * 1e6)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k in votes], pa.string()),
-                    pa.array([k[1] for k in votes], pa.string()),
-                    # integers, so that the sum does not depend on its order
-                    pa.array([round(v * 1e6) for v in votes.values()], pa.int64()),
+                    pa.array([k[0] for k in seen], pa.string()),
+                    pa.array([k[1] for k in seen], pa.string()),
+                    *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(3)],
                 ],
-                ["host", "path", "votes"],
+                ["host", "path", "votes", "n", "share"],
             )
 
-    votes = rows.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    most = votes.groupBy("host").agg(F.max("votes").alias("most"))
-    return (
-        votes.join(most, "host")
-        .where("votes = most")
-        .groupBy("host")
-        .agg(F.min("path").alias("path"))
+    sums = [F.sum(c).alias(c) for c in ("votes", "n", "share")]
+    votes = cut_lineage(
+        rows.mapInArrow(run, "host string, path string, votes long, n long, share long").groupBy("host", "path").agg(*sums)
     )
+    total = votes.groupBy("host").agg(F.sum("votes").alias("total"), F.max("votes").alias("most"))
+    wins = (F.col("votes") > 0) & ((F.col("votes") == F.col("most")) | (F.col("votes") >= TEMPLATE * F.col("total")))
+    aside = ~_most() & (F.col("n") >= 2) & (F.col("n") >= COMMON * F.col("total")) & (F.col("share") < 0.5e6 * F.col("n"))
+    found = votes.join(total, "host").select(
+        "host", "path", "votes", "most", (wins & ~aside).alias("wins"), aside.alias("aside")
+    ).where("wins or aside")
+    return found.groupBy("host").agg(
+        F.min(F.when(_most(), F.col("path"))).alias("path"),
+        F.sort_array(F.collect_list(F.when(F.col("wins"), F.col("path")))).alias("paths"),
+        F.sort_array(F.collect_list(F.when(F.col("aside"), F.col("path")))).alias("beside"),
+    )
+
+
+def _most() -> Column:
+    return F.col("votes") == F.col("most")
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", markup: str = "html") -> DataFrame:
@@ -309,13 +365,14 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", m
     # Every host's path is copied for each salt, so that a host with much of the pages is
     # read by many tasks. Hosts grow with the pages: never planned as a broadcast.
     paths = cut_lineage(host_paths(pages, url, markup)).select(
-        "host", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+        "host", "paths", "beside", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     )
-    rows = rows.join(paths.hint("merge"), ["host", "salt"], "left").select("row", "html", "path")
+    rows = rows.join(paths.hint("merge"), ["host", "salt"], "left").select("row", "html", "paths", "beside")
 
     def run(batches):
         for batch, texts in _pages(batches):
-            out = [page_text(blocks(page), path) for page, path in zip(texts, batch.column("path").to_pylist())]
+            known = zip(batch.column("paths").to_pylist(), batch.column("beside").to_pylist())
+            out = [page_text(blocks(page), *of_host) for page, of_host in zip(texts, known)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))

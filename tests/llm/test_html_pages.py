@@ -25,3 +25,22 @@ def test_names_of_wrappers_do_not_hide_the_page():
         assert text_of(page) == want, (tag, names)
     for names in ("sidebar", "cookie-notice", "site-footer", "comments-area", "ad-slot-3"):
         assert text_of(f"<body><div>{prose}</div><div class='{names}'><p>other text here</p></div></body>") == want, names
+
+
+def test_text_of_nested_containers_is_whole():
+    long = "words of the body text " * 40
+    page = f"<body><article><h1>Title</h1><p>lead</p><div class='body'><p>{long}</p></div></article><div class='x'>box</div></body>"
+    assert text_of(page) == f"Title\n\nlead\n\n{long.strip()}"
+    assert text_of(page.replace("article>", "section>")) == f"Title\n\nlead\n\n{long.strip()}"
+    two = f"<main><section class='intro'><p>{long[:300]}</p></section><section class='methods'><p>{long}</p></section></main>"
+    assert text_of(two) == f"{long[:300].strip()}\n\n{long.strip()}"
+
+
+def test_two_templates_and_a_page_without_the_winner(spark):
+    long = "words of the text " * 20
+    rows = [(i, f"http://h.example/a{i}", f"<body><div class='story'><p>{long}{i}</p></div></body>") for i in range(6)]
+    rows += [(i, f"http://h.example/b{i}", f"<body><div class='story'><p>short box</p></div><div class='report'><p>{long}{i}</p></div></body>") for i in range(10, 14)]
+    rows += [(20, "http://h.example/c", f"<body><div class='story'><p>short box</p></div><div class='once'><p>{long}20</p></div></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.row.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {i: f"{long}{i}" for i, _, _ in rows}
