@@ -18,6 +18,7 @@ from spanloom.llm import (
     repeats,
     simhash,
     toxicity,
+    whitening,
 )
 from spanloom.session import scratch_path
 
@@ -113,6 +114,11 @@ def op1_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_file.read_checksums(spark, path)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return found.select("row.vec_id", *[c for c in found.columns if c != "row"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_files": op1_token_id_files,
     "op2_pii_spans": op2_pii_spans,
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
