@@ -26,7 +26,7 @@ def duck(sf_dir: str):
 
 def kind(dtype: str) -> str:
     known = {"bigint": "int", "BIGINT": "int", "string": "text", "VARCHAR": "text",
-             "double": "float", "DOUBLE": "float", "boolean": "bool", "BOOLEAN": "bool"}
+             "int": "int32", "INTEGER": "int32", "double": "float", "DOUBLE": "float", "boolean": "bool", "BOOLEAN": "bool"}
     return known.get(dtype, dtype)
 
 
