@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import (
     bpe,
     decontaminate,
+    divergence,
     html_text,
     ids_file,
     language,
@@ -114,6 +115,10 @@ def op1_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_file.read_checksums(spark, path)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
     return found.select("row.vec_id", *[c for c in found.columns if c != "row"])
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_source_divergence": op11_source_divergence,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -169,6 +175,25 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+m AS (SELECT lang, source, sum(n) AS m FROM c GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, coalesce(m.m, 0) + 5 * v.v AS total, v.v
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN m USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // total AS p, sum(n) OVER (PARTITION BY lang, term) AS ln, sum(n) OVER (PARTITION BY lang) AS lt FROM x),
+q AS (SELECT *, 1 + (1000000000::HUGEINT * (ln + 5)) // (lt + 5 * v) AS q FROM p),
+a AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM q a JOIN q b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(a_b.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN a a_b ON a_b.lang = a.lang AND a_b.source = a.source AND a_b.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM q WHERE n > 0 AND p > q),
+f AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r)
+SELECT * FROM f WHERE part = 'pair' OR rank <= 50""",
     "op9_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 win AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 18)) AS k FROM d)),
