@@ -11,6 +11,7 @@ from spanloom.llm import (
     bpe,
     decontaminate,
     divergence,
+    fingerprints,
     html_text,
     ids_file,
     language,
@@ -119,6 +120,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
     return found.select("row.vec_id", *[c for c in found.columns if c != "row"])
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op11_source_divergence": op11_source_divergence,
+    "op12_fingerprints": op12_fingerprints,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
