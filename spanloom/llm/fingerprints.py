@@ -168,12 +168,13 @@ def within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFram
     Both frames have a column ``fp`` without repeats; a pair comes once. Exact.
     """
     masks = tables(radius, fps.count())
-    at = F.array(*[_long(m) for m in masks])
     keyed = lambda df, name: df.select(F.col("fp").alias(name), F.posexplode(F.array(*[F.col("fp").bitwiseAND(_long(m)) for m in masks])).alias("t", "k"))
     asked, _ = broadcast_if_small(queries)
     apart = F.col("fp").bitwiseXOR(F.col("other"))
-    # the first table that both agree on has the pair
-    earlier = F.forall(F.slice(at, F.lit(1), F.col("t")), lambda m: apart.bitwiseAND(m) != 0)
+    # the first table that both agree on has the pair; without lambdas, which the optimizer tears from a join
+    earlier = F.lit(True)
+    for i, mask in enumerate(masks[:-1]):
+        earlier &= (F.col("t") <= i) | (apart.bitwiseAND(_long(mask)) != 0)
     near = (F.bit_count(apart) <= radius) & earlier
     return keyed(fps, "other").join(keyed(asked, "fp"), ["t", "k"]).where(near).select("fp", "other")
 
