@@ -165,6 +165,7 @@ def percent(sums: str) -> str:
 ORACLE: dict[str, str] = {
     "read_qa": f"WITH {QA} SELECT seq, lang, context, question, answer, answer_start::BIGINT AS answer_start FROM qa",
     "read_squad_json": f"WITH {QA} SELECT context, question, answer AS text, answer_start::BIGINT AS answer_start FROM qa",
+    "read_squad_json_whole": f"WITH {QA} SELECT context, question, answer AS text, answer_start::BIGINT AS answer_start FROM qa",
     "read_text_corpus": """
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS seq, line || chr(10) AS line FROM lines""",

@@ -47,6 +47,10 @@ def read_squad_json(spark, d):
     return tidy(qa.read_squad_json(spark, t.nested_json(spark, d), multi_line=False))
 
 
+def read_squad_json_whole(spark, d):
+    return tidy(qa.read_squad_json(spark, t.whole_json(spark, d), multi_line=True))
+
+
 def read_text_corpus(spark, d):
     lines = text_source.read_text_corpus(spark, t.text_files(spark, d))
     return tidy(lines.select("seq", F.col("text").alias("line")))
@@ -586,7 +590,7 @@ def make_batches_large(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_qa, read_squad_json, read_text_corpus, split_percent, materialize_features,
+        read_qa, read_squad_json, read_squad_json_whole, read_text_corpus, split_percent, materialize_features,
         metrics_report,
         format_trivia, filter_nonempty, filter_length_budget, filter_valid_spans, feature_view,
         wrong_answers, head_rows,

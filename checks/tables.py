@@ -165,33 +165,50 @@ def partitioned_qa(spark: SparkSession, sf_dir: str) -> str:
     return f"{path}/rows"
 
 
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``paragraphs`` of one article per document, with a question that has no answers."""
+    qas = F.struct(
+        "question",
+        F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start"))).alias("answers"),
+    )
+    per_document = qa_rows(spark, sf_dir).groupBy("doc_id").agg(
+        F.first("context").alias("context"), F.collect_list(qas).alias("qas")
+    )
+    bare = F.struct(
+        F.lit("nobody knows").alias("question"),
+        F.array().cast("array<struct<text:string,answer_start:int>>").alias("answers"),
+    )
+    paragraph = F.struct("context", F.array_append("qas", bare).alias("qas"))
+    return per_document.select("doc_id", F.array(paragraph).alias("paragraphs"))
+
+
 def nested_json(spark: SparkSession, sf_dir: str) -> str:
     """The QA corpus as nested JSON, one object per document."""
     path = stored(spark, sf_dir, "documents", "json")
 
     def write():
-        qas = F.struct(
-            "question",
-            F.array(
-                F.struct(F.col("answer").alias("text"), F.col("answer_start"))
-            ).alias("answers"),
-        )
-        per_document = qa_rows(spark, sf_dir).groupBy("doc_id").agg(
-            F.first("context").alias("context"), F.collect_list(qas).alias("qas")
-        )
-        bare = F.struct(
-            F.lit("nobody knows").alias("question"),
-            F.array().cast("array<struct<text:string,answer_start:int>>").alias("answers"),
+        objects = _articles(spark, sf_dir).select(F.array(F.struct("paragraphs")).alias("data"))
+        objects.write.mode("overwrite").json(f"{path}/files")
+        return spark.range(1)
+
+    materialize_features(spark, f"{path}/log", write)
+    return f"{path}/files"
+
+
+def whole_json(spark: SparkSession, sf_dir: str) -> str:
+    """The QA corpus as eight files, each of them one JSON object over many lines."""
+    path = stored(spark, sf_dir, "documents", "json-whole")
+
+    def write():
+        text = F.regexp_replace(F.to_json(F.struct("paragraphs")), '"(context|qas|question)":', '\n  "$1":\n    ')
+        lines = _articles(spark, sf_dir).select(
+            F.pmod("doc_id", F.lit(8)).alias("part"), F.col("doc_id").alias("o"), F.concat(F.lit("  , "), text).alias("value")
         )
-        per_document.select(
-            F.array(
-                F.struct(
-                    F.array(
-                        F.struct("context", F.array_append("qas", bare).alias("qas"))
-                    ).alias("paragraphs")
-                )
-            ).alias("data")
-        ).write.mode("overwrite").json(f"{path}/files")
+        ends = spark.range(8).select(F.col("id").alias("part"), F.explode(F.array(F.lit(-1), F.lit(2**62)).cast("array<long>")).alias("o"))
+        head = '{\n  "meta": {"data": ["}", "{"]},\n  "data": [\n  {"paragraphs": []}'
+        ends = ends.withColumn("value", F.when(F.col("o") < 0, F.lit(head)).otherwise(F.lit('],\n  "version": "1.1"\n}')))
+        whole = lines.unionByName(ends).repartition(8, "part").sortWithinPartitions("part", "o")
+        whole.select("part", "value").write.mode("overwrite").partitionBy("part").text(f"{path}/files")
         return spark.range(1)
 
     materialize_features(spark, f"{path}/log", write)

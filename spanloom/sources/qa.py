@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.nested import read_elements
 from spanloom.sources.registry import config_name
 
 # Layout of nested QA files.
-NESTED_SCHEMA = (
-    "data array<struct<paragraphs array<struct<context string, qas array<struct<"
-    "question string, answers array<struct<text string, answer_start int>>>>>>>>"
+ARTICLE = (
+    "paragraphs array<struct<context string, qas array<struct<"
+    "question string, answers array<struct<text string, answer_start int>>>>>>"
 )
+NESTED_SCHEMA = f"data array<struct<{ARTICLE}>>"
 
 
 def read_qa(
@@ -73,12 +75,14 @@ def read_squad_json(
     """``context, question, text, answer_start``, one row per answer.
 
     Questions without answers vanish. Files have one object per line; a file that is
-    one object over several lines needs ``multi_line`` and is parsed by one task.
+    one object over several lines needs ``multi_line`` and is read by byte ranges.
     """
-    nested = spark.read.schema(NESTED_SCHEMA).json(path, multiLine=multi_line)
+    if multi_line:
+        articles = read_elements(spark, path, "data", ARTICLE).select(F.col("element").alias("d"))
+    else:
+        articles = spark.read.schema(NESTED_SCHEMA).json(path).select(F.explode("data").alias("d"))
     return (
-        nested.select(F.explode("data").alias("d"))
-        .select(F.explode("d.paragraphs").alias("p"))
+        articles.select(F.explode("d.paragraphs").alias("p"))
         .select(F.col("p.context").alias("context"), F.explode("p.qas").alias("q"))
         .select("context", F.col("q.question").alias("question"), F.explode("q.answers").alias("a"))
         .select("context", "question", F.col("a.text").alias("text"), F.col("a.answer_start").alias("answer_start"))
