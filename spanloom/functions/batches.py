@@ -56,28 +56,120 @@ def with_offsets(tokens: Column, gaps: Column) -> Column:
     return place(tokens, gaps)
 
 
-def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Column:
-    """Replaces every element by its partner in two broadcast Arrow arrays (``keys``,
-    ``values``); unknown elements become ``missing``.
-
-    The hash table is built once per Python worker; a batch looks up its distinct
-    elements only.
+def text_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit number for each text without NULLs; equal texts have equal numbers."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(at)
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], sizes)
+    power = np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    # sums and products wrap around at 64 bits
+    weighed = np.append((raw.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[place], np.uint64(0))
+    out = np.where(sizes > 0, np.add.reduceat(weighed, at[:-1] - at[0]), np.uint64(0)) if len(sizes) else np.zeros(0, np.uint64)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+class KeyTable:
+    """Two arrays as a lookup table: keys, text or whole numbers without repeats, sorted by hash.
+
+    Three flat arrays that a worker reads as they come; nothing is built per worker.
     """
 
+    def __init__(self, keys: pa.Array, values: pa.Array):
+        self.text = pa.types.is_string(keys.type) or pa.types.is_large_string(keys.type)
+        marks = self._marks(keys)
+        order = np.argsort(marks, kind="stable")
+        self.marks, self.keys, self.values = marks[order], keys.take(pa.array(order)), values.take(pa.array(order))
+        same = np.flatnonzero(np.append(self.marks[1:] != self.marks[:-1], True))
+        #: keys of one hash are looked at one after the other
+        self.run = int(np.diff(np.append(-1, same)).max(initial=0))
+
+    def _marks(self, keys: pa.Array) -> np.ndarray:
+        return text_hashes(keys) if self.text else keys.to_numpy(zero_copy_only=False)
+
+    def find(self, keys: pa.Array) -> pa.Array:
+        """The values of the keys, NULL for unknown and NULL ones."""
+        known = np.zeros(len(keys), np.int64) - 1
+        valid = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False))
+        asked = keys.take(pa.array(valid))
+        marks = self._marks(asked)
+        at = np.searchsorted(self.marks, marks)
+        for step in range(self.run):
+            here = np.minimum(at + step, len(self.marks) - 1)
+            equal = self.marks[here] == marks
+            if self.text:
+                equal &= pc.equal(self.keys.take(pa.array(here)).cast(asked.type), asked).to_numpy(zero_copy_only=False)
+            known[valid[equal]] = here[equal]
+        return self.values.take(pa.array(known, mask=known < 0))
+
+
+def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Column:
+    """Replaces every element by its partner in a broadcast ``KeyTable``; unknown elements
+    become ``missing``. A batch looks up its distinct elements only."""
+
     @F.arrow_udf(T.ArrayType(result))
     def find(lists: pa.Array) -> pa.Array:
-        shared = table.value
-        if "places" not in shared:
-            shared["places"] = {k: i for i, k in enumerate(shared["keys"].to_pylist())}
-        places = shared["places"]
         coded = lists.values.dictionary_encode()
-        distinct = pa.array([places.get(k) for k in coded.dictionary.to_pylist()], pa.int64())
-        found = shared["values"].take(distinct).take(coded.indices)
+        found = table.value.find(coded.dictionary).take(coded.indices)
         return _like(lists, pc.fill_null(found, missing))
 
     return find(arrays)
 
 
+def dictionary_chunks(column: str, size: int) -> Callable:
+    """For ``mapInArrow`` over ``row`` and an array column: ``chunk, row, codes, words``.
+
+    Rows are numbered in chunks of about ``size`` elements. ``codes`` stand for the
+    elements of a row, by their place in ``words``, the distinct elements of its chunk,
+    which are on the chunk's first row only.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lists = batch.column(column)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                base = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + size, side="right")))
+                part = lists.slice(lo, hi - lo)
+                coded = part.flatten().dictionary_encode()
+                sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                mask = part.is_null() if part.null_count else None
+                codes = pa.ListArray.from_arrays(pa.array(offsets), coded.indices.cast(pa.int32()), mask=mask)
+                first = np.full(hi - lo + 1, len(coded.dictionary), np.int32)
+                first[0] = 0
+                words = pa.ListArray.from_arrays(pa.array(first), coded.dictionary, mask=pa.array(np.arange(hi - lo) > 0))
+                chunk = pa.array(np.full(hi - lo, number), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk, batch.column("row").slice(lo, hi - lo), codes, words], names=["chunk", "row", "codes", "words"])
+                number, lo = number + 1, hi
+
+    return run
+
+
+def decode_chunks(out: str, names: list[str], missing) -> Callable:
+    """For a cogroup of coded rows with their chunk's ``found`` array: the rows with ``out``."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        codes, row = (rows[c].chunk(0) for c in ("codes", "row"))
+        values = found["found"].combine_chunks().chunk(0) if isinstance(found["found"].combine_chunks(), pa.ChunkedArray) else found["found"].combine_chunks()
+        taken = pc.fill_null(values.flatten().take(codes.values), missing)
+        columns = [row.field(n) for n in names]
+        return pa.Table.from_arrays([*columns, _like(codes, taken)], names=[*names, out])
+
+    return run
+
+
 def map_lists(
     fn: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], names: list[str]
 ) -> Callable[[Column, Column], Column]:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.functions.batches import lookup
+from spanloom.functions.batches import KeyTable, decode_chunks, dictionary_chunks, lookup
 from spanloom.functions.spans import SPECIAL_TOKENS, UNK
 from spanloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 # Copies of a vocabulary row when it is too large to broadcast: a frequent token
 # is then spread over this many keys.
 SALTS = 32
+# Elements of the arrays that share a dictionary when the vocabulary is joined.
+CHUNK_TOKENS = 1 << 18
 
 
 def build_vocab(df: DataFrame, tokens: Column, size: int | None = None) -> DataFrame:
@@ -113,7 +116,7 @@ def vocab_lookup(
 
 
 def _exchange(
-    df: DataFrame, column: str, out: str, table: DataFrame, missing, key: str, max_rows: int
+    df: DataFrame, column: str, out: str, table: DataFrame, missing, max_rows: int
 ) -> DataFrame:
     """``df`` with ``out``: the elements of ``column`` replaced through a two-column table."""
     source, target = table.columns
@@ -121,36 +124,40 @@ def _exchange(
     _, small = broadcast_if_small(table, max_rows)
     if small:
         pairs = table.toArrow().combine_chunks()
-        names = zip(("keys", "values"), table.columns)
-        shared = df.sparkSession.sparkContext.broadcast(
-            {name: pairs[c].combine_chunks() for name, c in names}
-        )
+        keys, values = (pa.concat_arrays(pairs[c].chunks) if pairs[c].num_chunks else pa.array([], pairs.schema.field(c).type) for c in table.columns)
+        shared = df.sparkSession.sparkContext.broadcast(KeyTable(keys, values))
         return df.withColumn(out, lookup(F.col(column), shared, missing, result))
+
+    kept = [f for f in df.schema if f.name != out]
+    rows = df.select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row"), F.col(f"`{column}`").alias("_of"))
+    words = T.StructField("words", df.schema[column].dataType)
+    schema = T.StructType(
+        [T.StructField("chunk", T.LongType()), T.StructField("row", T.StructType(kept)), T.StructField("codes", T.ArrayType(T.IntegerType())), words]
+    )
+    coded = cut_lineage(rows.mapInArrow(dictionary_chunks("_of", CHUNK_TOKENS), schema))
+    # a frequent token stands once for each chunk, and its chunks go by several copies of its row
     copies = table.select(
         F.col(source).alias("_from"),
         F.col(target).alias("_to"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
     )
-    rows = df.select(key, F.posexplode(column).alias("_pos", "_x")).withColumn(
-        "_r", F.pmod(F.xxhash64(key, "_pos"), F.lit(SALTS)).cast("int")
+    distinct = coded.where("words is not null").select("chunk", F.posexplode("words").alias("_pos", "_x"))
+    distinct = distinct.withColumn("_r", F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).cast("int"))
+    found = (
+        distinct.join(copies, (F.col("_x") == F.col("_from")) & (F.col("_r") == F.col("_salt")), "left")
+        .groupBy(F.col("chunk").alias("of"))
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_to"))).alias("_f"))
+        .select("of", F.col("_f._to").alias("found"))
     )
-    found = rows.join(
-        copies, (F.col("_x") == F.col("_from")) & (F.col("_r") == F.col("_salt")), "left"
-    )
-    gathered = found.groupBy(F.col(key).alias("_key")).agg(
-        F.sort_array(
-            F.collect_list(F.struct("_pos", F.coalesce("_to", F.lit(missing)).alias("_to")))
-        ).alias("_found")
-    )
-    kept = df.select(*[c for c in df.columns if c != out], *([F.size(column).alias("_n")]))
+    # chunks without any element
+    empty = coded.where("size(words) = 0").select(F.col("chunk").alias("of"), F.array().cast(T.ArrayType(result)).alias("found"))
+    found = found.unionByName(empty)
+    after = T.StructType([*kept, T.StructField(out, T.ArrayType(result))])
     return (
-        kept.join(gathered, F.col(key) == F.col("_key"), "left")
-        .withColumn(
-            out,
-            F.when(F.col("_found").isNotNull(), F.col("_found._to"))
-            .when(F.col("_n") == 0, F.array().cast(T.ArrayType(result))),
-        )
-        .drop("_key", "_found", "_n")
+        coded.select("chunk", "row", "codes")
+        .groupBy("chunk")
+        .cogroup(found.groupBy("of"))
+        .applyInArrow(decode_chunks(out, [f.name for f in kept], missing), after)
     )
 
 
@@ -158,7 +165,7 @@ def tokens_to_ids(
     df: DataFrame,
     tokens: str,
     vocab: DataFrame,
-    key: str,
+    key: str | None = None,
     out: str = "ids",
     max_rows: int = BROADCAST_ROWS,
     unknown: int = SPECIAL_TOKENS.index(UNK),
@@ -166,19 +173,21 @@ def tokens_to_ids(
     """Adds (or replaces) ``out``: the ids of a token array, ``unknown`` for unknown ones.
 
     A vocabulary measured small is sent to the executors and looked up in Arrow
-    batches, without a shuffle. A larger one is joined token by token, salted,
-    and the ids are gathered again by the unique ``key``.
+    batches, without a shuffle. Beyond that rows are coded in chunks by a dictionary of
+    their own; only a chunk's distinct tokens are joined, and its rows, shuffled once,
+    meet the ids of its dictionary. Rows may repeat; NULL arrays stay NULL, and NULL
+    elements are unknown. The order of the columns is that of ``df``, ``out`` last.
     """
-    return _exchange(df, tokens, out, vocab.select("token", "token_id"), unknown, key, max_rows)
+    return _exchange(df, tokens, out, vocab.select("token", "token_id"), unknown, max_rows)
 
 
 def ids_to_tokens(
     df: DataFrame,
     ids: str,
     vocab: DataFrame,
-    key: str,
+    key: str | None = None,
     out: str = "tokens",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The way back; ids not in the vocabulary give ``<unk>``."""
-    return _exchange(df, ids, out, vocab.select("token_id", "token"), UNK, key, max_rows)
+    return _exchange(df, ids, out, vocab.select("token_id", "token"), UNK, max_rows)

@@ -27,12 +27,16 @@ def corpus_blocks(
 ) -> DataFrame:
     """``block_id, ids``: packed, wrapped in markers, as vocabulary ids.
 
-    ``tokenize`` is a column function to ``array<struct<tok,start,end>>``.
+    ``tokenize`` is a column function to ``array<struct<tok,start,end>>``. Texts become
+    ids first, in one pass, and are stored as such; numbers are what is counted, packed
+    and shuffled.
     """
     tokens = word_tokens(text) if tokenize is None else tokenize(F.col(text))["tok"]
-    blocks = pack_blocks(corpus.select(key, text), tokens, key, block_size)
-    wrapped = blocks.select("block_id", wrap_special(F.col("tokens")).alias("tokens"))
-    return tokens_to_ids(wrapped, "tokens", vocab, key="block_id").select("block_id", "ids")
+    rows = corpus.select(key, tokens.alias("tokens"))
+    ids = cut_lineage(tokens_to_ids(rows, "tokens", vocab).select(key, "ids"))
+    first, last = (F.lit(SPECIAL_TOKENS.index(t)).cast("long") for t in (BOS, SEP))
+    blocks = pack_blocks(ids, F.col("ids"), key, block_size)
+    return blocks.select("block_id", wrap_special(F.col("tokens"), first, last).alias("ids"))
 
 
 def masked_blocks(blocks: DataFrame, seed: int, vocab_size: int) -> DataFrame:

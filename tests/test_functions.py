@@ -262,3 +262,54 @@ def test_own_tokenizer(spark):
     assert (got[1].start_positions, got[1].end_positions) == (5, 6)
     first = qa_features.label_spans(df.where("seq = 1"), 32, tokenize=text.batch_tokenizer(pairs), context_first=True).first()
     assert (first.start_positions, first.end_positions) == (2, 3)
+
+
+def test_key_table():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spanloom.functions import batches
+
+    draw = random.Random(2)
+    words = sorted({"".join(draw.choice("aé中b") for _ in range(draw.randrange(9))) for _ in range(400)} | {"x" * 5000, "x" * 4999})
+    table = batches.KeyTable(pa.array(words), pa.array(range(len(words)), pa.int64()))
+    asked = [*words, None, "not there", "x" * 5001] + words[::-1]
+    want = [{w: i for i, w in enumerate(words)}.get(w) for w in asked]
+    assert table.find(pa.array(asked)).to_pylist() == want and table.find(pa.array(asked).slice(7, 9)).to_pylist() == want[7:16]
+    numbers = batches.KeyTable(pa.array([5, -3, 9], pa.int64()), pa.array(["a", "b", "c"]))
+    assert numbers.find(pa.array([9, None, 4, 5, -3, 10])).to_pylist() == ["c", None, None, "a", "b", None]
+    for kind in (pa.string(), pa.int64()):
+        nothing = batches.KeyTable(pa.array([], kind), pa.array([], pa.int64()))
+        assert nothing.find(pa.array([None, None], kind)).to_pylist() == [None, None]
+    # keys that share a hash
+    clash = batches.KeyTable(pa.array(words), pa.array(range(len(words)), pa.int64()))
+    clash._marks = lambda keys: np.array([len(k) % 3 for k in keys.to_pylist()], np.uint64)
+    order = np.argsort(clash._marks(pa.array(words)), kind="stable")
+    clash.marks, clash.keys, clash.values = clash._marks(pa.array(words))[order], pa.array(words).take(order), pa.array(order)
+    clash.run = len(words)
+    assert clash.find(pa.array(asked)).to_pylist() == want
+
+
+def test_exchange_by_distinct_tokens(spark, monkeypatch):
+    from spanloom.operators import vocab
+
+    rows = [(i, None if i % 9 == 0 else [f"w{(i * k) % 13}" if (i + k) % 11 else None for k in range(i % 7)], "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "ids long, words array<string>, tokens string").repartition(3)
+    table = spark.createDataFrame([(f"w{k}", 100 + k, 1) for k in range(10)], "token string, token_id long, n long")
+    want = sorted((i, None if w is None else [100 + int(x[1:]) if x and int(x[1:]) < 10 else 3 for x in w]) for i, w, _ in rows)
+    unknown = vocab.SPECIAL_TOKENS.index(vocab.UNK)
+    want = [(i, None if w is None else [unknown if x == 3 else x for x in w]) for i, w in want]
+    for bound, size in ((10**6, 10), (0, 10), (0, 1), (0, 10**6)):
+        monkeypatch.setattr(vocab, "CHUNK_TOKENS", size)
+        found = vocab.tokens_to_ids(df, "words", table, out="found", max_rows=bound)
+        assert found.columns == ["ids", "words", "tokens", "found"]
+        assert sorted((r.ids, r.found) for r in found.collect()) == want
+        back = vocab.ids_to_tokens(found, "found", table, out="tokens", max_rows=bound)
+        assert sorted((r.ids, r.tokens) for r in back.collect()) == [
+            (i, None if w is None else [f"w{x - 100}" if x != unknown else vocab.UNK for x in w]) for i, w in want
+        ]
+    plan = vocab.tokens_to_ids(df, "words", table, max_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode(words") == 1 and "posexplode(tokens" not in plan
+    assert vocab.tokens_to_ids(df.where("false"), "words", table, max_rows=0).collect() == []
