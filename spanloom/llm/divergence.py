@@ -30,8 +30,10 @@ PRIOR = 5
 SLICE = 1 << 21
 #: Terms longer than this many 8-byte steps are compared as a whole from there on.
 DEEP = 8
+#: Bytes of text whose pointers are held at a time.
+CHUNK_BYTES = 2 << 20
 #: Rows that a worker gathers before it merges them, and sends them if merging frees too little.
-GATHER = 1_500_000
+GATHER = 400_000
 #: Sources of a language whose differences a worker sums at a time, and the cells it holds.
 TILE = 512
 CELLS = 4 << 20
@@ -140,7 +142,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         yield from out.to_batches(max_chunksize=65_536)
 
-    for batch, texts in text_chunks(batches):
+    for batch, texts in text_chunks(batches, CHUNK_BYTES):
         pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
         group = np.array([numbers.setdefault(p, len(numbers)) for p in pairs], np.int32)
         held.append(term_runs(texts, group))
@@ -160,10 +162,12 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str, min_document
     """``lang``, ``source``, ``term``, ``n``: the terms in at least so many documents of their language."""
     rows = docs.select(_text(lang).alias("lang"), _text(source).alias("source"), _text(text).alias("text"))
     sums = rows.mapInArrow(_count, "lang string, source string, term string, n long, df long")
-    # one shuffle serves both sums: a term's rows are at most (tasks x sources)
+    # one shuffle serves both sums: a term's rows are at most (tasks x sources). Both read all its
+    # columns, for which the last two conditions stand (they always hold): else they are two shuffles
     dealt = sums.repartition("lang", "term")
-    kept = dealt.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_documents)
-    counts = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    kept = dealt.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.count("source").alias("rows"))
+    kept = kept.where((F.col("df") >= min_documents) & (F.col("n") > 0) & (F.col("rows") > 0))
+    counts = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).where("df > 0")
     return counts.join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
 
 
