@@ -6,8 +6,9 @@ input is read several times, so a derived one should be stored. Rows are cut int
 summary with one row per bucket is ever ordered as a whole. No window runs over
 the table without a partition key.
 
-How many rows a bucket holds follows from the data (quantiles of the key), so
-gaps or clusters in the key and a dominant language do not unbalance it.
+How many rows a bucket holds follows from the data (quantiles of the key, long rows
+weighing more), so gaps or clusters in the key, a dominant language or a few huge texts
+do not unbalance it.
 """
 
 from __future__ import annotations
@@ -15,24 +16,28 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.session import broadcast_if_small, cut_lineage
+from spanloom.functions.binding import let
+from spanloom.session import broadcast_if_small, cut_lineage, row_bytes
 
 # A bucket is the unit of work: small enough to sort in memory, and there are
 # several per shuffle partition so that partitions come out even.
 ROWS_PER_BUCKET = 8_192
 MIN_ROWS_PER_BUCKET = 128
 BUCKETS_PER_PARTITION = 4
-# The bucket summary and the sample of keys must fit in one task and on the
-# driver; beyond this many buckets a bucket takes more rows instead.
+# The bucket summary must fit in one task and its bounds on the driver; beyond this
+# many buckets a bucket takes more rows instead.
 MAX_BUCKETS = 262_144
-SAMPLES_PER_BUCKET = 16
+# Rows weigh by their bytes too, so that a bucket of long texts holds fewer of them.
+BYTES_PER_BUCKET = 64 << 20
+# Size of the quantile sketch: its rank error is about 1.5 / SKETCH of the table.
+SKETCH = 32_768
+# Text keys are told apart by at most so many times eight bytes.
+MAX_PREFIX = 64
 
 BUCKET = "_bucket"
 HOME = "_home"
@@ -41,31 +46,89 @@ HOME = "_home"
 def bucket_bounds(
     df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int = MAX_BUCKETS
 ) -> list:
-    """Inner bounds of key buckets with at most about ``rows_per_bucket`` rows each.
-
-    Reads the key column only. At most ``SAMPLES_PER_BUCKET * max_buckets``
-    keys reach the driver, whatever the table's size. The sample decides how
-    even the buckets are, never the result.
+    """Inner bounds of key buckets with at most about ``rows_per_bucket`` rows and
+    ``BYTES_PER_BUCKET`` bytes each.
+
+    One aggregate counts the rows, refuses missing keys, and sums the keys up in a
+    mergeable quantile sketch in which a row counts once and again for every so many bytes
+    of its texts and arrays. The bounds are read off the sketch without a job. The
+    sketch decides how even the buckets are, never the result. Numbers beyond 2^53 are
+    told apart when the key is a whole number. Text is cut at prefixes of eight bytes;
+    where one of them holds a bucket's worth, another pass looks at the next eight.
     """
     if rows_per_bucket <= 0:
         raise ValueError("rows_per_bucket must be positive")
-    keys = df.select((F.col(key) if _is_text(df, key) else F.col(key).cast("double")).alias("k"))
-    rows = keys.count()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = min(BUCKETS_PER_PARTITION * partitions, rows // MIN_ROWS_PER_BUCKET)
-    buckets = min(max_buckets, max(spread, math.ceil(rows / rows_per_bucket)))
-    if buckets <= 1:
-        return []
-    wanted = buckets * SAMPLES_PER_BUCKET
-    if wanted < rows:
-        keys = keys.sample(fraction=wanted / rows, seed=11)
-    found = keys.where("k is not null").toArrow().column("k")
-    if len(found) == 0:
-        return []
-    # text is ordered by its bytes, as Spark does
-    sample = np.sort(np.array(found.cast(pa.binary()).to_pylist(), dtype=object)) if _is_text(df, key) else np.sort(found.to_numpy())
-    at = (np.arange(1, buckets) * len(sample)) // buckets
-    return sorted(set(sample[at].tolist()))
+    text, kind = _is_text(df, key), df.schema[key].dataType
+    sketch = "bigint" if text or isinstance(kind, T.IntegralType) else "double"
+    unit = max(1, BYTES_PER_BUCKET // rows_per_bucket)
+    sized = [f for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    heavy = F.lit(0).cast("long") if not sized else (row_bytes(df.select(*[f"`{f.name}`" for f in sized])) / unit).cast("long")
+    value = F.hex(F.col(key).cast("binary")) if text else F.col(key)
+    rows = df.select(value.alias("_k"), (1 + heavy).cast("int").alias("_w"))
+    code = _code(F.col("_k"), 0) if text else F.col("_k").cast(sketch)
+
+    def bounds_of(coded: DataFrame, least: int, by: list[str]) -> list[tuple]:
+        """Per group: rows, missing keys and sketch, and the codes at the bounds."""
+        weighed = coded.select(*by, "_k", F.posexplode(F.array_repeat("_c", F.col("_w"))).alias("_at", "_c"))
+        found = weighed.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("weight"),
+            F.count_if(F.col("_at") == 0).alias("rows"),
+            F.count_if(F.col("_c").isNull()).alias("missing"),
+            getattr(F, f"kll_sketch_agg_{sketch}")("_c", F.lit(SKETCH)).alias("s"),
+        )
+        out = []
+        for r in found.collect():
+            buckets = min(max_buckets, max(min(least, r.rows // MIN_ROWS_PER_BUCKET), math.ceil(r.weight / rows_per_bucket)))
+            out.append((r, _quantiles(df.sparkSession, sketch, r.s, buckets) if buckets > 1 and not r.missing else []))
+        return out
+
+    [(top, found)] = bounds_of(rows.withColumn("_c", code), BUCKETS_PER_PARTITION * partitions, [])
+    if top.missing:
+        raise ValueError(f"the order key {key} has missing values")
+    if not text:
+        return sorted(set(found))
+
+    bounds, crowded = _prefixes("", found)
+    depth = 16
+    while crowded and depth < 16 * MAX_PREFIX:
+        inside = rows.withColumn("_p", F.substring("_k", 1, depth)).where(F.col("_p").isin(sorted(crowded)) & (F.length("_k") > depth))
+        deeper = bounds_of(inside.withColumn("_c", _code(F.col("_k"), depth)), 1, ["_p"])
+        crowded = set()
+        for r, found in deeper:
+            more, full = _prefixes(r["_p"], found)
+            bounds |= more
+            crowded |= full
+        depth += 16
+    return sorted(bounds)
+
+
+def _quantiles(spark: SparkSession, kind: str, sketch: bytearray, buckets: int) -> list:
+    """The inner bounds of so many buckets; an expression over constants, which runs no job."""
+    ranks = ",".join(repr(i / buckets) for i in range(1, buckets))
+    return spark.sql(
+        f"SELECT kll_sketch_get_quantile_{kind}(s, cast(split('{ranks}', ',') AS array<double>)) AS q"
+        f" FROM VALUES (X'{bytes(sketch).hex()}') AS t(s)"
+    ).first().q
+
+
+def _code(digits: Column, at: int) -> Column:
+    """Eight bytes from hexadecimal digits as a bigint that orders like them."""
+    part = F.rpad(F.substring(digits, at + 1, 16), 16, "0")
+    return (F.conv(part, 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+
+
+def _prefixes(before: str, codes: Sequence[int]) -> tuple[set[str], set[str]]:
+    """The bounds as hexadecimal digits, and those prefixes that fill a bucket alone."""
+    digits = [before + f"{c + 2**63:016X}" for c in codes]
+    crowded = {a for a, b in zip(digits, digits[1:]) if a == b}
+
+    def trimmed(d: str) -> str:
+        while d.endswith("00"):
+            d = d[:-2]
+        return d
+
+    return {trimmed(d) for d in digits}, crowded
 
 
 def _is_text(df: DataFrame, key: str) -> bool:
@@ -75,16 +138,25 @@ def _is_text(df: DataFrame, key: str) -> bool:
 def with_bucket(df: DataFrame, key: str, bounds: Sequence) -> DataFrame:
     """Adds the bucket number of ``key``; monotone in the key."""
     if _is_text(df, key):
-        cuts = df.sparkSession.sparkContext.broadcast(list(bounds))
-
-        @F.arrow_udf(T.IntegerType())
-        def place(values: pa.Array) -> pa.Array:
-            edges = np.array(cuts.value, dtype=object)
-            texts = np.array(values.cast(pa.binary()).fill_null(b"").to_pylist(), dtype=object)
-            return pa.array(np.searchsorted(edges, texts, side="right"), pa.int32())
-
-        return df.withColumn(BUCKET, place(key))
-    splits = [-math.inf, *(bounds or [0.0]), math.inf]
+        # the order of hexadecimal digits is that of bytes; binary search in a constant array
+        cuts = F.split(F.lit(",".join(bounds)), ",")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+        def place(digits: Column) -> Column:
+            return F.aggregate(
+                steps,
+                F.lit(0),
+                lambda at, step: F.when(
+                    (at + step <= len(bounds)) & (F.get(cuts, at + step - 1) <= digits), at + step
+                ).otherwise(at),
+            )
+
+        if not bounds:
+            return df.withColumn(BUCKET, F.lit(0))
+        digits = F.coalesce(F.hex(F.col(key).cast("binary")), F.lit(""))
+        return df.withColumn(BUCKET, let(digits, place))
+    # whole numbers that doubles cannot tell apart share a bound
+    splits = [-math.inf, *sorted({float(b) for b in bounds} or {0.0}), math.inf]
     cut = Bucketizer(splits=splits, inputCol=key, outputCol=BUCKET).transform(df)
     return cut.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
@@ -313,7 +385,7 @@ def split_percent(
     """
     if not 0 <= percent <= 100:
         raise ValueError("percent must be between 0 and 100")
-    keys = with_bucket(df.select(key), key, bucket_bounds(df, key, rows_per_bucket))
+    keys = with_bucket(df.select(key), key, bucket_bounds(df.select(key), key, rows_per_bucket))
     sizes = keys.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     w = over_buckets([])
     all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -61,7 +61,8 @@ def _bytes_of(value: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("long")
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of these columns takes."""
     return sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16).cast("long"))
 
 
@@ -73,6 +74,6 @@ def broadcast_if_small(
     The measurement is one aggregate over ``df``, which should be cheap to
     evaluate (a stored or checkpointed table).
     """
-    rows, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
     small = rows <= max_rows and (size or 0) <= max_bytes
     return (F.broadcast(df) if small else df), small

@@ -163,3 +163,53 @@ def test_summaries_have_no_arrays(spark):
     assert not any("array" in kind for _, kind in summary.dtypes)
     got = batches.make_batches(df, 300, ["seq"], rows_per_bucket=10).collect()
     assert sorted((x.batch_id, x.n_rows) for x in got) == [(0, 300), (1, 200)]
+
+
+def bucket_sizes(df, key, bounds, of="count(*)"):
+    return [r[0] for r in order.with_bucket(df, key, bounds).groupBy("_bucket").agg(F.expr(of).alias("x")).select("x").collect()]
+
+
+def test_huge_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(order, "BYTES_PER_BUCKET", 100_000)
+    df = spark.range(2000).select(F.col("id").alias("seq"), F.expr("repeat('x', if(id between 900 and 959, 40000, 10))").alias("context"))
+    bounds = order.bucket_bounds(df, "seq", 500)
+    assert max(bucket_sizes(df, "seq", bounds, "sum(length(context))")) < 4 * 100_000
+    assert max(bucket_sizes(df, "seq", bounds)) < 2 * 500
+    got = order.row_index(df, "seq", rows_per_bucket=500).select("seq", "idx").collect()
+    assert all(r.seq == r.idx for r in got) and len(got) == 2000
+    assert {r.id for r in order.row_index(df.selectExpr("seq as id"), "id").collect()} == set(range(2000))
+
+
+def jobs_of(spark, run):
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_bounds_take_one_aggregate(spark):
+    df = spark.range(5000).select((F.col("id") * 3).alias("seq"), F.lit("t").alias("context"))
+    one = jobs_of(spark, lambda: df.agg(F.sum("seq"), F.count_if(F.col("seq") > 4)).collect())
+    assert jobs_of(spark, lambda: order.bucket_bounds(df, "seq", 100)) == one
+    bounds = order.bucket_bounds(df, "seq", 100)
+    assert 45 <= len(bounds) <= 55 and max(bucket_sizes(df, "seq", bounds)) < 200
+
+
+def test_whole_numbers_beyond_doubles(spark):
+    keys = [2**60 + i for i in range(300)] + [-(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "seq long").repartition(3)
+    got = {r.seq: r.idx for r in order.row_index(df, "seq", rows_per_bucket=20).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_text_keys_with_long_common_beginnings(spark):
+    r = random.Random(9)
+    ids = [f"https://www.example.org/articles/{r.choice('ab') * 30}/{i:05d}" for i in range(900)] + ["", "h", "https://", "zz", "é", "a\x00", "a"]
+    df = spark.createDataFrame([(x,) for x in ids], "id string").repartition(4)
+    bounds = order.bucket_bounds(df, "id", 50)
+    assert max(bucket_sizes(df, "id", bounds)) < 200, "prefixes are told apart"
+    indexed = order.row_index(df, "id", rows_per_bucket=50)
+    assert {x.id: x.idx for x in indexed.collect()} == {x: i for i, x in enumerate(sorted(ids, key=str.encode))}
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
