@@ -1,12 +1,12 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
-A block starts from nothing and carries a checksum, so it can be read alone. Many
-blocks are coded in step, one lane each, as numpy rows.
+A block starts from nothing and carries a checksum, so it can be read alone with its
+container's head. Many blocks are coded in step, one lane each, as numpy rows.
 
 For each id there are three predictions: the id last seen behind the two ids before
-it (order 2), behind the one before it (order 1), and in the slot that a hash of the
-id itself names (order 0). What is coded is which of them is right (class 0, 1, 2),
-then for class 2 the slot, or for class 3 the id in full. Class frequencies are
+it (order 2), behind the one before it (order 1), and the frequencies of all ids of the
+container (order 0), which its head holds. What is coded is whether the first or the second
+is right (class 0, 1), else (class 3) the id by its frequency. Class frequencies are
 mixed from two adaptive models, one by the confidence of the two context
 predictions and one by the last two classes; each lane shifts weight to the model
 that came nearer. All arithmetic is on integers, so every machine decodes alike.
@@ -20,8 +20,9 @@ import numpy as np
 
 BLOCK = 1024
 LANES = 4096
-SLOTS2, SLOTS1, SLOTS0 = 1024, 1024, 512
-SLOT_BITS = 9
+SLOTS2, SLOTS1 = 1024, 1024
+#: Frequencies of the ids of a container add up to two to this power; every id that occurs has one.
+FREQUENCY = 18
 #: Class frequencies add up to this power of two; the models' to half of it.
 SCALE = 12
 _HALF = 1 << (SCALE - 1)
@@ -30,7 +31,8 @@ _LOW = np.uint64(1 << 32)
 _WORD, _SHIFT, _SCALE = np.uint64(48), np.uint64(16), np.uint64(SCALE)
 #: Upper edges of the four classes once a class is certain, packed into 64 bits.
 _CERTAIN = np.array([[_HALF * (j >= k) for j in range(4)] for k in range(4)], np.int16).view(np.int64).ravel()
-_EVEN = np.array([_HALF * (j + 1) // 4 for j in range(4)], np.int16).view(np.int64)[0]
+# where a block begins: an eighth for each context, class 2 is not in use
+_EVEN = np.array([_HALF // 8, _HALF // 4, _HALF // 4, _HALF], np.int16).view(np.int64)[0]
 #: Keeps every class possible.
 _FLOOR = np.array([1, 2, 3, 0], np.int16)
 #: Steps between two changes of the models' weights.
@@ -48,9 +50,8 @@ class _Lanes:
     def __init__(self, n: int):
         self.last1, self.last2 = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.by2, self.by1 = np.full(n * SLOTS2, -4, np.int32), np.full(n * SLOTS1, -4, np.int32)
-        self.by0 = np.full(n * SLOTS0, -1, np.int32)
         lane = np.arange(n, dtype=np.int32)
-        self.base2, self.base1, self.base0 = lane * SLOTS2, lane * SLOTS1, lane * SLOTS0
+        self.base2, self.base1 = lane * SLOTS2, lane * SLOTS1
         self.base_model, self.base_edge = lane * 16, lane * 5
         self.recent = np.zeros(n, np.int32)
         self.by_sure, self.by_past = np.full(n * 16, _EVEN), np.full(n * 16, _EVEN)
@@ -86,9 +87,7 @@ class _Lanes:
         return low.astype(np.uint64), (flat[at + 1] - low).astype(np.uint64)
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
-        self.at0 = self.base0[: len(ids)] + slot0(ids)
-        zero = (self.by0[self.at0] == ids).astype(np.int32)
-        return np.where(self.guess2 == ids, 0, np.where(self.guess1 == ids, 1, 3 - zero))
+        return np.where(self.guess2 == ids, 0, np.where(self.guess1 == ids, 1, 3))
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, step: int) -> None:
         m = len(ids)
@@ -111,7 +110,6 @@ class _Lanes:
         for table, at, entry in ((self.by2, self.at2, self.entry2), (self.by1, self.at1, self.entry1)):
             grown = np.minimum(entry + 1, entry | 3)
             table[at] = np.where(grown >> 2 == ids, grown, fresh)
-        self.by0[self.at0] = ids
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = ids
         recent = self.recent[:m]
@@ -120,8 +118,42 @@ class _Lanes:
         recent += kind
 
 
-def slot0(ids: np.ndarray) -> np.ndarray:
-    return (ids ^ (ids >> 9)) & (SLOTS0 - 1)
+class Frequencies:
+    """Order 0: how often each id occurs in a container, scaled to whole numbers of one sum."""
+
+    def __init__(self, shares: np.ndarray):
+        self.shares = shares.astype(np.int64)
+        self.low = (np.cumsum(self.shares) - self.shares).astype(np.uint64)
+        self.width = self.shares.astype(np.uint64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, bits: int) -> Frequencies:
+        counts = np.bincount(ids, minlength=1 << bits).astype(np.int64)
+        total, whole = max(int(counts.sum()), 1), 1 << FREQUENCY
+        seen = int((counts > 0).sum())
+        if seen > whole:
+            raise ValueError(f"more than {whole} distinct ids in a container")
+        # each id that occurs has one, the rest is shared out in proportion; what is over goes to the most frequent
+        shares = np.where(counts > 0, 1 + counts * (whole - seen) // total, 0)
+        shares[int(counts.argmax())] += whole - int(shares.sum())
+        return cls(shares)
+
+    def ids(self) -> np.ndarray:
+        """The id of each number below the sum."""
+        return np.repeat(np.arange(len(self.shares), dtype=np.int32), self.shares)
+
+    def stored(self) -> bytes:
+        return zlib.compress(self.shares.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def read(cls, data: bytes, bits: int) -> Frequencies:
+        try:
+            shares = np.frombuffer(zlib.decompress(data), "<u4")
+        except zlib.error as e:
+            raise ValueError("the frequencies of a container are damaged") from e
+        if len(shares) != 1 << bits or int(shares.sum()) != 1 << FREQUENCY:
+            raise ValueError("the frequencies of a container are damaged")
+        return cls(shares)
 
 
 def _running(lengths: np.ndarray, step: int) -> int:
@@ -136,17 +168,19 @@ def _tighten(low: np.ndarray, span: np.ndarray, need: np.ndarray) -> None:
         span[open_] = (~low[open_] + np.uint64(1)) & (_LOW - np.uint64(1))
 
 
-def encode_lanes(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.ndarray]:
+def encode_lanes(ids: np.ndarray, lengths: np.ndarray, frequencies: Frequencies) -> list[np.ndarray]:
     """Code words of each lane; ``ids`` is (lane, position), lanes sorted by falling length."""
     n, steps = ids.shape
     state = _Lanes(n)
     columns = np.ascontiguousarray(ids.T, np.int32)
     low, span = np.zeros(n, np.uint64), np.full(n, np.iinfo(np.uint64).max)
-    # an id takes at most SCALE + bits bits, so two words, and loses one when tightened
+    # an id takes at most SCALE + FREQUENCY bits, so two words, and loses one when tightened
     wide = 3 * steps + 8
     out, at = np.zeros(n * wide, np.uint16), np.arange(n) * wide
     begin = at.copy()
-    widths = np.array([0, 0, SLOT_BITS, bits], np.uint64)
+    lows, many = frequencies.low[columns], frequencies.width[columns]
+    shift_of = np.array([0, 0, 0, FREQUENCY], np.uint64)
+    one = np.uint64(1)
     for t in range(steps):
         m = _running(lengths, t)
         now = columns[t, :m]
@@ -157,9 +191,10 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.nda
         r = sp >> _SCALE
         lo += r * edge
         r *= width
-        np.right_shift(r, widths[kind], out=sp)
-        detail = np.where(kind == 3, now, np.where(kind == 2, slot0(now), 0))
-        lo += sp * detail.astype(np.uint64)
+        r >>= shift_of[kind]
+        coded = kind == 3
+        lo += r * np.where(coded, lows[t, :m], np.uint64(0))
+        np.multiply(r, np.where(coded, many[t, :m], one), out=sp)
         state.learn(now, kind, t)
         need = sp < _LOW
         while need.any():
@@ -177,7 +212,7 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.nda
     return [out[a:b] for a, b in zip(begin.tolist(), at.tolist())]
 
 
-def decode_lanes(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np.ndarray:
+def decode_lanes(words: list[np.ndarray], lengths: np.ndarray, frequencies: Frequencies) -> np.ndarray:
     """The ids (lane, position) of code words; lanes sorted by falling length."""
     n, steps = len(lengths), int(lengths.max(initial=0))
     state = _Lanes(n)
@@ -193,9 +228,9 @@ def decode_lanes(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np.
         code = (code << _SHIFT) | source[at]
         at += 1
     columns = np.zeros((steps, n), np.int32)
-    widths = np.array([0, 0, SLOT_BITS, bits], np.uint64)
-    most = (np.uint64(1) << widths) - np.uint64(1)
-    last = np.uint64((1 << SCALE) - 1)
+    shift_of = np.array([0, 0, 0, FREQUENCY], np.uint64)
+    id_at = frequencies.ids()
+    last, most, one = np.uint64((1 << SCALE) - 1), np.uint64((1 << FREQUENCY) - 1), np.uint64(1)
     for t in range(steps):
         m = _running(lengths, t)
         state.predict(m)
@@ -209,16 +244,16 @@ def decode_lanes(words: list[np.ndarray], lengths: np.ndarray, bits: int) -> np.
         edge, width = state.around(kind)
         lo += r * edge
         r *= width
-        np.right_shift(r, widths[kind], out=sp)
-        found = (co - lo) // np.maximum(sp, np.uint64(1))
-        np.minimum(found, most[kind], out=found)  # nothing for the classes 0 and 1
-        lo += sp * found
-        found = found.astype(np.int32)
-        slot = state.by0[state.base0[:m] + (found & (SLOTS0 - 1))]
+        r >>= shift_of[kind]
+        coded = kind == 3
+        # for the classes 0 and 1 the place means nothing
+        place = np.minimum((co - lo) // np.maximum(r, one), most)
+        found = id_at[place]
+        lo += r * np.where(coded, frequencies.low[found], np.uint64(0))
+        np.multiply(r, np.where(coded, frequencies.width[found], one), out=sp)
         guessed = np.where(kind == 0, state.guess2, state.guess1)
-        now = np.where(kind < 2, guessed, np.where(kind == 2, slot, found))
+        now = np.where(coded, found, guessed)
         columns[t, :m] = now
-        state.at0 = state.base0[:m] + slot0(now)
         state.learn(now, kind, t)
         need = sp < _LOW
         while need.any():
@@ -238,17 +273,21 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-# Container: magic, version, bits of an id, ids, block size; then per block its code
-# words and checksum; then the code words. All numbers little-endian, words of 16 bits.
+# Container: magic, version, bits of an id, ids, block size, bytes of the frequencies; the
+# frequencies of all ids below 2^bits as 32-bit numbers, compressed by zlib; per block its
+# code words and the checksum of its ids; the code words. All numbers little-endian, words of 16 bits.
 MAGIC = b"SLID"
-_HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("bits", "<u2"), ("ids", "<u8"), ("block", "<u4")])
+VERSION = 2
+_HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("bits", "<u2"), ("ids", "<u8"), ("block", "<u4"), ("frequencies", "<u4")])
 
 
 def pack(ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
     """A container of the ids in independently coded blocks."""
     n = -(-len(ids) // block)
     head = np.zeros(1, _HEAD)
-    head[0] = (MAGIC, 1, bits, len(ids), block)
+    frequencies = Frequencies.of(np.asarray(ids, np.int64), bits)
+    stored = frequencies.stored()
+    head[0] = (MAGIC, VERSION, bits, len(ids), block, len(stored))
     index = np.zeros((n, 2), "<u4")
     parts: list[np.ndarray] = []
     for start in range(0, n, LANES):
@@ -258,23 +297,25 @@ def pack(ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
         lengths[-1] = len(some) - (lanes - 1) * block
         grid = np.zeros(lanes * block, np.int32)
         grid[: len(some)] = some
-        words = encode_lanes(grid.reshape(lanes, block), lengths, bits)
+        words = encode_lanes(grid.reshape(lanes, block), lengths, frequencies)
         for k, w in enumerate(words):
             index[start + k] = len(w), checksum(some[k * block : (k + 1) * block])
         parts += words
     payload = np.concatenate(parts).astype("<u2").tobytes() if parts else b""
-    return head.tobytes() + index.tobytes() + payload
+    return head.tobytes() + stored + index.tobytes() + payload
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The ids of a container; a damaged block raises ValueError."""
     head = np.frombuffer(data, _HEAD, 1)[0]
-    if head["magic"] != MAGIC or head["version"] != 1:
+    if head["magic"] != MAGIC or head["version"] != VERSION:
         raise ValueError("not a container of token ids")
+    at = _HEAD.itemsize + int(head["frequencies"])
     total, block, bits = int(head["ids"]), int(head["block"]), int(head["bits"])
     n = -(-total // block)
-    index = np.frombuffer(data, "<u4", 2 * n, _HEAD.itemsize).reshape(n, 2)
-    payload = np.frombuffer(data, "<u2", offset=_HEAD.itemsize + 8 * n)
+    frequencies = Frequencies.read(bytes(memoryview(data)[_HEAD.itemsize : at]), bits)
+    index = np.frombuffer(data, "<u4", 2 * n, at).reshape(n, 2)
+    payload = np.frombuffer(data, "<u2", offset=at + 8 * n)
     ends = np.concatenate([[0], np.cumsum(index[:, 0], dtype=np.int64)])
     if ends[-1] != len(payload):
         raise ValueError("a container of token ids is cut off")
@@ -284,7 +325,7 @@ def unpack(data: bytes) -> np.ndarray:
         lengths = np.full(stop - start, block)
         if stop == n:
             lengths[-1] = total - (n - 1) * block
-        grid = decode_lanes([payload[ends[k] : ends[k + 1]] for k in range(start, stop)], lengths, bits)
+        grid = decode_lanes([payload[ends[k] : ends[k + 1]] for k in range(start, stop)], lengths, frequencies)
         for k in range(start, stop):
             ids = grid[k - start, : lengths[k - start]]
             if checksum(ids) != index[k, 1]:

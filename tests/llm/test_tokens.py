@@ -191,3 +191,20 @@ def test_queries_match_brute_force(spark, sf):
         want = np.array(ids[r.doc_id] + [0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
         start += len(want)
+
+
+def test_coder_beats_a_table_of_frequencies():
+    """Phrases that come again: below the entropy of order 0."""
+    rng = np.random.default_rng(4)
+    phrases = rng.integers(0, 40_000, (300, 6))
+    ids = phrases[rng.zipf(1.3, 50_000) % 300].ravel()
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    data = id_coder.pack(ids, 16)
+    assert (id_coder.unpack(data) == ids).all()
+    assert 8 * len(data) / len(ids) < 0.8 * -(share * np.log2(share)).sum()
+    head = id_coder._HEAD.itemsize
+    broken = bytearray(data)
+    broken[head + 5] ^= 0xFF
+    with pytest.raises(ValueError):
+        id_coder.unpack(bytes(broken))
