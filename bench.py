@@ -4,6 +4,10 @@ BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS the
 local cores, BENCH_QUERIES a comma-separated choice of queries. Every query runs
 to completion over its whole result (written to the ``noop`` sink), after a run on
 the smallest tables beside them (BENCH_WARM_DIR, empty for none) that is not timed.
+
+The given tables are files of one row group, which one core reads. So the tables that
+the queries use are first written in many files, in a folder that goes with the run; that is
+not timed. BENCH_TIMES (default 1) writes so many copies of the rows, with ids of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -28,6 +33,26 @@ HEADLINE = (
 ).split()
 
 
+#: The tables that the queries read, and the ids that tell copies of their rows apart.
+TABLES = {"documents": ["doc_id"], "labels": ["doc_id"], "conversations": ["conv_id"], "embeddings": ["vec_id"]}
+
+
+def spread(spark, sf_dir: str, folder: str, times: int, files: int) -> str:
+    """The tables in many files, and so many copies of their rows."""
+    from pyspark.sql import functions as F
+
+    target = f"{folder}/{Path(sf_dir).name}"
+    for name, ids in TABLES.items():
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if times > 1:
+            top = rows.agg(*[F.max(c).alias(c) for c in ids]).first()
+            rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+            rows = rows.withColumns({c: F.col(c) + F.col("_copy") * (top[c] + 1) for c in ids}).drop("_copy")
+        # neighbours stay together, as in files that are written in turn
+        rows.repartitionByRange(files, *ids).sortWithinPartitions(*ids).write.parquet(f"{target}/{name}.parquet")
+    return target
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -46,6 +71,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     warm = os.environ.get("BENCH_WARM_DIR", str(Path(sf_dir).parent / "sf0.001"))
+    scratch = tempfile.TemporaryDirectory(prefix="spanloom-bench-")
+    spark.conf.set("spark.checkpoint.dir", f"{scratch.name}/shared")
+    name_of = Path(sf_dir).name.removeprefix("sf")
+    sf_dir = spread(spark, sf_dir, scratch.name, int(os.environ.get("BENCH_TIMES", "1")), 4 * int(cpus if cpus.isdigit() else 8))
     times = {}
     for name in names:
         if warm and Path(warm).is_dir():
@@ -61,7 +90,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": Path(sf_dir).name.removeprefix("sf"),
+                "sf": name_of,
             }
         )
     )

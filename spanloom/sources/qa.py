@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -49,13 +50,18 @@ def read_qa_configs(
     split: str = "validation",
     fmt: str = "parquet",
 ) -> DataFrame:
-    """As ``read_qa`` for one folder per language, ``root/<config name>/<split>``."""
-    return union_languages(
-        {
-            lang: spark.read.format(fmt).load(f"{root}/{config_name(base, lang)}/{split}")
-            for lang in langs
-        }
-    )
+    """As ``read_qa`` for one folder per language, ``root/<config name>/<split>``.
+
+    All folders are one scan; a row's language follows from the path of its file.
+    """
+    folders = {config_name(base, lang): lang for lang in langs}
+    if not folders:
+        raise ValueError("langs must not be empty")
+    table = spark.read.format(fmt).load([f"{root.rstrip('/')}/{name}/{split}" for name in folders])
+    # the folder above the split; a path is percent-encoded where its names need it
+    name = F.url_decode(F.element_at(F.split(F.regexp_extract(F.col("_metadata.file_path"), f"^(.*)/{re.escape(split)}/", 1), "/"), -1))
+    known = F.create_map(*[F.lit(x) for pair in folders.items() for x in pair])
+    return table.withColumn("lang", known[name])
 
 
 def write_qa(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -46,25 +47,28 @@ def materialize_features(
 ) -> DataFrame:
     """Reads the features at ``path``, or makes and writes them first.
 
-    A marker written after the data tells a finished write from one that was
-    cut short.
+    Every write goes to a folder of its own below ``path``; a pointer to it is added last.
+    A reader follows the newest pointer, so it never sees a write that is under way or was
+    cut short, and one that began before an overwrite goes on with the rows it began with.
+    Of writers at the same time the same one wins for all readers. Earlier versions stay
+    until the folder is cleaned.
     """
-    data, marker = f"{path}/data", f"{path}/done"
+    pointers, schema = f"{path}/pointers", "n long, version string"
 
-    def stored() -> DataFrame | None:
+    def newest():
         try:
-            if spark.read.schema("done long").parquet(marker).isEmpty():
-                return None
-            return spark.read.parquet(data)
-        except AnalysisException:
+            return spark.read.schema(schema).parquet(pointers).orderBy(F.desc("n"), F.desc("version")).first()
+        except AnalysisException:  # nothing written yet
             return None
 
-    found = None if overwrite else stored()
-    if found is None:
-        make().write.mode("overwrite").parquet(data)
-        spark.range(1).toDF("done").coalesce(1).write.mode("overwrite").parquet(marker)
-        found = spark.read.parquet(data)
-    return found
+    found = newest()
+    if found is None or overwrite:
+        version = uuid.uuid4().hex
+        make().write.parquet(f"{path}/versions/{version}")
+        pointer = spark.createDataFrame([(found.n + 1 if found else 0, version)], schema)
+        pointer.coalesce(1).write.mode("append").parquet(pointers)
+        found = newest()
+    return spark.read.parquet(f"{path}/versions/{found.version}")
 
 
 def metrics_report(metrics: DataFrame) -> DataFrame:

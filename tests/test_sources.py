@@ -51,6 +51,8 @@ def test_config_folders_and_labels(spark, tmp_path):
         )
     got = qa.read_qa_configs(spark, str(tmp_path), "mlqa", ["de", "en"]).collect()
     assert sorted(map(tuple, got)) == [("DE", "de"), ("EN", "en")]
+    plan = qa.read_qa_configs(spark, str(tmp_path), "mlqa", ["de", "en"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
     assert (tmp_path / "mlqa.de.de").is_dir() and registry.config_name("xquad", "ar") == "xquad.ar"
     dim = registry.languages(spark, "mlqa")
     assert dim.count() == 7
@@ -102,6 +104,28 @@ def test_features_are_made_once(spark, tmp_path):
     assert store.materialize_features(spark, half, make(2)).count() == 2
 
 
+def test_a_reader_during_an_overwrite(spark, tmp_path):
+    path = f"{tmp_path}/features"
+    old = store.materialize_features(spark, path, lambda: spark.range(30).repartition(3))
+    rows = old.toLocalIterator()
+    first = next(rows).id
+
+    def fails():
+        def bad(batches):
+            for k, b in enumerate(batches):
+                yield b
+            raise ValueError("cut short")
+
+        return spark.range(1000).mapInArrow(bad, "id long")
+
+    with pytest.raises(Exception, match="cut short"):
+        store.materialize_features(spark, path, fails, overwrite=True)
+    assert store.materialize_features(spark, path, fails).count() == 30
+    new = store.materialize_features(spark, path, lambda: spark.range(7), overwrite=True)
+    assert new.count() == store.materialize_features(spark, path, fails).count() == 7
+    assert sorted([first, *(r.id for r in rows)]) == list(range(30)) and old.count() == 30
+
+
 def test_fingerprint_follows_the_files(spark, tmp_path):
     spark.range(10).write.parquet(f"{tmp_path}/t")
     one = store.fingerprint(spark, f"{tmp_path}/t")
