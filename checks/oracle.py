@@ -164,6 +164,17 @@ def percent(sums: str) -> str:
 
 ORACLE: dict[str, str] = {
     "read_qa": f"WITH {QA} SELECT seq, lang, context, question, answer, answer_start::BIGINT AS answer_start FROM qa",
+    "read_qa_configs": f"WITH {QA} SELECT seq, lang, context, question, answer, answer_start::BIGINT AS answer_start FROM qa WHERE lang IN ('de', 'en', 'es', 'fr')",
+    "blocks_from_files": f"WITH {BLOCKS} SELECT block_id, array_to_string(ids, ' ') AS ids FROM blocks",
+    "row_at": f"WITH {QA} SELECT * FROM (SELECT seq, lang, answer, row_number() OVER (ORDER BY seq) - 1 AS idx FROM qa) WHERE idx = 333",
+    "extract_span_pieces": r"""
+WITH p AS (SELECT doc_id, text, string_split(regexp_replace(text, '([A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r])', '\1' || chr(1), 'g'), chr(1)) AS g FROM documents),
+n AS (SELECT *, len(g) - 1 AS n, (doc_id * 7) % (len(g) - 1) AS a FROM p WHERE len(g) > 1),
+b AS (SELECT *, a + CASE WHEN doc_id % 4 = 0 THEN -1 ELSE doc_id % 9 END AS b0 FROM n),
+c AS (SELECT *, greatest(least(b0, n - 1), 0) AS b FROM b),
+e AS (SELECT *, list_sum(list_transform(g[:a + 1], lambda x: len(x))) AS first_end, list_sum(list_transform(g[:b + 1], lambda x: len(x))) AS last_end,
+  len(regexp_replace(g[a + 1], '^[ \t\n\r]+', '')) AS first_size FROM c)
+SELECT doc_id, CASE WHEN b < a THEN '' ELSE substring(text, (first_end - first_size + 1)::BIGINT, (last_end - first_end + first_size)::BIGINT) END AS answer FROM e""",
     "read_squad_json": f"WITH {QA} SELECT context, question, answer AS text, answer_start::BIGINT AS answer_start FROM qa",
     "read_squad_json_whole": f"WITH {QA} SELECT context, question, answer AS text, answer_start::BIGINT AS answer_start FROM qa",
     "read_text_corpus": """

@@ -515,16 +515,13 @@ def _joined(spark, d):
 
 def label_long_spans(spark, d):
     """Labels of long inputs under two policies; the limit follows the length."""
-    joined = cut_lineage(_joined(spark, d))
-    out = None
-    for policy in ("null_zero", "fill_max"):
-        made = qa_features.label_spans(joined, max_length=2048, policy=policy).select(
+    made = qa_features.label_spans(_joined(spark, d), max_length=2048, policy=("null_zero", "fill_max"))
+    return tidy(
+        made.select(
             "seq",
-            F.col("start_positions").alias(f"{policy}_start"),
-            F.col("end_positions").alias(f"{policy}_end"),
+            *[F.col(f"{p}_{x}_positions").alias(f"{p}_{x}") for p in ("null_zero", "fill_max") for x in ("start", "end")],
         )
-        out = made if out is None else out.join(made, "seq")
-    return tidy(out)
+    )
 
 
 def trivia_training_batches(spark, d, tokenize=None):
@@ -545,13 +542,32 @@ def trivia_training_batches(spark, d, tokenize=None):
 
 
 def trivia_training_batches_custom(spark, d):
-    """The same through a user's batch tokenizer."""
+    """The same through a user's tokenizer of whole Arrow batches."""
     def words(texts):
-        import re
-
-        return [None if x is None else [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\t-\r ]+", x)] for x in texts]
-
-    return trivia_training_batches(spark, d, text.batch_tokenizer(words))
+        import numpy as np
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_string())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        # runs of bytes that are no white space, cut where a text ends
+        inside = np.append((data != 32) & ((data < 9) | (data > 13)), False)
+        before = np.roll(inside, 1)
+        before[edges] = False
+        begin = np.flatnonzero(inside & ~before)
+        after = inside[1:].copy()
+        after[edges[1:][edges[1:] > 0] - 1] = False
+        end = np.flatnonzero(inside[:-1] & ~after) + 1
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        first = np.searchsorted(begin, edges)
+        base = np.repeat(chars[edges[:-1]], np.diff(first))
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        kept = data[inside[:-1]]
+        found = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept)))
+        return found.cast(pa.string()), chars[begin] - base, chars[end] - base, first
+
+    return trivia_training_batches(spark, d, text.flat_tokenizer(words))
 
 
 def evaluate_model_report(spark, d):
@@ -587,6 +603,43 @@ def make_batches_large(spark, d):
     return tidy(stacked)
 
 
+def read_qa_configs(spark, d):
+    """One folder per language, read in one scan."""
+    langs = ["de", "en", "es", "fr"]
+    found = qa.read_qa_configs(spark, t.qa_folders(spark, d, langs), "xquad", langs)
+    return tidy(found.select("seq", "lang", "context", "question", "answer", "answer_start"))
+
+
+def blocks_from_files(spark, d):
+    """From text files to stored blocks of ids."""
+    folder = f"{shared_folder(spark)}/spanloom-checks"
+    return tidy(corpus_blocks.blocks_from_files(spark, t.text_files(spark, d), folder, overwrite=True))
+
+
+def row_at(spark, d):
+    """The row at a position."""
+    indexed = order.row_index(t.qa_rows(spark, d).select("seq", "lang", "answer"), "seq")
+    return tidy(order.row_at(indexed, 333))
+
+
+#: Words and single other characters: answers then end inside words and at punctuation.
+PIECE = r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r]"
+
+
+def extract_span_pieces(spark, d):
+    """Answers cut out of the context by parts of words, with what stands between them."""
+    n = F.size("pieces")
+    start = (F.col("doc_id") * 7) % n
+    end = start + F.when(F.col("doc_id") % 4 == 0, -1).otherwise(F.col("doc_id") % 9)
+    made = once(t.documents(spark, d), pieces=text.tokenize_offsets("text", PIECE)).where(n > 0)
+
+    def peak(at):
+        return F.transform("pieces", lambda _, i: -F.abs(i - at).cast("double"))
+
+    made = made.select("doc_id", "text", "pieces", peak(start).alias("s"), peak(end).alias("e"))
+    return tidy(made.select("doc_id", spans.extract_span_text("text", "pieces", "s", "e").alias("answer")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -607,5 +660,6 @@ QUERIES = {
         prepare_long_features, label_long_spans, trivia_training_batches,
         trivia_training_batches_custom, evaluate_model_report, count_over_budget, row_index_text,
         pack_blocks_long, make_batches_large, ids_tokens_joined, vocab_lookup_salted,
+        read_qa_configs, blocks_from_files, row_at, extract_span_pieces,
     )
 }

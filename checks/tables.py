@@ -165,6 +165,23 @@ def partitioned_qa(spark: SparkSession, sf_dir: str) -> str:
     return f"{path}/rows"
 
 
+def qa_folders(spark: SparkSession, sf_dir: str, langs: list[str]) -> str:
+    """The QA corpus in one folder per language."""
+    from spanloom.sources.registry import config_name
+
+    path = stored(spark, sf_dir, "documents", "qa-folders")
+
+    def write():
+        rows = qa_rows(spark, sf_dir)
+        for lang in langs:
+            folder = f"{path}/rows/{config_name('xquad', lang)}/validation"
+            rows.where(F.col("lang") == lang).drop("lang").write.mode("overwrite").parquet(folder)
+        return spark.range(1)
+
+    materialize_features(spark, f"{path}/log", write)
+    return f"{path}/rows"
+
+
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``paragraphs`` of one article per document, with a question that has no answers."""
     qas = F.struct(

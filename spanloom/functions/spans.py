@@ -169,3 +169,18 @@ def extract_span(tokens: str | Column, start_scores: str | Column, end_scores: s
     start, end = argmax(start_scores), argmax(end_scores)
     size = F.greatest(end - start + 1, F.lit(0)).cast("int")
     return F.array_join(F.slice(_col(tokens), (start + 1).cast("int"), size), " ")
+
+
+def extract_span_text(context: str | Column, pieces: str | Column, start_scores: str | Column, end_scores: str | Column) -> Column:
+    """The context's own characters from the best start piece to the best end piece.
+
+    ``pieces`` is an ``array<struct<tok,start,end>>`` of words or parts of words; what stands
+    between them in the context stays as it is. Empty if the end comes first or a best
+    place is no piece; NULL without context or scores.
+    """
+    start, end = argmax(start_scores), argmax(end_scores)
+    first = F.get(_col(pieces), start.cast("int"))["start"]
+    last = F.get(_col(pieces), end.cast("int"))["end"]
+    size = F.coalesce(last - first, F.lit(0))
+    cut = F.substring(_col(context), (F.coalesce(first, F.lit(0)) + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
+    return F.when(start.isNull() | end.isNull(), F.lit(None).cast("string")).otherwise(F.when(end < start, F.lit("")).otherwise(cut))

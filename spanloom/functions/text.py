@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,20 +96,52 @@ def tokenize_offsets(text: str | Column, token: str = TOKEN) -> Column:
     return with_offsets(word_tokens(text, token), F.split(_col(text), token, -1))
 
 
+def flat_tokenizer(
+    tokenize: Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]],
+) -> Callable[[Column], Column]:
+    """A column function from a user's tokenizer that works on whole Arrow batches.
+
+    ``tokenize`` takes the texts, without NULLs, and returns all tokens one behind the
+    other, where each begins and ends in its text (characters, end exclusive), and where
+    each text's tokens begin among them, with one more element than there are texts.
+    NULL texts give NULL.
+    """
+    part = "array<struct<tok:string,start:long,end:long>>"
+
+    @F.arrow_udf(part)
+    def run(texts: pa.Array) -> pa.Array:
+        words, start, end, first = tokenize(texts.drop_null())
+        known = texts.is_valid().to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[known] = np.diff(first)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        parts = [pa.array(words, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+        rows = pa.StructArray.from_arrays(parts, ["tok", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets), rows, mask=None if known.all() else pa.array(~known))
+
+    return run
+
+
 def batch_tokenizer(tokenize: Callable[[list], list]) -> Callable[[Column], Column]:
     """A column function from a user's tokenizer, called with a batch of texts.
 
     ``tokenize`` takes a list of texts (None for NULL) and returns for each a list of
-    ``(token, start, end)``, character offsets with the end exclusive, or None.
+    ``(token, start, end)``, character offsets with the end exclusive, or None. Where speed
+    matters ``flat_tokenizer`` does without a tuple per token.
     """
     part = "array<struct<tok:string,start:long,end:long>>"
 
     @F.arrow_udf(part)
     def run(texts: pa.Array) -> pa.Array:
         found = tokenize(texts.to_pylist())
-        rows = [None if t is None else [dict(zip(("tok", "start", "end"), x)) for x in t] for t in found]
-        kind = pa.struct([("tok", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        return pa.array(rows, pa.list_(kind))
+        sizes = [0 if t is None else len(t) for t in found]
+        flat = [x for t in found if t is not None for x in t]
+        columns = zip(*flat) if flat else ([], [], [])
+        parts = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))]
+        rows = pa.StructArray.from_arrays(parts, ["tok", "start", "end"])
+        missing = np.array([t is None for t in found], bool)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, rows, mask=pa.array(missing) if missing.any() else None)
 
     return run
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.batches import make_batches, shuffle_seeded
+from spanloom.functions.masking import seeded_key
+from spanloom.operators.batches import make_batches
 from spanloom.operators.evaluate import alias_accuracy
 from spanloom.operators.hooks import evaluate_rows, overlap_scores
 from spanloom.operators.order import split_percent
@@ -60,10 +61,11 @@ def training_batches(
         "start_positions",
         "end_positions",
     )
-    # Ordering reads its input several times; the rows should be made once.
-    placed = shuffle_seeded(cut_lineage(rows), key, seed)
+    # Ordering reads its input several times; the rows should be made once. The seeded order
+    # and the batches are one ordering run.
+    drawn = cut_lineage(rows.withColumn("_draw", seeded_key(seed, F.col(key))))
     columns = [key, "input_ids", "attention_mask", "start_positions", "end_positions"]
-    return make_batches(cut_lineage(placed), batch_size, columns, "pos")
+    return make_batches(drawn, batch_size, columns, ["_draw", key])
 
 
 def over_budget(documents: DataFrame, budget: int = LENGTH_BUDGET) -> DataFrame:

@@ -32,7 +32,7 @@ from spanloom.sources.registry import label_languages
 def label_spans(
     df: DataFrame,
     max_length: int = 512,
-    policy: str = "null",
+    policy: str | Sequence[str] = "null",
     limit: int | None = None,
     tokenize: Callable[[Column], Column] | None = None,
     context_first: bool = False,
@@ -46,7 +46,9 @@ def label_spans(
     follows ``max_length``. ``tokenize`` is a column function to
     ``array<struct<tok,start,end>>``, see ``batch_tokenizer``; words by default.
     ``fold_case`` compares answers with the lower-cased context. ``context_tokens``
-    names a column with the words of the context where they have been made before.
+    names a column with the words of the context where they have been made before. With
+    several policies the rows are labelled once, and each policy's positions are called
+    ``<policy>_start_positions`` and ``<policy>_end_positions``.
 
     Under the policy ``null`` a position may lie behind the encoded input; such rows
     are counted as ``over_long`` by ``rejection_reason``, and ``prepare_features`` leaves
@@ -76,9 +78,14 @@ def label_spans(
         place = span_to_tokens(F.col("context"), F.col("span"), F.col("encoded.input"), at=at)
     placed = once(encoded, _at=place)
     top = max_length if limit is None else limit
-    return placed.withColumn(
-        "_p", span_policy(F.col("_at.start"), F.col("_at.end"), policy, top)
-    ).select(*df.columns, "span", "encoded", "_p.*")
+    positions = ("start_positions", "end_positions")
+    names = {policy: positions} if isinstance(policy, str) else {p: [f"{p}_{x}" for x in positions] for p in policy}
+    found = [
+        span_policy(F.col("_at.start"), F.col("_at.end"), p, top)[x].alias(y)
+        for p, called in names.items()
+        for x, y in zip(positions, called)
+    ]
+    return placed.select(*df.columns, "span", "encoded", *found)
 
 
 def rejection_reason(max_length: int):

@@ -313,3 +313,39 @@ def test_exchange_by_distinct_tokens(spark, monkeypatch):
     plan = vocab.tokens_to_ids(df, "words", table, max_rows=0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate posexplode(words") == 1 and "posexplode(tokens" not in plan
     assert vocab.tokens_to_ids(df.where("false"), "words", table, max_rows=0).collect() == []
+
+
+def test_answers_cut_out_of_the_context(spark):
+    pieces = [("can", 0, 3), ("not", 3, 6), (",", 6, 7), ("say", 9, 12)]
+    rows = [
+        ("cannot,  say", pieces, [0.0, 2.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0], "not,  say"),
+        ("cannot,  say", pieces, [3.0, 2.0, 1.0, 0.0], [0.0, 1.0, 1.0, 0.0], "cannot"),
+        ("cannot,  say", pieces, [0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 0.0], ""),
+        ("cannot,  say", pieces, [0.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0, 0.0, 1.0], ""),
+        ("", [], [1.0], [1.0], ""),
+        (None, pieces, [1.0], [1.0], None),
+        ("cannot", pieces, None, [1.0], None),
+    ]
+    schema = "context string, pieces array<struct<tok:string,start:long,end:long>>, s array<double>, e array<double>, want string"
+    df = spark.createDataFrame(rows, schema)
+    got = df.select("want", spans.extract_span_text("context", "pieces", "s", "e").alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_flat_tokenizer(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    def letters(texts):
+        rows = texts.to_pylist()
+        first = np.cumsum([0, *map(len, rows)])
+        flat = "".join(rows)
+        start = np.concatenate([np.arange(len(r)) for r in rows] or [np.zeros(0, int)])
+        return pa.array(list(flat), pa.string()), start, start + 1, first
+
+    rows = [(i, t) for i, t in enumerate(["ab", None, "", "é中", None])]
+    df = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    got = {r.i: r.x for r in df.select("i", text.flat_tokenizer(letters)(F.col("t")).alias("x")).collect()}
+    assert got[1] is None and got[4] is None and got[2] == []
+    assert [tuple(x) for x in got[0]] == [("a", 0, 1), ("b", 1, 2)] and [tuple(x) for x in got[3]] == [("é", 0, 1), ("中", 1, 2)]
+    assert df.where("t is null").select(text.flat_tokenizer(letters)(F.col("t")).alias("x")).first().x is None
