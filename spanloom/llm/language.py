@@ -23,14 +23,14 @@ from pyspark.sql import types as T
 
 from spanloom.llm import crf
 from spanloom.llm.simhash import joined_words
-from spanloom.llm.words import PLAIN, Words, measure, text_chunks
+from spanloom.llm.words import PLAIN, Words, code_points, measure, text_chunks
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 8192
 BUCKETS = 1 << 17
-#: Natural logarithm that a change of language costs, and that a word in a foreign script costs.
+#: Natural logarithm that a change of language costs, and what rules a language out for a word in a script that others have.
 SWITCH = 8.0
-FOREIGN = 12.0
+FOREIGN = 1e6
 #: A script belongs to a language from this share of its words on.
 SCRIPT_SHARE = 0.01
 
@@ -153,8 +153,27 @@ def spans(score: np.ndarray, there: np.ndarray, penalty: float = SWITCH) -> np.n
     return out
 
 
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
+
+
+def _runs(words: Words, change: np.ndarray, langs: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The runs that begin at ``change``, as lists of ``counts`` of them per text."""
+    first = np.flatnonzero(change)
+    last = np.append(first[1:], len(change))[: len(first)] - 1
+    chars = np.concatenate([[0], np.cumsum(code_points(words.data))])
+    base = chars[words.offsets[:-1]][words.owner[first]]
+    parts = [chars[words.starts[first]] - base, chars[words.ends[last]] - base]
+    names = pa.array(langs[first].tolist(), pa.string())
+    rows = pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in parts), names], ["start", "end", "lang"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
+
+
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """``row``, ``lang_pred``, ``score`` and ``n_spans``, the runs of one language in the text."""
+    """``row``, ``lang_pred``, ``score``, ``n_spans`` and ``spans``: the runs of one language in the text.
+
+    A span has ``start`` and ``end`` (code points, end exclusive) of its words and ``lang``; a
+    text without words has none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> list:
@@ -168,12 +187,12 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: s
         owner = words.owner
         weight = np.zeros((len(texts), max(k, 1)))
         n_spans = np.zeros(len(texts), np.int64)
+        change, label = np.zeros(len(words), bool), np.zeros(len(words), np.int64)
         if k:
             score = spelling.scores(model["table"])
             fits = model["scripts"][spelling.script]
             score -= np.where(fits | ~fits.any(axis=1, keepdims=True), 0.0, FOREIGN)
             score[spelling.letters == 0] = 0.0
-            label = np.zeros(len(words), np.int64)
             for group in crf.batches(words.counts, (1 << 20) // max(k, 4)):
                 at, there = crf.padded(words.first[group], words.counts[group])
                 label[at[there]] = spans(np.where(there[:, :, None], score[spelling.codes[at]], 0.0), there)[there]
@@ -191,11 +210,12 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: s
         known &= total > 0
         best = np.where(known, weight.argmax(axis=1), k)
         share = np.where(known, weight.max(axis=1) / np.maximum(total, 1), 0.0)
-        return [pa.array(langs[best].tolist(), pa.string()), share, n_spans]
+        return [pa.array(langs[best].tolist(), pa.string()), share, n_spans, _runs(words, change, langs[label], n_spans)]
 
     fields = [
         T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("n_spans", T.LongType()),
+        T.StructField("spans", T.ArrayType(_SPAN)),
     ]
     return measure(docs, run, fields, keep, text)

@@ -43,6 +43,21 @@ def test_language(spark, odd, empty):
     assert {x.lang_pred for x in language.predict(odd, none).collect()} == {"und"}
 
 
+def test_spans_of_a_mixed_text(spark):
+    words = {"en": "the house and that with which this there", "de": "das haus und nicht eine auch werden über", "ru": "это дом также который было его они"}
+    r = random.Random(6)
+    text = lambda lang, n: " ".join(r.choices(words[lang].split(), k=n))
+    rows = [(i, text(lang, 30), lang) for i, lang in enumerate(["en", "de", "ru"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    parts = [("en", text("en", 12)), ("ru", text("ru", 3)), ("de", text("de", 12)), ("en", text("en", 9))]
+    mixed = "  " + "\n".join(p for _, p in parts) + " "
+    found = language.predict(spark.createDataFrame([(1, mixed), (2, ""), (3, None), (4, " 12 ")], "doc_id long, text string"), model).collect()
+    by = {x.row.doc_id: x for x in found}
+    assert [(s.lang, mixed[s.start : s.end]) for s in by[1].spans] == parts and by[1].n_spans == 4
+    assert by[2].spans == by[3].spans == [] and all(x.n_spans == len(x.spans) for x in found)
+
+
 def test_language_ignores_what_it_must_not_learn(spark, sf):
     """Labels of held-out documents change nothing."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
