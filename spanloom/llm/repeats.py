@@ -15,8 +15,9 @@ sends more windows to the exact pass.
 
 Defined cases: a null or empty text has no words; a text shorter than a window keeps
 all its words; of equal windows the first by (document id, start) stays, a null id
-coming first; rows that share an id are one document and must share a text;
-other columns are never looked at.
+coming first; ids that are no whole numbers are ordered as text, by its bytes; rows that
+share an id are taken as one document, each read with the repeats found in any of them,
+so they should share a text; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -164,9 +165,16 @@ def sketch(docs: DataFrame, width: int = WIDTH, text: str = "text", max_cells: i
 
 def _candidates(batch: pa.RecordBatch, texts: pa.Array, width: int, cells: int, bits: np.ndarray) -> pa.RecordBatch:
     """Rows of windows of one anchor that may repeat: those first in the chunk with their hashes."""
-    ids = batch.column("id").to_numpy()
+    named = batch.column("id")
+    if pa.types.is_integer(named.type):
+        ids = named.to_numpy()
+    else:  # the places of text ids in the order of their bytes
+        coded = named.dictionary_encode()
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        ids = place[coded.indices.to_numpy()]
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    ids, named = ids[order], named.take(pa.array(order))
     windows = Windows(texts.take(pa.array(order)), width)
     words = windows.words
     places, at = np.unique(windows.anchor, return_inverse=True)
@@ -204,7 +212,7 @@ def _candidates(batch: pa.RecordBatch, texts: pa.Array, width: int, cells: int,
     )
     columns = [
         pa.array(key),
-        pa.array(ids[doc[begin]]),
+        named.take(pa.array(doc[begin])),
         pa.array(inner[begin].astype(np.int32)),
         pa.array(mask.astype(np.int32)),
         pa.ListArray.from_arrays(pa.array(bounds), pair),
@@ -213,7 +221,7 @@ def _candidates(batch: pa.RecordBatch, texts: pa.Array, width: int, cells: int,
     return pa.RecordBatch.from_arrays(columns, ["anchor", "id", "start", "mask", "windows"]).filter(pa.array(some))
 
 
-_ROW = "anchor long, id long, start int, mask int, windows array<struct<k:tinyint,h:long>>"
+_ROW = "anchor long, id {kind}, start int, mask int, windows array<struct<k:tinyint,h:long>>"
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -221,13 +229,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     cells, bits = sketch(docs, width, text, max_cells)
     shared = spark.sparkContext.broadcast(bits)
-    rows = docs.select(_id(doc_id).alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(_id(docs, doc_id).alias("id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         for batch, texts in text_chunks(batches):
             yield _candidates(batch, texts, width, cells, shared.value)
 
-    sent = rows.mapInArrow(run, _ROW).repartition("anchor")
+    sent = rows.mapInArrow(run, _ROW.format(kind=rows.schema["id"].dataType.simpleString())).repartition("anchor")
     each = sent.select("anchor", "id", "start", "mask", F.inline_outer("windows"))
     here = F.struct("id", (F.col("start") + F.col("k")).alias("at"))
     least = F.min(here).over(Window.partitionBy("anchor", "h"))
@@ -241,8 +249,12 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     )
 
 
-def _id(doc_id: str):
-    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(FIRST_ID))
+def _id(docs: DataFrame, doc_id: str):
+    """The id as a whole number or a text that orders like it, NULL first."""
+    column = F.col(f"`{doc_id}`")
+    if isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return F.coalesce(column.cast("long"), F.lit(FIRST_ID))
+    return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
 def _strip(texts: pa.Array, flags: pa.Array, width: int) -> list:
@@ -288,7 +300,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     names = docs.columns if keep is None else keep
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"), _id(doc_id).alias("id")
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"), _id(docs, doc_id).alias("id")
     ).join(flags, "id", "left")
     rows = rows.select("row", "text", "flags")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]

@@ -208,3 +208,23 @@ def test_coder_beats_a_table_of_frequencies():
     broken[head + 5] ^= 0xFF
     with pytest.raises(ValueError):
         id_coder.unpack(bytes(broken))
+
+
+def test_repeats_under_text_ids_and_a_hot_phrase(spark):
+    """Ids of any type; a phrase of 12 words in all documents with other words around it."""
+    rng = np.random.default_rng(8)
+    word = lambda n: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)]
+    phrase, passage = word(12), word(25)
+    rows = []
+    for i in range(120):
+        words = word(30) + phrase + word(30) + (passage if i % 10 == 0 else [])
+        rows.append((f"d{(i * 37) % 120}", " ".join(words)))
+    docs = spark.createDataFrame(rows + [(None, " ".join(passage))], "doc_id string, text string").repartition(5)
+    got = {r.row.doc_id: (r.n_words, r.n_removed) for r in repeats.remove_repeats(docs).collect()}
+    # the row without an id comes first and keeps the passage
+    assert got == {d: (len(t.split()), 25 if " ".join(passage) in t and d is not None else 0) for d, t in rows} | {None: (25, 0)}
+    dates = docs.where("doc_id is not null").selectExpr("date_add(date'2020-01-01', cast(substring(doc_id, 2) as int)) as doc_id", "text")
+    kept = [r.row.doc_id for r in repeats.remove_repeats(dates).collect() if r.n_removed == 0 and r.n_words == 97]
+    assert len(kept) == 1 and str(kept[0]) == "2020-01-01"
+    double = repeats.remove_repeats(docs.withColumn("doc_id", F.lit("same")))
+    assert double.count() == 121
