@@ -82,6 +82,72 @@ def forward_backward(emission: np.ndarray, there: np.ndarray, transition: np.nda
     return marginals, expected, norm
 
 
+def chain_marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray, size: int = 64, rows: int = 1 << 18) -> np.ndarray:
+    """Label marginals of every token of sequences of any length, each one whole chain.
+
+    ``first`` is where each sequence begins among the tokens, with one more element. Chains
+    are worked through in pieces of ``size`` tokens side by side: what a piece does to a
+    message that passes it is a matrix, the messages go from piece to piece, and then every
+    piece knows what comes before and behind it. The result is that of one run over the whole.
+    """
+    k = len(start)
+    counts = np.diff(first)
+    parts = -(-counts // size)
+    head = np.cumsum(parts) - parts
+    inside = np.arange(parts.sum()) - np.repeat(head, parts)
+    begin = np.repeat(first[:-1], parts) + size * inside
+    length = np.minimum(size, np.repeat(first[1:], parts) - begin)
+    ahead, behind = np.zeros((len(begin), k)), np.zeros((len(begin), k))
+    long = np.flatnonzero(np.repeat(parts, parts) > 1)
+    if len(long):
+        through = np.zeros((len(begin), k, k))
+        for group in batches(length[long], rows // k):
+            some = long[group]
+            at, there = padded(begin[some], length[some])
+            now = np.full((len(some), k, k), -1e30)
+            now[:, np.arange(k), np.arange(k)] = 0.0
+            for t in range(len(at)):
+                step = np.broadcast_to(transition, (len(some), k, k))
+                if t == 0:  # a chain begins with the start scores, whatever came before
+                    step = np.where((inside[some] == 0)[:, None, None], np.broadcast_to(start, (k, k)), step)
+                new = _log_sum(now[:, :, :, None] + step[:, None], 2) + emission[at[t]][:, None, :]
+                now = np.where(there[t][:, None, None], new, now)
+            through[some] = now
+        # the first piece of a chain is entered by one label, so that its start counts once
+        entry = np.full(k, -1e30)
+        entry[0] = 0.0
+        chains = np.flatnonzero(parts > 1)
+        for step in range(1, int(parts.max())):
+            on = chains[parts[chains] > step]
+            at = head[on] + step
+            before = np.where((step == 1), entry, ahead[at - 1])
+            ahead[at] = _log_sum(before[:, :, None] + through[at - 1], 1)
+        for step in range(int(parts.max()) - 1, 0, -1):
+            on = chains[parts[chains] > step]
+            at = head[on] + step
+            behind[at - 1] = _log_sum(through[at] + behind[at][:, None, :], 2)
+    out = np.zeros((len(emission), k))
+    for group in batches(length, rows // k):
+        at, there = padded(begin[group], length[group])
+        score = emission[at]
+        steps, n, _ = score.shape
+        front = np.zeros_like(score)
+        entered = _log_sum(ahead[group][:, :, None] + transition[None], 1)
+        front[0] = np.where((inside[group] == 0)[:, None], start, entered) + score[0]
+        for t in range(1, steps):
+            new = _log_sum(front[t - 1][:, :, None] + transition[None], 1) + score[t]
+            front[t] = np.where(there[t][:, None], new, front[t - 1])
+        back = np.zeros_like(score)
+        back[steps - 1] = behind[group]
+        for t in range(steps - 2, -1, -1):
+            follow = (back[t + 1] + score[t + 1])[:, None, :] + transition[None]
+            back[t] = np.where(there[t + 1][:, None], _log_sum(follow, 2), behind[group])
+        both = front + back
+        marginal = np.exp(both - _log_sum(both, 2)[:, :, None])
+        out[at[there]] = marginal[there]
+    return out
+
+
 class Model:
     """Weights of features and label transitions."""
 

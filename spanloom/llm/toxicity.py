@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 
 from spanloom.llm import crf
 from spanloom.llm.words import PLAIN, Words, code_points, measure, text_chunks, word_hashes
+from spanloom.session import cut_lineage
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 8192
-#: Words of a sequence; longer texts are cut into several.
+#: Words of a training sequence; longer texts are cut into several. Texts are scored as one chain each.
 SEQUENCE = 64
 BUCKETS = 1 << 15
 #: A word, or a beginning of words, is toxic from this share of the toxic documents,
@@ -92,11 +93,13 @@ def _word_rows(batches):
 
 def toxic_words(sample: DataFrame) -> list[str]:
     """Words and beginnings far more frequent among toxic documents than among clean ones."""
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = cut_lineage(sample.select("text", "toxic").mapInArrow(_word_rows, "word string, toxic int, least long").distinct())
+    # documents are counted by the same keys as their words
+    kinds = seen.select("toxic", "least").distinct().groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    n = {r["toxic"]: r["n"] for r in kinds.collect()}
     share = (n.get(0, 0) + 1) / (n.get(1, 0) + 1)
-    seen = sample.select("text", "toxic").mapInArrow(_word_rows, "word string, toxic int, least long")
     counts = (
-        seen.distinct()
+        seen
         .groupBy("word")
         .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
         .where((F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * n.get(1, 0))) & ((F.col("bad") + 0.5) / (F.col("good") + 0.5) * share >= LEAST_ODDS))
@@ -164,13 +167,7 @@ def _marginals(texts: pa.Array, model: dict) -> tuple[Words, np.ndarray]:
     words = Words(texts, PLAIN, lower=True)
     distinct, codes = words.codes()
     score = field.emissions(features(distinct))[codes]
-    out = np.zeros(len(words))
-    first, length = _segments(words)
-    for group in crf.batches(length, 1 << 18):
-        at, there = crf.padded(first[group], length[group])
-        marginal = crf.forward_backward(score[at], there, field.transition, field.start, pairs=False)[0]
-        out[at[there]] = marginal[there][:, 1]
-    return words, out
+    return words, crf.chain_marginals(score, words.first, field.transition, field.start)[:, 1]
 
 
 def _gathered(words: Words, marginal: np.ndarray) -> np.ndarray:
@@ -195,8 +192,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **names) -> dict:
     """The field and the curve from the labelled documents that ``allowed`` admits."""
-    from spanloom.session import cut_lineage
-
     sample = cut_lineage(labelled_sample(docs, labels, allowed, **names))
     lexicon = frozenset(toxic_words(sample))
     # sequences of a bounded sample, as numbers

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import html_text, language, queries, toxicity
+from spanloom.llm import crf, html_text, language, queries, toxicity
 
 
 def test_switching_keeps_short_words_in_their_span():
@@ -77,6 +77,22 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) > 0.97 * len(held)
 
 
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_pieces_of_a_chain_change_no_marginal(size):
+    draw = np.random.default_rng(size)
+    counts = np.array([0, 1, 2, 63, 64, 65, 0, 400, 129, 5, 0])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    for k in (2, 4):
+        score = 3 * draw.standard_normal((first[-1], k))
+        transition, start = 3 * draw.standard_normal((k, k)), 3 * draw.standard_normal(k)
+        got = crf.chain_marginals(score, first, transition, start, size=size, rows=256)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b > a:
+                there = np.ones((b - a, 1), bool)
+                want = crf.forward_backward(score[a:b, None, :], there, transition, start, pairs=False)[0][:, 0]
+                assert np.allclose(got[a:b], want, atol=1e-9)
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(3)
     plain = [f"w{i}" for i in range(300)]
