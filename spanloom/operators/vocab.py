@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,37 +19,34 @@ from spanloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 SALTS = 32
 # Elements of the arrays that share a dictionary when the vocabulary is joined.
 CHUNK_TOKENS = 1 << 18
+# Distinct tokens that are counted together where they are.
+SEGMENT_TOKENS = 1 << 19
 
 
 def build_vocab(df: DataFrame, tokens: Column, size: int | None = None) -> DataFrame:
     """``token, token_id, n``: the ``size`` most frequent tokens, ties by text; all without ``size``.
 
     Special tokens come first with ids 0, 1, ...; ``size`` counts without them.
-    Counting is combined on the map side. The count that still makes it into
-    the list is read from the histogram of counts, so only about ``size``
-    tokens are sorted.
+    Without ``size`` all tokens are counted, combined on the map side. With it only tokens
+    that may belong to the list are shuffled, see ``frequent_counts``, and the count that
+    still makes it into the list is read from the histogram of counts, so only about
+    ``size`` tokens are sorted.
     """
     if size is not None and size <= 0:
         raise ValueError("size must be positive")
-    counts = cut_lineage(
-        df.select(F.explode(tokens).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(~F.col("token").isin(SPECIAL_TOKENS))
-    )
     specials = df.sparkSession.createDataFrame(
         [(t, i, 0) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id long, n long"
     )
     if size is None:
+        counts = cut_lineage(
+            df.select(F.explode(tokens).alias("token"))
+            .groupBy("token")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where(~F.col("token").isin(SPECIAL_TOKENS))
+        )
         return specials.unionByName(_numbered(counts))
-    histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("with_n"))
-    at_least = F.sum("with_n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")))
-    enough = (
-        histogram.withColumn("cum", at_least)
-        .where(F.col("cum") >= size)
-        .agg(F.max("n").alias("floor"))
-        .first()["floor"]
-    )
+    counts = cut_lineage(frequent_counts(df, tokens, size))
+    enough = _reached(counts, size)
     top = counts if enough is None else counts.where(F.col("n") >= enough)
     top = top.orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))
@@ -58,6 +56,69 @@ def build_vocab(df: DataFrame, tokens: Column, size: int | None = None) -> DataF
     return specials.unionByName(ranked)
 
 
+def _reached(counts: DataFrame, rows: int) -> int | None:
+    """The highest ``n`` that at least so many rows have or exceed; None if there are fewer rows."""
+    histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("with_n"))
+    at_least = F.sum("with_n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")))
+    return histogram.withColumn("cum", at_least).where(F.col("cum") >= rows).agg(F.max("n")).first()[0]
+
+
+def _segment_counts(batches):
+    """Counts of the distinct tokens of a partition, in segments of bounded size."""
+    from pyspark import TaskContext
+
+    segment, held = TaskContext.get().partitionId() << 32, None
+
+    def rows():
+        return [
+            pa.RecordBatch.from_arrays(
+                [pa.array(np.full(b.num_rows, segment), pa.int64()), b.column("token"), b.column("n")], names=["segment", "token", "n"]
+            )
+            for b in held.to_batches(max_chunksize=65_536)
+        ]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            found = batch.column("tokens").slice(at, 512).flatten().drop_null().value_counts()
+            part = pa.table({"token": found.field("values").cast(pa.string()), "n": found.field("counts").cast(pa.int64())})
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows > 2 * SEGMENT_TOKENS:
+                held = _added(held)
+                if held.num_rows > SEGMENT_TOKENS:
+                    yield from rows()
+                    segment, held = segment + 1, None
+    if held is not None:
+        held = _added(held)
+        yield from rows()
+
+
+def _added(counts: pa.Table) -> pa.Table:
+    found = counts.group_by("token").aggregate([("n", "sum")])
+    return pa.table({"token": found["token"], "n": found["n_sum"]})
+
+
+def frequent_counts(df: DataFrame, tokens: Column, size: int) -> DataFrame:
+    """``token, n``: exact counts of the ``size`` most frequent tokens, ties included, and of some more.
+
+    Each segment of the table is counted where it is. The highest local counts, added up,
+    are a lower bound of what the last token of the list has; a token that reaches this bound
+    has its share of it in one segment at least. The others are pruned before anything but
+    the highest local counts is shuffled, and the tokens left are counted over all segments.
+    """
+    arrays = df.select(tokens.alias("tokens"))
+    local = cut_lineage(arrays.mapInArrow(_segment_counts, "segment long, token string, n long"))
+    local = local.where(~F.col("token").isin(SPECIAL_TOKENS))
+    total = F.sum("n").alias("n")
+    high = _reached(local, 8 * size) or 1
+    bound = _reached(local.where(F.col("n") >= high).groupBy("token").agg(total), size) or 1
+    segments = local.agg(F.count_distinct("segment")).first()[0]
+    if bound <= segments:  # any token may belong to the list
+        return local.groupBy("token").agg(total)
+    hopeful = local.where(F.col("n") * segments >= bound).select("token").distinct()
+    side, _ = broadcast_if_small(cut_lineage(hopeful))
+    return local.join(side, "token", "left_semi").groupBy("token").agg(total)
+
+
 def _numbered(counts: DataFrame) -> DataFrame:
     """Ids of all tokens by falling count, ties by text, without a window over the table.
 

@@ -228,6 +228,24 @@ def test_vocabulary(spark, monkeypatch):
     both()
 
 
+@pytest.mark.parametrize("segment", [5, 100, 10**6])
+def test_frequent_tokens_are_counted_without_the_tail(spark, monkeypatch, segment):
+    monkeypatch.setattr(vocab, "SEGMENT_TOKENS", segment)
+    r = random.Random(segment)
+    words = [f"w{int(r.paretovariate(0.9)) % 3000}" for _ in range(30_000)] + [f"once{i}" for i in range(3000)]
+    r.shuffle(words)
+    rows = [(words[i : i + 30] + [None, "<s>"],) for i in range(0, len(words), 30)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "w array<string>").repartition(4)
+    exact = Counter(words)
+    for size in (1, 20, 100, 10**6):
+        counts = {x.token: x.n for x in vocab.frequent_counts(df, F.col("w"), size).collect()}
+        assert all(exact[t] == n for t, n in counts.items()) and "<s>" not in counts
+        least = sorted(exact.values(), reverse=True)[min(size, len(exact)) - 1]
+        assert {t for t, n in exact.items() if n >= least} <= set(counts)
+        if size <= 20 and segment > 5:
+            assert len(counts) < 0.2 * len(exact), "rare tokens are pruned"
+
+
 def test_whole_vocabulary(spark):
     rows = [(["b", "a", "b", "<unk>", "é"],), (["a", "b", "zz"],), (None,)]
     v = vocab.build_vocab(spark.createDataFrame(rows, "w array<string>"), F.col("w")).collect()
