@@ -27,7 +27,8 @@ from spanloom.llm.words import PLAIN, Words, measure, text_chunks
 
 WINDOW = 10
 SHINGLE = 3
-SLICE_BYTES = 32 << 20
+#: Text of a slice; its windows take about a hundred times as much memory where they are put in order.
+SLICE_BYTES = 4 << 20
 
 
 class Benchmark:
