@@ -372,16 +372,23 @@ pos AS (SELECT seq, CASE WHEN cs < ka THEN cs + 1 ELSE 256 END AS st, CASE WHEN
 SELECT i // 16 AS batch_id, count(*) AS n_rows, string_agg(seq::VARCHAR, ' ' ORDER BY i) AS seq, string_agg(st::BIGINT::VARCHAR, ' ' ORDER BY i) AS start_positions,
   string_agg(en::BIGINT::VARCHAR, ' ' ORDER BY i) AS end_positions, string_agg(input, ' ' ORDER BY i) AS input_ids FROM pos GROUP BY 1"""
 ORACLE["trivia_training_batches_custom"] = ORACLE["trivia_training_batches"]
-ORACLE["evaluate_model_report"] = (
-    "WITH " + SCORED.replace(PREDICTIONS, QA + f""",
+_MODEL = "WITH " + SCORED.replace(PREDICTIONS, QA + f""",
 asked AS (SELECT seq, [x for x in string_split({norm('question')}, ' ') if x <> ''] AS ask, {words('context')} AS w FROM qa),
 ctx AS (SELECT seq, unnest(w) AS tok, generate_subscripts(w, 1) AS p_, ask FROM asked),
 hit AS (SELECT seq, p_, tok, list_contains(ask, {norm('tok')}) AS h FROM ctx),
 pick AS (SELECT seq, coalesce(min(CASE WHEN h THEN p_ END), 1) AS p_ FROM hit GROUP BY seq),
 predictions AS (SELECT seq, lang, golds, coalesce(tok, '') AS pred FROM qa LEFT JOIN pick USING (seq) LEFT JOIN hit USING (seq, p_))""")
+ORACLE["evaluate_model_report"] = (
+    _MODEL
     + """, m AS (SELECT lang, 100.0 * avg(em) AS em, 100.0 * avg(f1) AS f1 FROM best GROUP BY lang UNION ALL SELECT 'all', 100.0 * avg(em), 100.0 * avg(f1) FROM best)
 SELECT lang || '_exact_match' AS metric, round(em, 6) AS value FROM m UNION ALL SELECT lang || '_f1', round(f1, 6) FROM m"""
 )
+ORACLE["evaluate_model_datasets"] = _MODEL + """,
+d AS (SELECT CASE WHEN seq // 4 % 3 = 0 THEN 'mlqa' ELSE 'xquad' END AS dataset, lang, em, f1 FROM best),
+m AS (SELECT coalesce(dataset, 'all') AS dataset, coalesce(lang, 'all') AS lang, 100.0 * avg(em) AS em, 100.0 * avg(f1) AS f1, count(*) AS n
+  FROM d GROUP BY GROUPING SETS ((dataset, lang), (dataset), ())),
+names AS (SELECT * FROM (VALUES ('de', 'German'), ('en', 'English'), ('es', 'Spanish')) v(lang, name), (VALUES ('xquad', 'XQuAD'), ('mlqa', 'MLQA')) t(dataset, title))
+SELECT dataset, lang, title || ' ' || name || ' validation' AS label, round(em, 6) AS exact_match, round(f1, 6) AS f1, n FROM m LEFT JOIN names USING (dataset, lang)"""
 ORACLE["count_over_budget"] = f"WITH {TRIVIA} SELECT count(*) AS n_total, count(*) FILTER (len(question) + len(context) >= 16384) AS n_over FROM flat"
 ORACLE["row_index_text"] = f"WITH {QA} SELECT 'q' || seq AS id, lang, row_number() OVER (ORDER BY 'q' || seq) - 1 AS idx FROM qa"
 ORACLE["pack_blocks_long"] = """

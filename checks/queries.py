@@ -578,6 +578,13 @@ def evaluate_model_report(spark, d):
     return tidy(store.read_report(spark, path))
 
 
+def evaluate_model_datasets(spark, d):
+    """From scores to results per dataset and language, with their labels."""
+    rows = t.qa_rows(spark, d).withColumn("dataset", F.when(F.col("doc_id") % 3 == 0, "mlqa").otherwise("xquad"))
+    found = qa_features.evaluate_model(rows, ["xquad", "mlqa"], dataset="dataset")
+    return tidy(found.select("dataset", "lang", "label", "exact_match", "f1", "n"))
+
+
 def count_over_budget(spark, d):
     """How many long documents a length budget would leave out."""
     return tidy(long_documents.over_budget(rows.format_trivia(t.trivia_rows(spark, d))))
@@ -660,6 +667,6 @@ QUERIES = {
         prepare_long_features, label_long_spans, trivia_training_batches,
         trivia_training_batches_custom, evaluate_model_report, count_over_budget, row_index_text,
         pack_blocks_long, make_batches_large, ids_tokens_joined, vocab_lookup_salted,
-        read_qa_configs, blocks_from_files, row_at, extract_span_pieces,
+        read_qa_configs, blocks_from_files, row_at, extract_span_pieces, evaluate_model_datasets,
     )
 }

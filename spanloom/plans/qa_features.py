@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from spanloom.operators.hooks import overlap_scores
 from spanloom.operators.profile import row_audit
 from spanloom.operators.rows import filter_valid_spans
 from spanloom.operators.vocab import tokens_to_ids
-from spanloom.session import cut_lineage
+from spanloom.session import broadcast_if_small, cut_lineage
 from spanloom.sources import registry
 from spanloom.sources.registry import label_languages
 
@@ -183,23 +184,34 @@ def evaluate_predictions(
 
 def evaluate_model(
     rows: DataFrame,
-    base: str,
+    base: str | Sequence[str],
     score: Callable[[DataFrame], DataFrame] = overlap_scores,
     key: str = "seq",
     languages: DataFrame | None = None,
+    dataset: str | None = None,
 ) -> DataFrame:
-    """``label, lang, exact_match, f1, n``: from a model's scores to labelled results.
+    """``lang, exact_match, f1, n, n_unscored, label``: from a model's scores to labelled results.
 
     ``rows`` have ``question, context, golds, lang``. ``score`` adds start and end scores
-    over ``tokens``; the answer is extracted, paired by key and scored per language.
+    over ``tokens``; where it leaves ``golds`` in place answers are scored in the same row,
+    else they are paired by key. With the name of a ``dataset`` column, the results are per
+    (dataset, language) with overall lines, for the corpora named by ``base``, in one pass.
     """
+    names = ["lang"] if dataset is None else [dataset, "lang"]
     scored = score(once(rows, tokens=word_tokens("context")))
-    predictions = scored.select(
-        key, extract_span("tokens", "start_scores", "end_scores").alias("pred")
-    )
-    results = evaluate_predictions(rows, predictions, key, "lang")
-    dim = registry.languages(rows.sparkSession, base) if languages is None else languages
-    return label_languages(results, dim)
+    pred = extract_span("tokens", "start_scores", "end_scores").alias("pred")
+    if {"golds", *names} <= set(scored.columns):
+        results = squad_eval_by(score_answers(scored.select(key, *names, "golds", pred)), names)
+    else:
+        results = evaluate_predictions(rows, scored.select(key, pred), key, names)
+    if dataset is None:
+        dim = registry.languages(rows.sparkSession, base) if languages is None else languages
+        return label_languages(results, dim)
+    if languages is None:
+        known = [registry.languages(rows.sparkSession, b).withColumn(dataset, F.lit(b)) for b in ([base] if isinstance(base, str) else base)]
+        languages = reduce(DataFrame.unionByName, known)
+    side, _ = broadcast_if_small(languages)
+    return results.join(side, names, "left")
 
 
 def report_of(results: DataFrame) -> DataFrame:
