@@ -246,3 +246,18 @@ def test_long_chains_are_one_component(spark):
 def test_queries_answer_for_every_row(spark, sf):
     for name in ("op2_pii_spans", "op4_quality_rules", "op5_simhash_near_dedup"):
         assert queries.QUERIES[name](spark, sf).count() == 200
+
+
+def test_pii_query_against_the_patterns(spark, sf):
+    """The base columns of every row of the table; the spans hold the base ones."""
+    names = ["email", "ip", "card", "phone"]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.QUERIES["op2_pii_spans"](spark, sf).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        base = plain_spans(texts[r.doc_id])
+        said = [f"{names[k]}:{a}:{b}" for a, k, b in base]
+        counts = [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r.spans.split(",")) or not said
