@@ -61,9 +61,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
+    scratch = tempfile.TemporaryDirectory(prefix="spanloom-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("spanloom-bench")
+        .config("spark.checkpoint.dir", f"{scratch.name}/shared")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
@@ -71,8 +73,6 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     warm = os.environ.get("BENCH_WARM_DIR", str(Path(sf_dir).parent / "sf0.001"))
-    scratch = tempfile.TemporaryDirectory(prefix="spanloom-bench-")
-    spark.conf.set("spark.checkpoint.dir", f"{scratch.name}/shared")
     name_of = Path(sf_dir).name.removeprefix("sf")
     sf_dir = spread(spark, sf_dir, scratch.name, int(os.environ.get("BENCH_TIMES", "1")), 4 * int(cpus if cpus.isdigit() else 8))
     times = {}
