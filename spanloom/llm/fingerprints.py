@@ -185,7 +185,7 @@ def audit(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     ``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited``, ``near_next`` and ``n_near``: for documents whose key is divisible by
     ``every``, how many other documents have a fingerprint within the radius; NULL for the
-    others. NULL and empty texts have fingerprint 0 and no characters. Documents follow
+    others. The key is a whole number. NULL and empty texts have fingerprint 0 and no characters. Documents follow
     each other by falling key, NULL last, equal keys by a hash of the text and the text
     itself; repeated rows are documents of their own, and a single document follows
     itself. An empty table gives no rows. Texts are read whole. Columns other than the
