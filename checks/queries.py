@@ -293,7 +293,7 @@ def _vocab(spark, d):
 def _ids_tokens(spark, d, **bound):
     v = _vocab(spark, d)
     docs = t.documents(spark, d).select("doc_id", text.word_tokens("text").alias("words"))
-    ids = vocab.tokens_to_ids(docs, "words", v, "doc_id", **bound)
+    ids = vocab.tokens_to_ids(docs, "words", v, "doc_id", out="words", **bound).withColumnRenamed("words", "ids")
     return tidy(vocab.ids_to_tokens(ids, "ids", v, "doc_id", **bound).select("doc_id", "ids", "tokens"))
 
 

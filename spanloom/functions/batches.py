@@ -94,6 +94,11 @@ class KeyTable:
 
     def find(self, keys: pa.Array) -> pa.Array:
         """The values of the keys, NULL for unknown and NULL ones."""
+        known = self.places(keys)
+        return self.values.take(pa.array(known, mask=known < 0))
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where the values of the keys stand, -1 for unknown and NULL ones."""
         known = np.zeros(len(keys), np.int64) - 1
         valid = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False))
         asked = keys.take(pa.array(valid))
@@ -105,7 +110,7 @@ class KeyTable:
             if self.text:
                 equal &= pc.equal(self.keys.take(pa.array(here)).cast(asked.type), asked).to_numpy(zero_copy_only=False)
             known[valid[equal]] = here[equal]
-        return self.values.take(pa.array(known, mask=known < 0))
+        return known
 
 
 def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Column:
@@ -121,12 +126,13 @@ def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Col
     return find(arrays)
 
 
-def dictionary_chunks(column: str, size: int) -> Callable:
+def dictionary_chunks(column: str, size: int, head: Broadcast | None = None) -> Callable:
     """For ``mapInArrow`` over ``row`` and an array column: ``chunk, row, codes, words``.
 
-    Rows are numbered in chunks of about ``size`` elements. ``codes`` stand for the
-    elements of a row, by their place in ``words``, the distinct elements of its chunk,
-    which are on the chunk's first row only.
+    Rows are numbered in chunks of about ``size`` elements. A code is the place of an element's
+    partner in the ``KeyTable`` ``head``; elements that it does not have count down from -1 by
+    their place in ``words``, the distinct ones of the chunk, which are on its first row only.
+    NULL elements have no code.
     """
 
     def run(batches):
@@ -142,13 +148,17 @@ def dictionary_chunks(column: str, size: int) -> Callable:
                 hi = max(lo + 1, int(np.searchsorted(ends, base + size, side="right")))
                 part = lists.slice(lo, hi - lo)
                 coded = part.flatten().dictionary_encode()
+                place = np.full(len(coded.dictionary), -1) if head is None else head.value.places(coded.dictionary)
+                rest = place < 0
+                place[rest] = -1 - np.arange(rest.sum())
+                left = coded.dictionary.filter(pa.array(rest))
                 sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 mask = part.is_null() if part.null_count else None
-                codes = pa.ListArray.from_arrays(pa.array(offsets), coded.indices.cast(pa.int32()), mask=mask)
-                first = np.full(hi - lo + 1, len(coded.dictionary), np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32()).take(coded.indices), mask=mask)
+                first = np.full(hi - lo + 1, len(left), np.int32)
                 first[0] = 0
-                words = pa.ListArray.from_arrays(pa.array(first), coded.dictionary, mask=pa.array(np.arange(hi - lo) > 0))
+                words = pa.ListArray.from_arrays(pa.array(first), left, mask=pa.array(np.arange(hi - lo) > 0))
                 chunk = pa.array(np.full(hi - lo, number), pa.int64())
                 yield pa.RecordBatch.from_arrays([chunk, batch.column("row").slice(lo, hi - lo), codes, words], names=["chunk", "row", "codes", "words"])
                 number, lo = number + 1, hi
@@ -156,16 +166,20 @@ def dictionary_chunks(column: str, size: int) -> Callable:
     return run
 
 
-def decode_chunks(out: str, names: list[str], missing) -> Callable:
-    """For a cogroup of coded rows with their chunk's ``found`` array: the rows with ``out``."""
+def decode_chunks(out: str, names: list[str], missing, head: Broadcast | None = None) -> Callable:
+    """For a cogroup of coded rows with ``pos, to`` of their chunk's words: the rows with ``out``."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         codes, row = (rows[c].chunk(0) for c in ("codes", "row"))
-        values = found["found"].combine_chunks().chunk(0) if isinstance(found["found"].combine_chunks(), pa.ChunkedArray) else found["found"].combine_chunks()
-        taken = pc.fill_null(values.flatten().take(codes.values), missing)
+        code = pc.fill_null(codes.values, 0).to_numpy()
+        known = codes.values.is_valid().to_numpy(zero_copy_only=False)
+        partners = found.sort_by("pos")["to"].combine_chunks()
+        taken = partners.take(pa.array(-1 - code, mask=~known | (code >= 0)))
+        if head is not None:
+            taken = pc.coalesce(taken, head.value.values.cast(taken.type).take(pa.array(code, mask=~known | (code < 0))))
         columns = [row.field(n) for n in names]
-        return pa.Table.from_arrays([*columns, _like(codes, taken)], names=[*names, out])
+        return pa.Table.from_arrays([*columns, _like(codes, pc.fill_null(taken, missing))], names=[*names, out])
 
     return run
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +15,13 @@ from spanloom.functions.batches import KeyTable, decode_chunks, dictionary_chunk
 from spanloom.functions.spans import SPECIAL_TOKENS, UNK
 from spanloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
-# Copies of a vocabulary row when it is too large to broadcast: a frequent token
-# is then spread over this many keys.
+# Keys that a frequent token is spread over when the vocabulary is too large to broadcast;
+# frequent is what holds more than one in so many tokens.
 SALTS = 32
+FREQUENT = 4096
+# Of a vocabulary too large to broadcast, the tokens with ids below are sent all the same:
+# ids follow falling counts, so few tokens of a corpus are left to be joined.
+HEAD_ROWS = 1 << 20
 # Elements of the arrays that share a dictionary when the vocabulary is joined.
 CHUNK_TOKENS = 1 << 18
 # Distinct tokens that are counted together where they are.
@@ -154,28 +159,56 @@ def vocab_lookup(
 ) -> DataFrame:
     """Adds ``token_id`` to one-token-per-row data; unknown tokens get ``unknown``.
 
-    A vocabulary measured to have at most ``max_rows`` rows is broadcast. A larger one
-    is joined by shuffle with each of its rows copied ``salts`` times; the copy is
-    chosen by the unique row ``key``, so that a token holding a large share of the
-    corpus does not end in one task.
+    A vocabulary measured to have at most ``max_rows`` rows is broadcast. Of a larger one the
+    first ``HEAD_ROWS`` ids (``max_rows``, if that is less) are, and only tokens without one
+    of them are joined by shuffle; ``tokens`` is then read several times. Tokens that hold
+    a large share of these rows go by ``salts`` keys, chosen by the unique row ``key``,
+    so that none ends in one task; the vocabulary's other rows are shuffled once.
     """
     ids = vocab.select(F.col("token").alias("_v"), "token_id")
     side, small = broadcast_if_small(ids, max_rows)
     if small:
         joined = tokens.join(side, F.col(token) == F.col("_v"), "left")
     else:
-        copies = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = tokens.withColumn(
-            "_r", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
-        )
+        head, ids = _head(ids, max_rows)
+        rest = tokens
+        if head is not None:
+            head = F.broadcast(head)
+            rest = tokens.join(head, F.col(token) == F.col("_v"), "left_anti")
+        seen = rest.groupBy(F.col(token).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+        seen = cut_lineage(seen.where(F.col("_h").isNotNull()))
+        total = seen.agg(F.sum("_n")).first()[0] or 0
+        # fewer than FREQUENT tokens
+        often = cut_lineage(seen.where(F.col("_n") * FREQUENT > total).where("_n > 1").select("_h"))
+        copies = ids.join(F.broadcast(often), F.col("_v") == F.col("_h"), "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_h").isNotNull(), salts - 1).otherwise(0)))
+        ).drop("_h")
+        salt = F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
+        salted = rest.join(F.broadcast(often), F.col(token) == F.col("_h"), "left").withColumn(
+            "_r", F.when(F.col("_h").isNotNull() | F.col(token).isNull(), salt).otherwise(0)
+        ).drop("_h")
         joined = salted.join(
             copies, (F.col(token) == F.col("_v")) & (F.col("_r") == F.col("_salt")), "left"
         ).drop("_r", "_salt")
+        if head is not None:
+            joined = tokens.join(head, F.col(token) == F.col("_v")).unionByName(joined)
     return joined.withColumn(
         "token_id", F.coalesce("token_id", F.lit(unknown).cast("long"))
     ).drop("_v")
 
 
+def _head(table: DataFrame, max_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of the lowest ids, if they are measured small, and the others."""
+    ids, rows = F.col("token_id"), min(max_rows, HEAD_ROWS)
+    if rows <= 0:
+        return None, table
+    low = (ids >= 0) & (ids < rows)
+    head = table.where(low)
+    if not broadcast_if_small(head, rows)[1]:
+        return None, table
+    return head, table.where(~F.coalesce(low, F.lit(False)))
+
+
 def _exchange(
     df: DataFrame, column: str, out: str, table: DataFrame, missing, max_rows: int
 ) -> DataFrame:
@@ -184,44 +217,36 @@ def _exchange(
     result = table.schema[target].dataType
     _, small = broadcast_if_small(table, max_rows)
     if small:
-        pairs = table.toArrow().combine_chunks()
-        keys, values = (pa.concat_arrays(pairs[c].chunks) if pairs[c].num_chunks else pa.array([], pairs.schema.field(c).type) for c in table.columns)
-        shared = df.sparkSession.sparkContext.broadcast(KeyTable(keys, values))
-        return df.withColumn(out, lookup(F.col(column), shared, missing, result))
+        return df.withColumn(out, lookup(F.col(column), _key_table(table), missing, result))
 
+    head, table = _head(table, max_rows)
+    known = None if head is None else _key_table(head)
     kept = [f for f in df.schema if f.name != out]
     rows = df.select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row"), F.col(f"`{column}`").alias("_of"))
     words = T.StructField("words", df.schema[column].dataType)
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("row", T.StructType(kept)), T.StructField("codes", T.ArrayType(T.IntegerType())), words]
     )
-    coded = cut_lineage(rows.mapInArrow(dictionary_chunks("_of", CHUNK_TOKENS), schema))
-    # a frequent token stands once for each chunk, and its chunks go by several copies of its row
-    copies = table.select(
-        F.col(source).alias("_from"),
-        F.col(target).alias("_to"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-    )
-    distinct = coded.where("words is not null").select("chunk", F.posexplode("words").alias("_pos", "_x"))
-    distinct = distinct.withColumn("_r", F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).cast("int"))
-    found = (
-        distinct.join(copies, (F.col("_x") == F.col("_from")) & (F.col("_r") == F.col("_salt")), "left")
-        .groupBy(F.col("chunk").alias("of"))
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_to"))).alias("_f"))
-        .select("of", F.col("_f._to").alias("found"))
-    )
-    # chunks without any element
-    empty = coded.where("size(words) = 0").select(F.col("chunk").alias("of"), F.array().cast(T.ArrayType(result)).alias("found"))
-    found = found.unionByName(empty)
+    coded = cut_lineage(rows.mapInArrow(dictionary_chunks("_of", CHUNK_TOKENS, known), schema))
+    # a token stands once for each chunk at most, so none has many rows
+    distinct = coded.where("words is not null").select("chunk", F.posexplode("words").alias("pos", "_x"))
+    found = distinct.join(table.select(F.col(source).alias("_from"), F.col(target).alias("to")), F.col("_x") == F.col("_from"), "left")
     after = T.StructType([*kept, T.StructField(out, T.ArrayType(result))])
     return (
         coded.select("chunk", "row", "codes")
         .groupBy("chunk")
-        .cogroup(found.groupBy("of"))
-        .applyInArrow(decode_chunks(out, [f.name for f in kept], missing), after)
+        .cogroup(found.select(F.col("chunk").alias("of"), "pos", "to").groupBy("of"))
+        .applyInArrow(decode_chunks(out, [f.name for f in kept], missing, known), after)
     )
 
 
+def _key_table(table: DataFrame) -> Broadcast:
+    """A two-column table as a ``KeyTable`` that the workers look up in."""
+    pairs = table.toArrow().combine_chunks()
+    keys, values = (pa.concat_arrays(pairs[c].chunks) if pairs[c].num_chunks else pa.array([], pairs.schema.field(c).type) for c in table.columns)
+    return table.sparkSession.sparkContext.broadcast(KeyTable(keys, values))
+
+
 def tokens_to_ids(
     df: DataFrame,
     tokens: str,
@@ -234,10 +259,11 @@ def tokens_to_ids(
     """Adds (or replaces) ``out``: the ids of a token array, ``unknown`` for unknown ones.
 
     A vocabulary measured small is sent to the executors and looked up in Arrow
-    batches, without a shuffle. Beyond that rows are coded in chunks by a dictionary of
-    their own; only a chunk's distinct tokens are joined, and its rows, shuffled once,
-    meet the ids of its dictionary. Rows may repeat; NULL arrays stay NULL, and NULL
-    elements are unknown. The order of the columns is that of ``df``, ``out`` last.
+    batches, without a shuffle. Beyond that this is done for the first ``HEAD_ROWS`` ids, and
+    rows are coded in chunks; only a chunk's distinct other tokens are joined, and its rows,
+    shuffled once, meet their ids. With ``out`` named like ``tokens`` the tokens themselves
+    are not shuffled along. Rows may repeat; NULL arrays stay NULL, and NULL elements are
+    unknown. The order of the columns is that of ``df``, ``out`` last.
     """
     return _exchange(df, tokens, out, vocab.select("token", "token_id"), unknown, max_rows)
 

@@ -33,7 +33,7 @@ def corpus_blocks(
     """
     tokens = word_tokens(text) if tokenize is None else tokenize(F.col(text))["tok"]
     rows = corpus.select(key, tokens.alias("tokens"))
-    ids = cut_lineage(tokens_to_ids(rows, "tokens", vocab).select(key, "ids"))
+    ids = cut_lineage(tokens_to_ids(rows, "tokens", vocab, out="tokens").select(key, F.col("tokens").alias("ids")))
     first, last = (F.lit(SPECIAL_TOKENS.index(t)).cast("long") for t in (BOS, SEP))
     blocks = pack_blocks(ids, F.col("ids"), key, block_size)
     return blocks.select("block_id", wrap_special(F.col("tokens"), first, last).alias("ids"))

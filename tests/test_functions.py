@@ -367,3 +367,31 @@ def test_flat_tokenizer(spark):
     assert got[1] is None and got[4] is None and got[2] == []
     assert [tuple(x) for x in got[0]] == [("a", 0, 1), ("b", 1, 2)] and [tuple(x) for x in got[3]] == [("é", 0, 1), ("中", 1, 2)]
     assert df.where("t is null").select(text.flat_tokenizer(letters)(F.col("t")).alias("x")).first().x is None
+
+
+def test_only_tokens_beyond_the_head_are_joined(spark, monkeypatch):
+    """Ids below the bound are looked up where the rows are; the vocabulary's other rows are not copied."""
+    from spanloom.operators import vocab
+
+    rows = [(i, [None if (i + k) % 7 == 6 else f"w{(i * k) % 13}" for k in range(i % 9)]) for i in range(150)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "k long, w array<string>").repartition(3)
+    table = spark.createDataFrame([(f"w{k}", k, 1) for k in range(11)], "token string, token_id long, n long")
+    number = lambda x: int(x[1:]) if x and int(x[1:]) < 11 else 3
+    want = {k: w and [number(x) for x in w] for k, w in rows}
+    for bound, size in ((0, 10**6), (1, 10), (5, 3), (5, 10**6), (10, 10)):
+        monkeypatch.setattr(vocab, "CHUNK_TOKENS", size)
+        ids = vocab.tokens_to_ids(df, "w", table, out="w", max_rows=bound)
+        assert ids.columns == ["k", "w"] and {r.k: r.w for r in ids.collect()} == want
+        back = vocab.ids_to_tokens(ids, "w", table, out="t", max_rows=bound)
+        assert {r.k: r.t for r in back.collect()} == {k: w and [f"w{x}" for x in w] for k, w in want.items()}
+        flat = df.select("k", F.posexplode("w").alias("pos", "token"))
+        found = vocab.vocab_lookup(flat, table, ["k", "pos"], max_rows=bound, salts=4)
+        assert found.columns == ["k", "pos", "token", "token_id"]
+        assert {(r.k, r.pos): r.token_id for r in found.collect()} == {(k, p): x for k, w in want.items() for p, x in enumerate(w or [])}
+    # the shuffled vocabulary stays one row a token where no token is frequent
+    monkeypatch.setattr(vocab, "FREQUENT", 1)
+    seen = []
+    join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda a, b, *x: (seen.append(b) if "_salt" in b.columns else None, join(a, b, *x))[1])
+    vocab.vocab_lookup(flat, table, ["k", "pos"], max_rows=0)
+    assert [b.count() for b in seen] == [11]
