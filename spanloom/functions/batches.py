@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.session import bound_batches
+
 
 def _like(lists: pa.ListArray, values: pa.Array) -> pa.Array:
     """The same lists with other values; NULL lists stay NULL."""
@@ -30,6 +32,7 @@ def _positions(lists: pa.ListArray) -> np.ndarray:
 def with_offsets(tokens: Column, gaps: Column) -> Column:
     """``array<struct<tok,start,end>>`` from tokens and the gaps around them (one
     more gap than tokens); offsets count code points."""
+    bound_batches()
     part = T.StructType(
         [
             T.StructField("tok", T.StringType()),
@@ -116,6 +119,7 @@ class KeyTable:
 def lookup(arrays: Column, table: Broadcast, missing, result: T.DataType) -> Column:
     """Replaces every element by its partner in a broadcast ``KeyTable``; unknown elements
     become ``missing``. A batch looks up its distinct elements only."""
+    bound_batches()
 
     @F.arrow_udf(T.ArrayType(result))
     def find(lists: pa.Array) -> pa.Array:
@@ -190,6 +194,7 @@ def map_lists(
     """Column function ``(array<bigint>, bigint) -> struct of arrays`` from a numpy
     function ``(values, positions, row numbers) -> {name: values}``."""
     struct = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in names])
+    bound_batches()
 
     @F.arrow_udf(struct)
     def apply(lists: pa.Array, rows: pa.Array) -> pa.Array:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.batches import with_offsets
 from spanloom.functions.binding import let
+from spanloom.session import bound_batches
 
 # ASCII punctuation, English articles as whole Unicode words, and
 # the characters that separate words. `\b` and `\s` of Java differ on non-ASCII
@@ -107,6 +108,7 @@ def flat_tokenizer(
     NULL texts give NULL.
     """
     part = "array<struct<tok:string,start:long,end:long>>"
+    bound_batches()
 
     @F.arrow_udf(part)
     def run(texts: pa.Array) -> pa.Array:
@@ -130,6 +132,7 @@ def batch_tokenizer(tokenize: Callable[[list], list]) -> Callable[[Column], Colu
     matters ``flat_tokenizer`` does without a tuple per token.
     """
     part = "array<struct<tok:string,start:long,end:long>>"
+    bound_batches()
 
     @F.arrow_udf(part)
     def run(texts: pa.Array) -> pa.Array:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.session import bound_batches
+
 CHUNK_BYTES = 8 << 20
 
 
@@ -151,6 +153,7 @@ def measure(
     ``fn`` takes an array of whole texts, null as empty, and returns one array per
     field. The rows stay as they are, whatever their columns are called.
     """
+    bound_batches(docs.sparkSession, CHUNK_BYTES)
     names = docs.columns if keep is None else keep
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text")

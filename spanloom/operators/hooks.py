@@ -14,6 +14,7 @@ from spanloom.functions.binding import once
 from spanloom.functions.score import alias_match, clean_output
 from spanloom.functions.spans import extract_span
 from spanloom.functions.text import bare_word, normalize_answer, split_normalized, word_tokens
+from spanloom.session import bound_batches
 
 
 def map_rows(
@@ -22,6 +23,8 @@ def map_rows(
     """User function over Arrow batches. A row index, if needed, comes in as a
     column (``order.row_index``)."""
 
+    bound_batches(df.sparkSession)
+
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield fn(part)
@@ -33,6 +36,7 @@ def filter_rows(df: DataFrame, keep: Callable[[pd.Series], pd.Series] | Column,
     """Rows for which an expression, or a function over ``columns``, is true."""
     if isinstance(keep, Column):
         return df.where(keep)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf(T.BooleanType())
     def test(*series: pd.Series) -> pd.Series:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from spanloom.functions.batches import KeyTable, decode_chunks, dictionary_chunks, lookup
 from spanloom.functions.spans import SPECIAL_TOKENS, UNK
-from spanloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
+from spanloom.session import BROADCAST_ROWS, bound_batches, broadcast_if_small, cut_lineage
 
 # Keys that a frequent token is spread over when the vocabulary is too large to broadcast;
 # frequent is what holds more than one in so many tokens.
@@ -110,6 +110,7 @@ def frequent_counts(df: DataFrame, tokens: Column, size: int) -> DataFrame:
     has its share of it in one segment at least. The others are pruned before anything but
     the highest local counts is shuffled, and the tokens left are counted over all segments.
     """
+    bound_batches(df.sparkSession)
     arrays = df.select(tokens.alias("tokens"))
     local = cut_lineage(arrays.mapInArrow(_segment_counts, "segment long, token string, n long"))
     local = local.where(~F.col("token").isin(SPECIAL_TOKENS))
@@ -227,6 +228,7 @@ def _exchange(
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("row", T.StructType(kept)), T.StructField("codes", T.ArrayType(T.IntegerType())), words]
     )
+    bound_batches(df.sparkSession)
     coded = cut_lineage(rows.mapInArrow(dictionary_chunks("_of", CHUNK_TOKENS, known), schema))
     # a token stands once for each chunk at most, so none has many rows
     distinct = coded.where("words is not null").select("chunk", F.posexplode("words").alias("pos", "_x"))

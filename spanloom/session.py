@@ -13,6 +13,17 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 
+# An Arrow batch is cut at so many bytes; Spark's own bound is 10,000 rows, whatever their texts.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession | None = None, size: int = BATCH_BYTES) -> None:
+    """Bound the bytes of Arrow batches in the session, by default the active one, if nothing else does."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(size))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.

@@ -395,3 +395,30 @@ def test_only_tokens_beyond_the_head_are_joined(spark, monkeypatch):
     monkeypatch.setattr(type(df), "join", lambda a, b, *x: (seen.append(b) if "_salt" in b.columns else None, join(a, b, *x))[1])
     vocab.vocab_lookup(flat, table, ["k", "pos"], max_rows=0)
     assert [b.count() for b in seen] == [11]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pandas as pd
+
+    from spanloom.functions.text import flat_tokenizer, tokenize_offsets
+    from spanloom.operators import hooks, vocab
+    from spanloom.session import BATCH, BATCH_BYTES
+
+    df = spark.range(0, 600, 1, 1).select("id", F.expr("repeat('word ', 20000)").alias("text"))
+    for use in (
+        lambda: hooks.map_rows(df, lambda p: pd.DataFrame({"n": [len(p)]}), "n long"),
+        lambda: tokenize_offsets("text"),
+        lambda: flat_tokenizer(lambda texts: None),
+        lambda: vocab.frequent_counts(df, F.split("text", " "), 3),
+    ):
+        spark.conf.unset(BATCH)
+        use()
+        assert spark.conf.get(BATCH) == str(BATCH_BYTES)
+    # 60 MB of text in one partition
+    rows = hooks.map_rows(df, lambda p: pd.DataFrame({"n": [len(p)]}), "n long").collect()
+    assert sum(r.n for r in rows) == 600 and max(r.n for r in rows) * 100_000 < 2 * BATCH_BYTES
+    # a bound that the user set stays
+    spark.conf.set(BATCH, "12345678")
+    tokenize_offsets("text")
+    assert spark.conf.get(BATCH) == "12345678"
+    spark.conf.unset(BATCH)
