@@ -13,6 +13,10 @@ from spanloom.session import shared_folder
 from spanloom.sources.store import fingerprint, materialize_features
 
 
+#: Bytes of text in a file that one task writes.
+JSON_FILE = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -213,18 +217,23 @@ def nested_json(spark: SparkSession, sf_dir: str) -> str:
 
 
 def whole_json(spark: SparkSession, sf_dir: str) -> str:
-    """The QA corpus as eight files, each of them one JSON object over many lines."""
+    """The QA corpus as eight files or more, each of them one JSON object over many lines.
+
+    Files have some ``JSON_FILE`` bytes of text at most, as one task writes one.
+    """
     path = stored(spark, sf_dir, "documents", "json-whole")
 
     def write():
+        size = documents(spark, sf_dir).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(8, -(-size // JSON_FILE))
         text = F.regexp_replace(F.to_json(F.struct("paragraphs")), '"(context|qas|question)":', '\n  "$1":\n    ')
         lines = _articles(spark, sf_dir).select(
-            F.pmod("doc_id", F.lit(8)).alias("part"), F.col("doc_id").alias("o"), F.concat(F.lit("  , "), text).alias("value")
+            F.pmod("doc_id", F.lit(files)).alias("part"), F.col("doc_id").alias("o"), F.concat(F.lit("  , "), text).alias("value")
         )
-        ends = spark.range(8).select(F.col("id").alias("part"), F.explode(F.array(F.lit(-1), F.lit(2**62)).cast("array<long>")).alias("o"))
+        ends = spark.range(files).select(F.col("id").alias("part"), F.explode(F.array(F.lit(-1), F.lit(2**62)).cast("array<long>")).alias("o"))
         head = '{\n  "meta": {"data": ["}", "{"]},\n  "data": [\n  {"paragraphs": []}'
         ends = ends.withColumn("value", F.when(F.col("o") < 0, F.lit(head)).otherwise(F.lit('],\n  "version": "1.1"\n}')))
-        whole = lines.unionByName(ends).repartition(8, "part").sortWithinPartitions("part", "o")
+        whole = lines.unionByName(ends).repartition(files, "part").sortWithinPartitions("part", "o")
         whole.select("part", "value").write.mode("overwrite").partitionBy("part").text(f"{path}/files")
         return spark.range(1)
 

@@ -78,3 +78,13 @@ def test_odd_files(spark, tmp_path):
     for name, body in {"empty": "", "space": " \n", "none": '{"x": 1}', "null": '{"data": [null, 3, {"paragraphs": null}, "s}"]}', "bad": '{"data": [{"paragraphs": [}'}.items():
         (tmp_path / f"{name}.json").write_text(body)
     assert qa.read_squad_json(spark, str(tmp_path), multi_line=True).collect() == []
+
+
+def test_files_of_the_check_follow_the_documents(spark, sf, monkeypatch):
+    from checks import queries, tables
+
+    monkeypatch.setattr(tables, "stored", lambda spark, d, s, name: f"{tables.shared_folder(spark)}/spanloom-checks/{name}-small")
+    want = sorted(map(tuple, queries.read_squad_json(spark, sf).collect()))
+    monkeypatch.setattr(tables, "JSON_FILE", 20_000)
+    assert len(spark.read.text(tables.whole_json(spark, sf)).select("part").distinct().collect()) > 20
+    assert sorted(map(tuple, queries.read_squad_json_whole(spark, sf).collect())) == want
