@@ -1,9 +1,13 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Documents with equal sets are one node. Others meet where a band of their minimum
-hashes agrees; a link of similarity 0.8 is missed by all ``BANDS`` bands about three
-times in a million, a closer one less often. Every link is then checked on the sets (of
-32-bit hashes): first each member of a band against the band's first member, then, in bands that
+Method: SimHash fingerprints of the sets, searched by vantage-point trees (``simhash``).
+Documents with equal sets are one node. Fingerprints that differ in at most ``RADIUS`` bits
+are linked by the trees, and each of these links is checked on the sets (of 32-bit
+hashes). At a similarity of 0.8 fingerprints differ in some 10 of 64 bits, and at that
+radius the trees rule out nothing, so what lies beyond ``RADIUS`` is found behind them:
+documents meet where a band of their minimum hashes agrees; a link of similarity 0.8 is
+missed by all ``BANDS`` bands about three times in a million, a closer one less often. In bands that the
+trees left in several components each member is checked against the band's first member, then, in bands that
 this left in several components, all pairs between components, in blocks of so many
 members and set elements.
 
@@ -28,6 +32,8 @@ from spanloom.session import cut_lineage
 
 SHINGLE = 5
 SIMILAR = 0.8
+#: Differing bits up to which the vantage-point trees link fingerprints.
+RADIUS = 3
 #: Bands of minimum hashes, and the hashes that must agree in one.
 BANDS, ROWS = 24, 4
 #: Members of a band that are compared at once with as many others, and the elements of their sets on average.
@@ -64,7 +70,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
 
 
 def prints(texts: pa.Array, width: int = SHINGLE) -> list:
-    """Of each text: a key of its set, the band keys (none for the empty set), and 32 bits of each hash."""
+    """Of each text: a key of its set, its SimHash fingerprint, the band keys (none for the empty set), and 32 bits of each hash."""
     hashes, n = shingle_sets(texts, width)
     key = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
@@ -87,6 +93,7 @@ def prints(texts: pa.Array, width: int = SHINGLE) -> list:
     np.cumsum(np.bincount(owner[first], minlength=len(n)), out=ends[1:])
     return [
         pa.array(key.view(np.int64)),
+        pa.array(simhash.majority(hashes, n).view(np.int64)),
         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64))),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(upper[first])),
     ]
@@ -120,11 +127,25 @@ def _check_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
-def links(nodes: DataFrame, sets: DataFrame, block: int = BLOCK, elements: int = BLOCK_ELEMENTS) -> DataFrame:
+def tree_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a``, ``b``: distinct keys whose fingerprints the vantage-point trees link, or that share a fingerprint.
+
+    Of keys with one fingerprint the smallest stands for it.
+    """
+    first = cut_lineage(nodes.groupBy("fp").agg(F.min("key").alias("hub")))
+    near = simhash.links(first.select("fp"), radius).withColumnsRenamed({"a": "fa", "b": "fb"})
+    ends = [first.select(F.col("fp").alias(f"f{x}"), F.col("hub").alias(x)).hint("merge") for x in "ab"]
+    linked = near.join(ends[0], "fa").join(ends[1], "fb").select("a", "b")
+    same = nodes.join(first.hint("merge"), "fp").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    return cut_lineage(linked.union(same).distinct())
+
+
+def links(nodes: DataFrame, sets: DataFrame, block: int = BLOCK, elements: int = BLOCK_ELEMENTS, radius: int = RADIUS) -> DataFrame:
     """``a``, ``b``: similar pairs whose components are those of all similar pairs that share a band.
 
-    ``nodes`` has distinct ``key`` and ``bands``, ``sets`` distinct ``key`` and ``set``.
+    ``nodes`` has distinct ``key``, ``fp`` and ``bands``, ``sets`` distinct ``key`` and ``set``.
     """
+    trees = tree_pairs(nodes, radius)
     banded = nodes.select("key", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("hub"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("sum")
@@ -132,16 +153,26 @@ def links(nodes: DataFrame, sets: DataFrame, block: int = BLOCK, elements: int =
     # bands with the same members are looked at once
     groups = groups.groupBy("n", "hub", "sum").agg(F.min("band").alias("band")).select("band", "n", "hub")
     members = cut_lineage(banded.join(groups.hint("merge"), "band"))
-    pairs = members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    wanted = members.select("key").distinct()
+    wanted = members.select("key").union(trees.select("a")).union(trees.select("b")).distinct()
     sets = cut_lineage(sets.join(wanted.hint("merge"), "key", "left_semi").dropDuplicates(["key"]))
 
     def with_set(rows: DataFrame, name: str) -> DataFrame:
         return rows.join(sets.select(F.col("key").alias(name), F.col("set").alias(f"{name}_set")).hint("merge"), name)
 
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    near = with_set(with_set(pairs, "a"), "b").where(similar(shared, F.size("a_set"), F.size("b_set")))
-    near = cut_lineage(near.select("a", "b"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = with_set(with_set(pairs, "a"), "b")
+        return cut_lineage(both.where(similar(shared, F.size("a_set"), F.size("b_set"))).select("a", "b"))
+
+    near = checked(trees)
+    tree = cut_lineage(components(near)).withColumnsRenamed({"node": "key", "component": "part"})
+    at_hub = tree.withColumnsRenamed({"key": "hub", "part": "hub_part"})
+    apart = members.where("key <> hub").select("key", "hub").distinct()
+    apart = apart.join(tree.hint("merge"), "key", "left").join(at_hub.hint("merge"), "hub", "left")
+    # the trees have joined the others
+    apart = apart.where(F.coalesce("part", "key") != F.coalesce("hub_part", "hub"))
+    near = near.union(checked(apart.select(F.col("key").alias("a"), F.col("hub").alias("b"))))
     part = components(near).select(F.col("node").alias("key"), F.col("component").alias("part"))
     sizes = sets.select("key", F.size("set").cast("long").alias("m"))
     parted = members.where("n > 2").join(part.hint("merge"), "key", "left").join(sizes.hint("merge"), "key")
@@ -165,12 +196,12 @@ def links(nodes: DataFrame, sets: DataFrame, block: int = BLOCK, elements: int =
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, block: int = BLOCK, elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """``doc_id``, ``key`` and ``component_id``, the smallest id reachable over near copies."""
     fields = [
-        T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("set", T.ArrayType(T.IntegerType())),
+        T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("set", T.ArrayType(T.IntegerType())),
     ]
     made = cut_lineage(
-        measure(docs, lambda t: prints(t, width), fields, [doc_id], text, HASHED_BYTES).select("row.*", "key", "bands", "set")
+        measure(docs, lambda t: prints(t, width), fields, [doc_id], text, HASHED_BYTES).select("row.*", "key", "fp", "bands", "set")
     )
-    distinct = cut_lineage(made.groupBy("key").agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands")))
+    distinct = cut_lineage(made.groupBy("key").agg(F.min(doc_id).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     found = components(cut_lineage(links(distinct, made.select("key", "set"), block, elements))).withColumnRenamed("node", "key")
     labelled = distinct.select("key", "least").join(found.hint("merge"), "key", "left").select(
         "key", "least", F.coalesce("component", "key").alias("component")

@@ -93,3 +93,35 @@ def test_copies_of_very_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want, _ = brute(rows)
     assert {x.doc_id: x.component_id for x in near_copies.near_copies(df, elements=100_000).collect()} == want
+
+
+def test_trees_link_fingerprints_before_the_bands(spark, monkeypatch):
+    """The vantage-point trees alone join copies of few edits; the bands add the others."""
+    from pyspark.sql import functions as F
+
+    from spanloom.llm import simhash
+
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(2000)]
+    rows = []
+    for i in range(6):
+        copy = list(base)
+        copy[300 * i] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(10 + i, " ".join(f"y{r.randrange(10**6)}" for _ in range(300))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ran = []
+    trees = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: (ran.append(1), trees(*a, **k))[1])
+    whole = {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()}
+    assert ran and whole == brute(rows)[0]
+    # without bands the trees' links are what is left
+    made = near_copies.measure(df, near_copies.prints, [
+        near_copies.T.StructField("key", near_copies.T.LongType()), near_copies.T.StructField("fp", near_copies.T.LongType()),
+        near_copies.T.StructField("bands", near_copies.T.ArrayType(near_copies.T.LongType())), near_copies.T.StructField("set", near_copies.T.ArrayType(near_copies.T.IntegerType())),
+    ]).select("row.doc_id", "key", "fp", "bands", "set").cache()
+    alone = made.select("key", "fp", F.array().cast("array<long>").alias("bands"))
+    keys = {x.key: x.doc_id for x in made.collect()}
+    found = {frozenset((keys[x.a], keys[x.b])) for x in near_copies.links(alone, made.select("key", "set")).collect()}
+    assert found and all(max(p) < 6 for p in found)
+    assert all(near_copies.similar(len(a & b), len(a), len(b)) for a, b in ((shingles(rows[i][1]), shingles(rows[j][1])) for i, j in map(tuple, found)))
