@@ -13,6 +13,7 @@ writes files without rows; other columns are never looked at.
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import id_coder
 from spanloom.llm.bpe import default_path
-from spanloom.llm.pieces import Pieces
+from spanloom.llm.pieces import Pieces, signs
 from spanloom.llm.words import text_chunks
 
 #: Ids aimed at in one container.
@@ -32,6 +33,30 @@ SEGMENT = 1 << 22
 #: Distinct pieces that a Python worker remembers, at most.
 KNOWN = 2_000_000
 END = 0
+#: Pieces that the tokenizer takes in one call, each as a word by itself.
+TOGETHER = 2_000
+
+
+def _finer(spec: dict) -> np.ndarray | None:
+    """The finer cuts a tokenizer allows, which are those of plain byte-level pre-tokens."""
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    cutter, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    if spec.get("normalizer") or any(cutter.get(k) != v for k, v in plain.items()):
+        return None
+    if any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word")):
+        return None
+    return signs([t["content"] for t in added])
+
+
+def _bytes(vocab: dict[str, int], added: list[dict]) -> np.ndarray | None:
+    """A byte-level token has a letter for each byte, an added one is text."""
+    if "" in vocab:
+        return None
+    out = np.zeros(1 + max(vocab.values()), np.int64)
+    out[list(vocab.values())] = [len(t) for t in vocab]
+    for t in added:
+        out[t["id"]] = len(t["content"].encode())
+    return out
 
 
 class Encoder:
@@ -44,6 +69,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        read = json.loads(spec)
+        self.finer = _finer(read)
+        # how many bytes each id stands for, where that tells pieces apart
+        self.bytes = None if self.finer is None else _bytes(self.tokenizer.get_vocab(), read.get("added_tokens") or [])
         self._forget()
 
     def _forget(self) -> None:
@@ -64,10 +93,7 @@ class Encoder:
         at = pc.index_in(pieces, self.known)
         fresh = at.is_null().to_numpy(zero_copy_only=False)
         new = pieces.filter(pa.array(fresh))
-        found = self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)
-        lists = [e.ids for e in found]
-        lengths = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
+        ids, lengths = self._fresh(new)
         at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         at[fresh] = len(self.known) + np.arange(len(new))
         self.known = pa.concat_arrays([self.known, new])
@@ -77,9 +103,26 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(many)])
         return self.ids[np.repeat(begin - ends[:-1], many) + np.arange(ends[-1])], many
 
+    def _fresh(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = np.asarray(new).tolist()
+        if self.bytes is not None and words:
+            # ids have the bytes of what they stand for, which tells where each piece ends
+            runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+            found = self.tokenizer.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+            reached = np.cumsum(self.bytes[ids])
+            wanted = np.cumsum(pc.binary_length(new).to_numpy())
+            ends = np.searchsorted(reached, wanted) + 1
+            if ends[-1] == len(ids) and (reached[ends - 1] == wanted).all():
+                return ids, np.diff(ends, prepend=0)
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        lists = [e.ids for e in found]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text begins."""
-        pieces = Pieces(texts)
+        pieces = Pieces(texts, self.finer)
         ids, at = pieces.gather(*self.distinct(pieces.distinct))
         return np.insert(ids, at[1:], end), at + np.arange(len(at))
 

@@ -228,3 +228,48 @@ def test_repeats_under_text_ids_and_a_hot_phrase(spark):
     assert len(kept) == 1 and str(kept[0]) == "2020-01-01"
     double = repeats.remove_repeats(docs.withColumn("doc_id", F.lit("same")))
     assert double.count() == 121
+
+
+JOINED = ["red.Hat", "don't", "it's.", "x's'", "a<|endoftext|>.b", "a<|endoftext|", "end|oftext", "end.\n\nNext", "end\nNext", "end.\n next",
+          "\nA", "a\n", "\u00e9.\u00d7.\u00f7!", "e\u0301.", "\u00a0.\n\u00a0A", "9.5,x", "a\r\nB", "a \n B", "\u1680\nC", "\U0001d11e.\nD", "\u00aa.", "_a_b", "\t\nE", ""]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(JOINED + [" ", "  ", "\n", ".", "w", "\u00df"]), max_size=12).map("".join), min_size=1, max_size=6))
+def test_finer_pieces_are_encoded_like_whole_texts(texts):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = ids_file.Encoder(f.read()) if not KEPT else KEPT[0]
+    KEPT[:] = [encoder]
+    ids, at = encoder.encode(pa.array(texts), 0)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library(t) + [0] for t in texts]
+
+
+KEPT: list = []
+
+
+def test_words_before_signs_reach_the_library_once():
+    """Signs and line breaks behind a word do not make it a new piece."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]
+    text = " ".join(w + tail for tail in (".", ",", "!", "###", "\nThen", "") for w in words)
+    encoder = ids_file.Encoder(spec)
+    ids, _ = encoder.encode(pa.array([text]), 0)
+    assert ids.tolist() == library(text) + [0]
+    assert len(encoder.known) < 2 * len(words)
+    # signs of an added token and tokenizers that are not plainly byte-level are left alone
+    assert not ids_file.signs(["<|endoftext|>"])[[ord("<"), ord("|"), ord(">")]].any()
+    assert ids_file.Encoder(spec.replace('"add_prefix_space": false', '"add_prefix_space": true').replace('"add_prefix_space":false', '"add_prefix_space":true')).finer is None
+
+
+def test_coder_rounds_of_equal_size():
+    rng = np.random.default_rng(6)
+    ids = rng.zipf(1.4, 3 * id_coder.LANES + 5) % 60_000
+    for block in (1, 2):
+        assert (id_coder.unpack(id_coder.pack(ids, 16, block)) == ids).all()
+    n = 2 * id_coder.LANES + 1
+    assert 3 * id_coder._together(n) - n < 3 and id_coder._together(1) == 1
+    # rare ids of few bits each side by side with certain ones
+    ids = np.where(rng.random(300_000) < 0.001, rng.integers(0, 1 << 16, 300_000), 7)
+    data = id_coder.pack(ids, 16)
+    assert (id_coder.unpack(data) == ids).all() and 8 * len(data) < 2 * len(ids)
