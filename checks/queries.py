@@ -601,7 +601,7 @@ def pack_blocks_long(spark, d):
     words = t.documents(spark, d).select(
         F.posexplode(F.split("text", " ")).alias("pos", "w"), "doc_id"
     ).select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("key"), "w")
-    blocks = pack.pack_blocks(cut_lineage(words), F.array("w"), "key", 4096, 2)
+    blocks = pack.pack_blocks(words, F.array("w"), "key", 4096, 2)
     return tidy(blocks.select("block_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("md5")))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.binding import once
 from spanloom.operators.order import (
@@ -22,6 +23,41 @@ from spanloom.operators.order import (
 )
 from spanloom.session import cut_lineage
 
+# Texts of few tokens are joined while their keys, whole numbers, agree but for so many bits;
+# keys are unique, so that a run has at most 1,024 texts.
+RUN_BITS = 10
+SHORT = 16
+# Joining must pay: so many texts a run at least.
+TEXTS_PER_RUN = 16
+
+
+def _joined(df: DataFrame, tokens: Column, key: str) -> tuple[DataFrame, Column, str]:
+    """The rows, or one row per run of neighbours where all texts are short and keys dense.
+
+    What follows works on rows, so a text of a token or two would cost as much as a long one.
+    """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        return df, tokens, key
+    # a look at a few rows spares most tables the pass that decides; the result is the same either way
+    if any((r.n or 0) > SHORT for r in df.select(F.size(tokens).alias("n")).take(100)):
+        return df, tokens, key
+    run = F.shiftright(F.col(key).cast("long"), RUN_BITS)
+    rows, longest, runs = df.agg(
+        F.count(F.lit(1)), F.max(F.size(tokens)), F.approx_count_distinct(run)
+    ).first()
+    if rows < TEXTS_PER_RUN * runs or (longest or 0) > SHORT:
+        return df, tokens, key
+    # a key's place in its run, beside the one token itself where no text has more
+    single = (longest or 0) <= 1
+    place = F.col(key).bitwiseAND(F.lit((1 << RUN_BITS) - 1)).cast("short").alias("_place")
+    text = F.struct(place, (F.get(tokens, F.lit(0)) if single else tokens).alias("_t"))
+    grouped = df.groupBy(run.alias("_run")).agg(
+        F.sort_array(F.collect_list(F.when(F.size(tokens) > 0, text))).alias("_texts")
+    )
+    parts = F.transform("_texts", lambda x: x["_t"])
+    joined = grouped.select("_run", (parts if single else F.flatten(parts)).alias("_tokens"))
+    return cut_lineage(joined), F.col("_tokens"), "_run"
+
 
 def _block_starts(counted: DataFrame, key: str, size: int) -> DataFrame:
     """Per bucket: the text holding its first block start, how many of that
@@ -119,9 +155,12 @@ def pack_blocks(
 
     ``tokens`` is an expression over the columns of ``df``; it is evaluated to
     count and again behind the shuffle, so that the texts travel as they are
-    stored.
+    stored. Texts of at most ``SHORT`` tokens are joined to longer ones first.
     """
     size = block_size - num_special
+    if size <= 0:
+        raise ValueError("block size must be positive")
+    df, tokens, key = _joined(df, tokens, key)
     placed = place_texts(df, key, F.size(tokens), size, rows_per_bucket, max_buckets)
     local = Window.partitionBy(HOME).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     until = F.coalesce("_to", F.size("_all").cast("long"))

@@ -92,3 +92,28 @@ def test_pack_edges(spark):
     assert [r.tokens for r in pack.pack_blocks(df, F.col("words"), "seq", 4, 2).collect()] == [["a", "b"]]
     with pytest.raises(ValueError):
         pack.pack_blocks(df, F.col("words"), "seq", 2, 2)
+
+
+@pytest.mark.parametrize("step,longest", [(1, 1), (3, 4), (1, pack.SHORT)])
+def test_pack_joins_short_texts(spark, step, longest):
+    """Dense keys and short texts: what is ordered has a row per run, not one per text."""
+    r = random.Random(step)
+    docs = [(step * i - 4000, [f"{i}.{j}" for j in range(r.randint(0, longest))] if i % 50 else None) for i in range(5000)]
+    docs[77] = (docs[77][0], [None, "x"][:longest])
+    df = spark.createDataFrame(docs, "seq long, words array<string>").repartition(3)
+    joined, _, key = pack._joined(df, F.col("words"), "seq")
+    assert key != "seq" and joined.count() * 100 < len(docs)
+    got = pack.pack_blocks(df, F.col("words"), "seq", 42, 2, rows_per_bucket=4).collect()
+    want = blocks_of([(k, w or []) for k, w in docs], 40)
+    assert [(g.block_id, list(g.tokens)) for g in sorted(got, key=lambda g: g.block_id)] == list(enumerate(want))
+
+
+def test_pack_leaves_long_texts_and_sparse_keys(spark):
+    rows = [(i, ["a"] * (pack.SHORT + (i == 7))) for i in range(200)]
+    for docs in (rows, [(i * 1000, ["a"]) for i in range(200)]):
+        df = spark.createDataFrame(docs, "seq long, words array<string>")
+        assert pack._joined(df, F.col("words"), "seq")[2] == "seq"
+    text = spark.createDataFrame([(f"{i:03}", ["a"]) for i in range(200)], "seq string, words array<string>")
+    assert pack._joined(text, F.col("words"), "seq")[2] == "seq"
+    with pytest.raises(ValueError):
+        pack.pack_blocks(spark.createDataFrame([(i, ["a"]) for i in range(99)] + [(None, ["a"])], df.schema), F.col("words"), "seq", 5).count()
